@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from loomtext.llm import bpe, decontam, exact, langid, simhash
+from loomtext.llm import bpe, decontam, exact, langid, lm, pii, secrets, simhash, tokens
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op2_language_id": langid.op2_language_id,
+    "op3_pii": pii.op3_pii,
     "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op5_token_counts": tokens.op5_token_counts,
+    "op7_lm_scores": lm.op7_lm_scores,
+    "op8_secret_scan": secrets.op8_secret_scan,
     "op9_decontamination": decontam.op9_decontamination,
     "op10_exact_dedup": exact.op10_exact_dedup,
 }
