@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomtext.llm import bpe, decontam, exact, langid, lm, pii, secrets, simhash, tokens
+from loomtext.llm import bpe, decontam, exact, langid, lm, pii, repeats, secrets, simhash, tokens
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_pii": pii.op3_pii,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_token_counts": tokens.op5_token_counts,
+    "op6_repeated_substrings": repeats.op6_repeated_substrings,
     "op7_lm_scores": lm.op7_lm_scores,
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_decontamination": decontam.op9_decontamination,

@@ -11,7 +11,7 @@ from collections import Counter
 import pytest
 import xxhash
 
-from loomtext.llm import bpe, decontam, exact, langid, lm, pii, registry, secrets, simhash, tokens
+from loomtext.llm import bpe, decontam, exact, langid, lm, pii, registry, repeats, secrets, simhash, tokens
 
 LONG = " ".join(f"word{i % 997} of the long text" for i in range(9000))
 ODD = [
@@ -243,6 +243,28 @@ def test_secrets(docs):
     same(df.selectExpr("doc_id", "size(assign)", "size(access)", "size(hex)", f"sha2({label}, 256)", label), want)
 
 
+@pytest.mark.parametrize("setting", [(200, 64, 4096, 1 << 20), (200, 64, 1, 1 << 20), (40, 16, 3, 4096)])
+def test_repeats(docs, setting):
+    width, gram, hot, batch = setting
+    data = [(i, (t or "").encode()) for i, t in rows(docs)]
+    seen = Counter(t[a : a + width] for _, t in data for a in range(len(t) - width + 1))
+    want = []
+    for i, t in data:
+        gone = bytearray(len(t))
+        for a in range(len(t) - width + 1):
+            if seen[t[a : a + width]] > 1:
+                gone[a : a + width] = b"\1" * width
+        kept = bytes(c for c, g in zip(t, gone) if not g)
+        want.append((i, len(t), sum(gone), len(re.findall(b"\1+", bytes(gone))), sha(kept)))
+    same(repeats.remove_repeats(docs, width=width, gram=gram, hot=hot, batch=batch), want)
+
+
+def test_repeat_groups():
+    a, b = b"xxABCDEFGHyy", b"zABCDEFGHIJw ABCDEFGH"
+    got = repeats.repeat_groups([a, b], 8)
+    assert got == [(8, [(0, 2), (1, 1), (1, 13)])]
+
+
 def test_trigram_queries():
     assert secrets.trigram_query(r"AKIA[A-Z0-9]+") == [{"aki", "kia"}]
     assert secrets.trigram_query(r"[0-9a-f]{16,}") is None
