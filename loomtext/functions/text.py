@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space as Python sees it; Java's class lacks the four separators.
 SPACE = r"\s\x1c-\x1f"
+_HELD = ""
+
+#: Newlines that a run of 1, 2, ... newlines becomes (0: a space);
+#: the last entry stands for all longer runs.
+NEWLINE_POLICIES = {
+    "C6": (0, 1, 1, 2, 2, 3),
+    "C7": (0, 1, 2, 3, 4, 5),
+    "C8": (1, 1, 2, 3, 4, 5),
+    "C9": (0, 1, 2, 3, 3, 3),
+    "C10": (0, 0, 1, 2, 3, 4),
+}
 
 
 def collapse_spaces(text: Column) -> Column:
@@ -14,6 +27,146 @@ def collapse_spaces(text: Column) -> Column:
     return F.regexp_replace(text, " +", " ")
 
 
+def flatten_white_space(text: Column) -> Column:
+    """Each white-space character becomes a space."""
+    return F.regexp_replace(text, f"(?U)[{SPACE}]", " ")
+
+
+def tidy_tabs(text: Column) -> Column:
+    """A space after a tab goes, then one before a tab; one pass each."""
+    return F.replace(F.replace(text, F.lit("\t "), F.lit("\t")), F.lit(" \t"), F.lit("\t"))
+
+
+def newline_cascade(text: Column, five: int = 4, more: int = 5) -> Column:
+    """Lone newlines become spaces; then runs shrink by literal replacements, each
+    working on what the one before left (C4; C5 with five = more = 3)."""
+    text = F.regexp_replace(text, r"(?<!\n)\n(?!\n)", " ")
+    for old, new in ((2, 1), (3, 2), (4, 3), (5, five)):
+        text = F.replace(text, F.lit("\n" * old), F.lit("\n" * new))
+    return F.regexp_replace(text, r"\n{6,}", "\n" * more)
+
+
+def newline_policy(text: Column, lengths: tuple[int, ...]) -> Column:
+    """Each run of newlines becomes the policy's; the longest runs are replaced
+    first, by a character that no run rule looks at (C6-C10)."""
+    for n in range(len(lengths), 0, -1):
+        run = f"\n{{{n},}}" if n == len(lengths) else "\n" * n
+        text = F.regexp_replace(text, run, _HELD * lengths[n - 1] or " ")
+    return F.replace(text, F.lit(_HELD), F.lit("\n"))
+
+
+def newline_single_pass(text: Column, lengths: tuple[int, ...]) -> Column:
+    """The policy without the last character, which the single pass loses (C11)."""
+    return newline_policy(F.substring(text, F.lit(1), F.length(text) - 1), lengths)
+
+
 def word_count(text: Column) -> Column:
     """Number of words between white space."""
     return F.regexp_count(text, F.lit(f"(?U)[^{SPACE}]+")).cast("long")
+
+
+def file_name(text: Column) -> Column:
+    """A title as a file name: forbidden characters deleted, white space runs one
+    space, trimmed, 200 characters, never empty (C15)."""
+    text = F.regexp_replace(text, r'[<>:"/\\|?*]', "")
+    text = F.trim(F.regexp_replace(text, f"(?U)[{SPACE}]+", " "))
+    return F.coalesce(F.nullif(F.left(text, F.lit(200)), F.lit("")), F.lit("untitled"))
+
+
+def strip_comments(text: Column) -> Column:
+    """Without the lines that start with #."""
+    lines = F.filter(F.split(text, "\n", -1), lambda x: ~x.startswith("#"))
+    return F.array_join(lines, "\n")
+
+
+def work_id(name: Column) -> Column:
+    """What stands in the last parentheses before the extension."""
+    return F.substring_index(F.substring_index(name, ").txt", 1), "(", -1)
+
+
+def title(entry: Column) -> Column:
+    """Of "title by author" the title; with more "by", the part before the last (C20)."""
+    parts = F.split(entry, " by ", -1)
+    return F.when(F.size(parts) > 2, F.element_at(parts, -2)).otherwise(parts[0])
+
+
+def between(text: Column, start: str, end: str) -> Column:
+    """What stands between the first ``start`` and the next ``end``, or null."""
+    rest = F.substring(text, F.instr(text, start) + len(start), F.length(text))
+    return F.when((F.instr(text, start) > 0) & (F.instr(rest, end) > 0), F.substring_index(rest, end, 1))
+
+
+def encode_characters(text: Column, ids: Mapping[str, int], unknown: int) -> Column:
+    """Characters as ids of a fixed alphabet."""
+    table = F.create_map(*[F.lit(x) for kv in ids.items() for x in kv])
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    return F.transform(chars, lambda c: F.coalesce(F.try_element_at(table, c), F.lit(unknown)))
+
+
+def decode_ids(ids: Column, tokens: Mapping[int, str]) -> Column:
+    """Ids as text, ``?`` for those the table lacks."""
+    table = F.create_map(*[F.lit(x) for kv in tokens.items() for x in kv])
+    return F.array_join(F.transform(ids, lambda i: F.coalesce(F.try_element_at(table, i), F.lit("?"))), "")
+
+
+def word_tokens(text: Column) -> Column:
+    """Words with the single spaces between them as tokens of their own, between
+    begin and end marks (C25)."""
+    words = F.split(text, " ", -1)
+    each = F.flatten(F.transform(words, lambda w, i: F.when(i == 0, F.array(w)).otherwise(F.array(F.lit(" "), w))))
+    return F.concat(F.array(F.lit("<BOS>")), F.filter(each, lambda w: w != ""), F.array(F.lit("<EOS>")))
+
+
+def display(token: Column) -> Column:
+    """One printable line of at most 40 characters."""
+    shown = F.replace(F.replace(token, F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit("\\t"))
+    return F.when(F.length(shown) > 40, F.concat(F.left(shown, F.lit(37)), F.lit("..."))).otherwise(shown)
+
+
+def document(text: Column, newlines: bool = True) -> Column:
+    """A text between begin, end and separator marks."""
+    gap = "\n" if newlines else ""
+    return F.concat(F.lit(f"<BOS>{gap}"), text, F.lit(f"{gap}<EOS><SEP>"))
+
+
+#: The license markers, with the newline runs that a text may have
+#: between their lines.
+_FILE_NOTE = "***** This file should be named"
+_FOOTER = ("START: FULL LICENSE", "THE FULL PROJECT GUTENBERG LICENSE", "PLEASE READ THIS BEFORE YOU DISTRIBUTE OR USE THIS WORK")
+_COUNTRY = ("If you are not located in the United States,", "you will have to check the laws of the country where you are located", "before using this eBook.")
+_COPY = ("You may copy it, give it away or", "re-use it under the terms of the Project Gutenberg License included", "with this eBook or online at www.gutenberg.org")
+_UPDATED = (
+    "Updated editions will replace the previous one—the old editions will be renamed.",
+    "Creating the works from print editions not protected by U.S. copyright law means that no one owns a United States copyright in these works",
+)
+
+
+def license_markers() -> tuple[list[tuple[str, int]], list[tuple[str, int]], list[tuple[str, int]]]:
+    """(marker, newline cascades that follow) of footers, headers and update notes,
+    each in the order in which they are tried."""
+    footer = [(("\n" * n).join(_FOOTER), n - 1) for n in (1, 2, 3, 4)]
+    country = [(" ".join(_COUNTRY), 0), ("\n".join(_COUNTRY), 1), ("\n\n".join(_COUNTRY), 2), (f"{_COUNTRY[0]}\n\n\n{_COUNTRY[1]}\n\n{_COUNTRY[2]}", 3)]
+    copy = [(" ".join(_COPY), 0), *((("\n" * n).join(_COPY), n) for n in (1, 2, 3))]
+    return footer, country + copy, [(("\n" * n).join(_UPDATED), n - 1) for n in (2, 3)]
+
+
+def trim_license(text: Column) -> Column:
+    """A work without the license before and after it (C14). A text that no marker
+    touched gets the newline cascade twice, a note about the file name aside."""
+
+    def settle(t: Column, times: int) -> Column:
+        for _ in range(times):
+            t = newline_cascade(t, 3, 3)
+        return t
+
+    footers, headers, updates = license_markers()
+    text = F.substring_index(tidy_tabs(collapse_spaces(text)), _FILE_NOTE, 1)
+    touched = F.lit(False)
+    for markers, part in ((footers, 0), (headers, 1), (updates, 0)):
+        out, found = text, F.lit(False)
+        for marker, times in reversed(markers):
+            has = F.contains(text, F.lit(marker))
+            out = F.when(has, settle(F.split_part(text, F.lit(marker), F.lit(part + 1)), times)).otherwise(out)
+            found = found | has
+        text, touched = out, touched | found
+    return F.when(touched, text).otherwise(settle(text, 2))
