@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from loomtext.plans import aggregates, relational, strings  # noqa: E402, F401
+from loomtext.plans import aggregates, corpus, relational, strings  # noqa: E402, F401
