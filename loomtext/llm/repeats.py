@@ -47,10 +47,10 @@ from loomtext.llm.common import CHUNK_BYTES, digest, discard, materialise, sprea
 WIDTH = 200
 GRAM = 64
 HOT = 4096
-BLOCK_BYTES = 2 * CHUNK_BYTES
+BLOCK_BYTES = CHUNK_BYTES // 2
 #: Bytes of runs in a suffix array.
-BATCH_BYTES = 1 << 20
-PARTITION_BYTES = 128 << 20
+BATCH_BYTES = 1 << 19
+PARTITION_BYTES = 64 << 20
 
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
