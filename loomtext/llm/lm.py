@@ -36,7 +36,7 @@ from loomtext.llm.common import CHUNK_BYTES, LOWER, crc_mod, discard, materialis
 
 K = 4.0
 #: Text of a block, and question bytes for which a partition is added.
-BLOCK_BYTES = 2 * CHUNK_BYTES
+BLOCK_BYTES = CHUNK_BYTES
 PARTITION_BYTES = 24 << 20
 
 _LOW = np.frombuffer(LOWER, np.uint8)
