@@ -50,4 +50,4 @@ def numbered(spark, sf_dir):
 @query("M_metric_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS least FROM events GROUP BY 1, 2")
 def metric_windows(spark, sf_dir):
     out = monitor.metric_windows(table(spark, sf_dir, "events"))
-    return out.withColumn("mean", F.round("mean", 6))
+    return out.withColumn("mean", F.round("mean", 6)).withColumn("start", F.col("start").cast("timestamp_ntz"))
