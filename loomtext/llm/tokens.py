@@ -77,14 +77,15 @@ def counter(path: str):
     return count
 
 
-def stored(spark: SparkSession, cache: str, tokenizer: str) -> DataFrame:
-    """(digest, n_tokens) that the cache has for a tokenizer, each digest once."""
+def stored(spark: SparkSession, cache: str, tokenizer: str) -> DataFrame | None:
+    """(digest, n_tokens) that the cache has for a tokenizer, each digest once; None
+    if it has never seen the tokenizer."""
     try:
         got = spark.read.schema("digest binary, n_tokens long").parquet(f"{cache}/tokenizer={tokenizer}")
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        got = spark.createDataFrame([], "digest binary, n_tokens long")
+        return None
     return got.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
@@ -95,13 +96,15 @@ def token_counts(docs: DataFrame, path: str, cache: str, limit: int = LIMIT, id_
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     distinct = rows.withColumn("digest", digest(F.col("text"))).groupBy("digest", "text").agg(F.lit(1).alias("one"))
-    misses = distinct.join(stored(spark, cache, version), "digest", "left_anti").select("digest", "text")
+    known = stored(spark, cache, version)
+    misses = (distinct if known is None else distinct.join(known, "digest", "left_anti")).select("digest", "text")
 
     def run(batches):
         count = counter(path)
         for b in batches:
-            n = pa.array(count(b.column(1).to_pylist()), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), n], names=["digest", "n_tokens"])
+            for part in (b.slice(a, 256) for a in range(0, b.num_rows, 256)):  # few texts as Python objects
+                n = pa.array(count(part.column(1).to_pylist()), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), n], names=["digest", "n_tokens"])
 
     misses.mapInArrow(run, "digest binary, n_tokens long").write.mode("append").parquet(f"{cache}/tokenizer={version}")
     slim = rows.select("doc_id", digest(F.col("text")).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"))
