@@ -133,10 +133,20 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256), a row for each input row."""
-    both = decode(encode(docs, path, id_col, text_col), path)
-    n = (F.length("ids") / 4).cast("long").alias("n_tokens")
-    return both.select("doc_id", n, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256), a row for each input row. Both
+    ways in one worker, so that a task holds the model once, and a few texts at once."""
+
+    def run(batches):
+        m = _model(path)
+        for whole in batches:
+            for b in (whole.slice(a, 256) for a in range(0, whole.num_rows, 256)):
+                ids = m.encode([t or "" for t in b.column(1).to_pylist()])
+                cols = [b.column(0), pa.array([len(i) // 4 for i in ids], pa.int64())]
+                cols += [pa.array([hashlib.sha256(x).hexdigest() for x in both], pa.string()) for both in (ids, map(m.decode, ids))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
