@@ -3,7 +3,7 @@ built-in functions, a group's series at a time."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -33,3 +33,16 @@ def spikes(values: Column, leak: float, threshold: float) -> Column:
 def fake_quantise(value: Column, scale: Column, levels: int = 127) -> Column:
     """To the nearest of the levels (halves to even) and back."""
     return F.greatest(F.lit(-levels), F.least(F.lit(levels), F.rint(value / scale))) * scale
+
+
+def polynomial_fit(points: DataFrame, x: str, y: str, degree: int) -> DataFrame:
+    """(power, coefficient) of the least-squares polynomial (H14): sums of powers in one
+    aggregation, and the normal equations of that one row solved on the driver."""
+    import numpy as np
+
+    powers = [F.sum(F.pow(x, F.lit(i))) for i in range(2 * degree + 1)]
+    sums = points.agg(*powers, *[F.sum(F.pow(x, F.lit(i)) * F.col(y)) for i in range(degree + 1)]).first()
+    left = np.array([[sums[i + j] or 0.0 for j in range(degree + 1)] for i in range(degree + 1)])
+    right = np.array([sums[2 * degree + 1 + i] or 0.0 for i in range(degree + 1)])
+    found = np.linalg.lstsq(left, right, rcond=None)[0]
+    return points.sparkSession.createDataFrame([(i, float(c)) for i, c in enumerate(found)], "power int, coefficient double")

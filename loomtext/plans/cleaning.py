@@ -51,3 +51,11 @@ def numbered(spark, sf_dir):
 def metric_windows(spark, sf_dir):
     out = monitor.metric_windows(table(spark, sf_dir, "events"))
     return out.withColumn("mean", F.round("mean", 6)).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("H14_cubic_fit")
+def cubic_fit(spark, sf_dir):
+    from loomtext.operators import recurrences
+
+    ev = table(spark, sf_dir, "events").select((F.col("event_id") / 10000).alias("x"), F.col("value").alias("y"))
+    return recurrences.polynomial_fit(ev, "x", "y", 3)
