@@ -8,9 +8,10 @@ all documents that have t,
 
     PMI(t; e) = log2(P(t|e) / P(t)),    IC(e) = -log2 P(e),
 
-a term discloses e if it stands with it in SUPPORT different texts or more, in
-CERTAIN of e's texts at least, and PMI(t; e) >= DISCLOSED * IC(e): it gives away
-that share of what naming e would. Such terms become spans of kind ``term`` near
+a term discloses e if it stands with it in CERTAIN of e's texts at least, and
+PMI(t; e) >= DISCLOSED * IC(e): it gives away that share of what naming e would.
+P(t|e) is smoothed by one text without t. Entities of any support are tested: one
+that stands in a single text is disclosed by the rare terms near it. Such terms become spans of kind ``term`` near
 e. ``sanitise`` generalises base spans to their kind and removes terms.
 
 Counts cover all documents; copies of a text are one piece of evidence. All joins
@@ -35,7 +36,6 @@ from loomtext.llm.common import discard, materialise, spread_join
 #: Kinds in the order in which they are listed.
 KINDS = ("email", "ip", "card", "phone", "term")
 WINDOW = 60
-SUPPORT = 3
 CERTAIN = 0.5
 DISCLOSED = 0.8
 
@@ -144,10 +144,10 @@ def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text") -> Dat
     """(entity, term, pmi, ic) of terms that disclose an entity."""
     n = found.count()
     near = found.filter("base <> ''").select("digest", F.explode("context").alias("c")).select("digest", "c.entity", "c.term").distinct()
-    entities = near.groupBy("entity").agg(F.count_distinct("digest").alias("texts")).filter(F.col("texts") >= SUPPORT)
-    both = near.groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= SUPPORT)
+    entities = near.groupBy("entity").agg(F.count_distinct("digest").alias("texts"))
+    both = near.groupBy("entity", "term").agg(F.count("*").alias("both"))
     got = both.join(entities, "entity").filter(F.col("both") >= CERTAIN * F.col("texts")).join(term_documents(docs, text_col), "term")
-    got = got.withColumn("pmi", F.log2(F.col("both") / F.col("texts") / (F.col("df") / F.lit(n)))).withColumn("ic", F.log2(F.lit(n) / F.col("texts")))
+    got = got.withColumn("pmi", F.log2(F.col("both") / (F.col("texts") + 1) / (F.col("df") / F.lit(n)))).withColumn("ic", F.log2(F.lit(n) / F.col("texts")))
     return got.filter(F.col("pmi") >= DISCLOSED * F.col("ic")).select("entity", "term", "pmi", "ic")
 
 
