@@ -14,8 +14,9 @@ P(t|e) is smoothed by one text without t. Entities of any support are tested: on
 that stands in a single text is disclosed by the rare terms near it. Such terms become spans of kind ``term`` near
 e. ``sanitise`` generalises base spans to their kind and removes terms.
 
-Counts cover all documents; copies of a text are one piece of evidence. All joins
-are over context rows, which are as many as base spans allow.
+All counts (of e, t, both and the whole) are of different texts: copies are one
+piece of evidence. Joins are over context rows, which are as many as base spans
+allow, and over one text of each group of copies.
 
 Defined results: null and empty texts have no spans; rows that repeat come out
 as often; an empty table gives an empty result; other columns are not read.
@@ -37,6 +38,8 @@ from loomtext.llm.common import discard, materialise, spread_join
 KINDS = ("email", "ip", "card", "phone", "term")
 WINDOW = 60
 CERTAIN = 0.5
+#: Digests of copied texts that are broadcast; more are joined by shuffle.
+BROADCAST = 500_000
 DISCLOSED = 0.8
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -108,45 +111,56 @@ def _context(text: str, spans) -> list[dict]:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, digest, n_email, n_ip, n_card, n_phone, base, context) of each row."""
-    schema = "doc_id long, digest binary, n_email long, n_ip long, n_card long, n_phone long, base string, context array<struct<entity:string,term:string,start:int,end:int>>"
+    """(doc_id, digest, own, n_email, n_ip, n_card, n_phone, base, context) of each row;
+    own is the text's digest, and digest the same where there are spans."""
+    schema = "doc_id long, digest binary, own binary, n_email long, n_ip long, n_card long, n_phone long, base string, context array<struct<entity:string,term:string,start:int,end:int>>"
     context = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             spans = [base_spans(t) for t in texts]
-            cols = [b.column(0), pa.array([hashlib.sha256(t.encode()).digest() if s else None for t, s in zip(texts, spans)], pa.binary())]
-            cols += [pa.array([sum(s[1] == k for s in own) for own in spans], pa.int64()) for k in range(4)]
+            own = [hashlib.sha256(t.encode()).digest() for t in texts]
+            cols = [b.column(0), pa.array([d if s else None for d, s in zip(own, spans)], pa.binary()), pa.array(own, pa.binary())]
+            cols += [pa.array([sum(s[1] == k for s in got) for got in spans], pa.int64()) for k in range(4)]
             cols += [pa.array(map(_label, spans), pa.string()), pa.array([_context(t, s) for t, s in zip(texts, spans)], context)]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "digest", "n_email", "n_ip", "n_card", "n_phone", "base", "context"])
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "digest", "own", "n_email", "n_ip", "n_card", "n_phone", "base", "context"])
 
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return docs.mapInArrow(run, schema)
 
 
-def term_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term, df): the number of documents that have a term, over all of them."""
+def term_documents(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
+    """(term, df): the number of different texts that have a term. All rows count, and
+    of each text that is there more than once one row takes off what its copies add, so
+    only those texts move."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    copied = materialise(found.groupBy("own").agg((1 - F.count("*")).alias("weight")).filter("weight < 0"), "copied")
+    if copied.count() <= BROADCAST:
+        copied = F.broadcast(copied)
+    again = docs.select(text.alias("text"), F.unhex(F.sha2(text, 256)).alias("own")).join(copied, "own")
+    again = again.groupBy("own").agg(F.first("text").alias("text"), F.first("weight").alias("weight"))
 
     def run(batches):
         for b in batches:
             n = Counter()
-            for t in b.column(0).to_pylist():
-                if t:
-                    n.update(set(_TERM.findall(t.lower())))
+            for t, weight in zip(*(b.column(i).to_pylist() for i in (0, 1))):
+                for term in {x.lower() for x in _TERM.findall(t or "")}:
+                    n[term] += weight
             yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], names=["term", "n"])
 
-    counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "term string, n long")
+    rows = docs.select(text.alias("text"), F.lit(1).cast("long").alias("weight"))
+    counts = rows.mapInArrow(run, "term string, n long").union(again.select("text", "weight").mapInArrow(run, "term string, n long"))
     return counts.groupBy("term").agg(F.sum("n").alias("df"))
 
 
 def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
     """(entity, term, pmi, ic) of terms that disclose an entity."""
-    n = found.count()
+    n = found.select("own").distinct().count()
     near = found.filter("base <> ''").select("digest", F.explode("context").alias("c")).select("digest", "c.entity", "c.term").distinct()
     entities = near.groupBy("entity").agg(F.count_distinct("digest").alias("texts"))
     both = near.groupBy("entity", "term").agg(F.count("*").alias("both"))
-    got = both.join(entities, "entity").filter(F.col("both") >= CERTAIN * F.col("texts")).join(term_documents(docs, text_col), "term")
+    got = both.join(entities, "entity").filter(F.col("both") >= CERTAIN * F.col("texts")).join(term_documents(docs, found, text_col), "term")
     got = got.withColumn("pmi", F.log2(F.col("both") / (F.col("texts") + 1) / (F.col("df") / F.lit(n)))).withColumn("ic", F.log2(F.lit(n) / F.col("texts")))
     return got.filter(F.col("pmi") >= DISCLOSED * F.col("ic")).select("entity", "term", "pmi", "ic")
 

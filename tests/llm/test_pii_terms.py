@@ -11,3 +11,10 @@ def cut(spark, texts):
 def test_entity_of_one_text(spark):
     texts = ["Ask zorblax about boss@corp.example.com today please", *(f"please ask today about nothing{i}" for i in range(200))]
     assert cut(spark, texts)[0] == ["zorblax"]
+
+
+def test_copies_hide_no_term(spark):
+    texts = [f"Ask zorblax about boss@corp.example.com today please {i}" for i in range(3)]
+    texts += [texts[0]] * 100 + [f"please ask today about nothing{i}" for i in range(200)]
+    got = cut(spark, texts)
+    assert all(got[i] == ["zorblax"] for i in range(103))
