@@ -11,8 +11,8 @@ all documents that have t,
 a term discloses e if it stands with it in CERTAIN of e's texts at least, and
 PMI(t; e) >= DISCLOSED * IC(e): it gives away that share of what naming e would.
 P(t|e) is smoothed by one text without t. Entities of any support are tested: one
-that stands in a single text is disclosed by the rare terms near it. Such terms become spans of kind ``term`` near
-e. ``sanitise`` generalises base spans to their kind and removes terms.
+that stands in a single text is disclosed by the rare terms near it. Such terms become spans of kind ``term``
+wherever they stand in a document that holds e; the window only serves to learn them. ``sanitise`` generalises base spans to their kind and removes terms.
 
 All counts (of e, t, both and the whole) are of different texts: copies are one
 piece of evidence. Joins are over context rows, which are as many as base spans
@@ -100,21 +100,34 @@ def _context(text: str, spans) -> list[dict]:
     out = []
     for a, k, b in spans:
         entity = KINDS[k] + ":" + text[a:b].lower()
+        out.append({"entity": entity, "term": ""})  # also where no term is near
         for lo, hi in ((max(0, a - WINDOW), a), (b, b + WINDOW)):
             for m in _TERM.finditer(text, lo, min(hi, len(text))):
                 s, e = m.span()
                 if (s == lo and lo and text[s - 1].isalnum()) or (e == hi and e < len(text) and text[e].isalnum()):
                     continue
-                if m.group().isalpha() and not any(s < y and x < e for x, _, y in spans):
-                    out.append({"entity": entity, "term": m.group().lower(), "start": s, "end": e})
+                if not any(s < y and x < e for x, _, y in spans):
+                    out.append({"entity": entity, "term": m.group().lower()})
+    return out
+
+
+def _places(text: str, terms: set[str]) -> list[dict]:
+    """Every occurrence of the terms outside all base spans."""
+    spans, out, k, end = base_spans(text), [], 0, 0
+    for m in _TERM.finditer(text):
+        s, e = m.span()
+        while k < len(spans) and spans[k][0] < e:
+            end, k = max(end, spans[k][2]), k + 1
+        if s >= end and m.group().lower() in terms:
+            out.append({"start": s, "end": e})
     return out
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, digest, own, n_email, n_ip, n_card, n_phone, base, context) of each row;
-    own is the text's digest, and digest the same where there are spans."""
-    schema = "doc_id long, digest binary, own binary, n_email long, n_ip long, n_card long, n_phone long, base string, context array<struct<entity:string,term:string,start:int,end:int>>"
-    context = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    """(doc_id, digest, own, n_email, n_ip, n_card, n_phone, base, context, body) of each row;
+    own is the text's digest; digest and body are it and the text where there are spans."""
+    schema = "doc_id long, digest binary, own binary, n_email long, n_ip long, n_card long, n_phone long, base string, context array<struct<entity:string,term:string>>, body string"
+    context = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string())]))
 
     def run(batches):
         for b in batches:
@@ -124,7 +137,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             cols = [b.column(0), pa.array([d if s else None for d, s in zip(own, spans)], pa.binary()), pa.array(own, pa.binary())]
             cols += [pa.array([sum(s[1] == k for s in got) for got in spans], pa.int64()) for k in range(4)]
             cols += [pa.array(map(_label, spans), pa.string()), pa.array([_context(t, s) for t, s in zip(texts, spans)], context)]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "digest", "own", "n_email", "n_ip", "n_card", "n_phone", "base", "context"])
+            cols += [pa.array([t if s else None for t, s in zip(texts, spans)], pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "digest", "own", "n_email", "n_ip", "n_card", "n_phone", "base", "context", "body"])
 
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return docs.mapInArrow(run, schema)
@@ -169,11 +183,20 @@ def protect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """``scan``'s columns and ``terms``: (start, end) of disclosing terms."""
     found = materialise(scan(docs, id_col, text_col), "pii")
     flagged = materialise(disclosing(docs, found, text_col), "terms")
-    near = found.filter("base <> ''").select("digest", F.explode("context").alias("c")).select("digest", "c.*")
-    hit = near.join(flagged.select("entity", "term"), ["entity", "term"])
-    hit = hit.groupBy("digest").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
-    copies = found.filter("base <> ''").groupBy("digest").agg(F.count("*").alias("copies"))
-    hit = hit.join(copies, "digest")
+    held = found.filter("base <> ''")
+    entities = held.select("digest", F.explode("context").alias("c")).select("digest", "c.entity").distinct()
+    terms = entities.join(flagged, "entity").groupBy("digest").agg(F.collect_set("term").alias("terms"))
+    texts = held.groupBy("digest").agg(F.first("body").alias("body"), F.count("*").alias("copies"))
+
+    def run(batches):
+        for b in batches:
+            places = [_places(t, set(own)) for t, own in zip(*(b.column(i).to_pylist() for i in (2, 3)))]
+            place = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(places, place)], names=["digest", "copies", "terms"])
+
+    hit = texts.join(terms, "digest").select("digest", "copies", "body", "terms")
+    hit = hit.mapInArrow(run, "digest binary, copies long, terms array<struct<start:int,end:int>>")
+    found = found.drop("body")
     return spread_join(found, hit, "digest", "copies", F.xxhash64("doc_id"))
 
 

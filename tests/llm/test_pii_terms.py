@@ -18,3 +18,11 @@ def test_copies_hide_no_term(spark):
     texts += [texts[0]] * 100 + [f"please ask today about nothing{i}" for i in range(200)]
     got = cut(spark, texts)
     assert all(got[i] == ["zorblax"] for i in range(103))
+
+
+def test_every_place_of_a_term(spark):
+    far = "please ask today about nothing " * 10
+    texts = [f"Ask zorblax77 about boss@corp.example.com today please {far} Zorblax77 {i}" for i in range(3)]
+    texts += [f"please {far}" for i in range(1)] + [f"please ask today about nothing nothing{i}" for i in range(200)]
+    got = cut(spark, texts)
+    assert all(got[i] == ["zorblax77", "Zorblax77"] for i in range(3))
