@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomtext.llm.common import LOWER, components, discard, materialise, spread_join
 
@@ -174,8 +175,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, one document of each component: its smallest id.
     Rows without an id stay."""
-    ids = near_duplicates(docs, id_col, text_col).filter("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct()
-    return docs.join(ids, F.col(id_col) == F.col("__drop"), "left_anti")
+    ids = near_duplicates(docs, id_col, text_col).filter("doc_id <> component_id").select(F.col("doc_id").alias("__drop"), F.col("fingerprint").alias("__fp")).distinct()
+
+    def run(batches):
+        for b in batches:
+            fps = [f"{fingerprint(t) & (1 << 64) - 1:016x}" for t in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps, pa.string())], names=[*b.schema.names, "__own"])
+
+    at = docs.columns.index(text_col)
+    rows = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__own", T.StringType())]))
+    same = (F.col(id_col).cast("long") == F.col("__drop")) & (F.col("__own") == F.col("__fp"))
+    return rows.join(ids, same, "left_anti").drop("__own")
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
