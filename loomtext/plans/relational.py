@@ -83,6 +83,7 @@ both("F2_inner", "SELECT d.doc_id, l.quality, b.item_id FROM documents d JOIN la
 both("F3_substring_counts", "WITH a AS (SELECT DISTINCT w AS word FROM ({NAMES}) UNION SELECT 'tion' AS word UNION SELECT 'the' AS word) SELECT word, CAST(sum((length(lower(text)) - length(replace(lower(text), word, ''))) / length(word)) AS BIGINT) AS matches FROM documents CROSS JOIN a GROUP BY word")
 both("F4_zero_fill", "WITH words AS ({WORDS}), c AS (SELECT lower(w) AS token, count(*) AS n FROM words GROUP BY lower(w)), v AS (SELECT DISTINCT w AS token FROM ({NAMES}) UNION SELECT 'the' AS token) SELECT v.token, coalesce(c.n, 0) AS n FROM v LEFT JOIN c ON c.token = v.token")
 both("F5_token_ids", "WITH words AS ({WORDS}), v AS (SELECT token, row_number() OVER (ORDER BY token) AS id FROM (SELECT DISTINCT w AS token FROM words WHERE doc_id % 2 = 0)) SELECT x.doc_id, x.pos, coalesce(v.id, 0) AS id FROM (SELECT doc_id, pos, w FROM words) x LEFT JOIN v ON v.token = x.w")
+both("F5_token_ids_all", "WITH words AS ({WORDS}), v AS (SELECT token, row_number() OVER (ORDER BY token) AS id FROM (SELECT DISTINCT w AS token FROM words)) SELECT x.doc_id, x.pos, coalesce(v.id, 0) AS id FROM (SELECT doc_id, pos, w FROM words) x LEFT JOIN v ON v.token = x.w")
 both("F6_shared_windows", "WITH win AS ({WINDOWS}), own AS (SELECT DISTINCT doc_id, win FROM win) SELECT doc_id, count(*) AS windows, sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS shared FROM (SELECT doc_id, win, count(*) OVER (PARTITION BY win) AS n FROM own) GROUP BY doc_id".replace("sum(CASE", "count(CASE").replace("THEN 1 ELSE 0 END", "THEN 1 END"))
 both("F7_forward_as_of", "WITH l AS ({LOSS}) SELECT run, step, loss, min_step AS eval_step FROM (SELECT run, step, loss, min(CASE WHEN step % 10 = 0 THEN step END) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS min_step FROM l)")
 both("F8_bucket_quota", "WITH q AS (SELECT 0 AS bucket, 3 AS quota UNION ALL SELECT 1 AS bucket, 2 AS quota UNION ALL SELECT 2 AS bucket, 1 AS quota), b AS (SELECT doc_id, CASE WHEN length(text) < 1000 THEN 0 WHEN length(text) < 3000 THEN 1 ELSE 2 END AS bucket FROM documents) SELECT b.doc_id, b.bucket, q.quota FROM b JOIN q ON q.bucket = b.bucket")
@@ -97,6 +98,7 @@ both("G6_vocab_ids", "WITH words AS ({WORDS}), f AS (SELECT w, count(*) AS n FRO
 both("G7_alphabet", "SELECT c, row_number() OVER (ORDER BY c) AS id FROM ({CHARS})")
 both("G8_longest_sentence", "SELECT max({SENTENCE_SIZE}) AS longest FROM ({SENTENCES})")
 both("G9_token_frequency", "WITH words AS ({WORDS}), v AS (SELECT w, row_number() OVER (ORDER BY w) AS id FROM (SELECT DISTINCT w FROM words)) SELECT v.id, count(x.w) AS n FROM v LEFT JOIN (SELECT w FROM words WHERE doc_id % 2 = 0) x ON x.w = v.w GROUP BY v.id")
+both("G9_token_frequency_all", "WITH words AS ({WORDS}), v AS (SELECT w, row_number() OVER (ORDER BY w) AS id FROM (SELECT w FROM words UNION SELECT w FROM ({NAMES}))) SELECT v.id, count(x.w) AS n FROM v LEFT JOIN (SELECT w FROM words) x ON x.w = v.w GROUP BY v.id")
 _BUCKET = "CASE WHEN n < 100 THEN 0 WHEN n < 500 THEN 1 WHEN n < 1000 THEN 2 WHEN n < 5000 THEN 3 WHEN n < 10000 THEN 4 WHEN n < 50000 THEN 5 WHEN n < 100000 THEN 6 WHEN n < 500000 THEN 7 WHEN n < 1000000 THEN 8 WHEN n < 2000000 THEN 9 WHEN n < 5000000 THEN 10 WHEN n < 10000000 THEN 11 WHEN n < 20000000 THEN 12 WHEN n < 30000000 THEN 13 ELSE 14 END"
 both("G10_frequency_histogram", f"WITH words AS ({{WORDS}}), f AS (SELECT w, count(*) AS n FROM words GROUP BY w), h AS (SELECT {_BUCKET} AS bucket, count(*) AS tokens FROM f GROUP BY {_BUCKET}) SELECT b.bucket, coalesce(h.tokens, 0) AS tokens, round(1e2 * coalesce(h.tokens, 0) / (SELECT count(*) FROM f), 6) AS pct FROM ({{BOUNDS}}) b LEFT JOIN h ON h.bucket = b.bucket")
 _MARKS = "CASE WHEN n < 200 THEN 0 WHEN n < 1000 THEN 200 WHEN n < 2000 THEN 1000 WHEN n < 5000 THEN 2000 ELSE 5000 END"
