@@ -7,7 +7,7 @@ that repeat a doc_id, or have none, then need no special handling.
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 import numpy as np
@@ -27,23 +27,44 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of
-    the session. Only where the cluster names none (tests), one is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    the session, or the checkpoint folder that was set on its context. A local
+    master without one gets a folder beside its warehouse."""
     sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not path and sc.master.startswith("local"):
+        path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.loomtext"
     if not path:
-        path = sc.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="loomtext-")
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder, deleted when its driver ends."""
+    path = f"{shared_dir(spark)}/loomtext/{spark.sparkContext.applicationId}"
+    if path not in _RUNS:
+        _RUNS.add(path)
+        atexit.register(_remove, spark, path)
+    return path
+
+
+_RUNS: set[str] = set()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    if jvm is None or spark.sparkContext._jsc is None:
+        return  # the session is over; its folder is left to the cluster's cleaning
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again: cuts the
     lineage, survives lost executors, and gives the planner real sizes."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomtext/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -52,11 +73,10 @@ def discard(*tables: DataFrame) -> None:
     """Delete tables of :func:`materialise` that nothing reads any more."""
     for df in tables:
         spark = df.sparkSession
-        root = f"{shared_dir(spark)}/loomtext/"
         jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             path = jvm.org.apache.hadoop.fs.Path(folder)
-            if "/loomtext/" in folder and root:
+            if "/loomtext/" in folder:
                 path.getFileSystem(conf).delete(path, True)
 
 

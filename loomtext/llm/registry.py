@@ -16,4 +16,4 @@ QUERIES = {
     "op9_decontamination": decontam.op9_decontamination,
     "op10_exact_dedup": exact.op10_exact_dedup,
 }
-ORACLES = {"op10_exact_dedup": exact.ORACLE}
+ORACLES = {"op8_secret_scan": secrets.ORACLE, "op10_exact_dedup": exact.ORACLE}

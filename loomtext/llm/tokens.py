@@ -27,7 +27,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import digest, shared_dir, spread_join
+from loomtext.llm.common import digest, run_dir, spread_join
 from loomtext.llm.pretoken import PieceTable, pieces, runs
 
 LIMIT = 512
@@ -118,6 +118,6 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With a cache of its own, so that every run does the whole work."""
     import public_tokenizers
 
-    cache = f"{shared_dir(spark)}/loomtext/token-counts-{uuid.uuid4().hex}"
+    cache = f"{run_dir(spark)}/token-counts-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), cache)

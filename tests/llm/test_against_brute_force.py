@@ -226,21 +226,69 @@ def test_lm(docs):
     assert {(r["doc_id"], r["n_tokens"], round(r["base_score"], 4)): (r["held_out"], r["n_known"], r["train_tokens"], round(r["score"], 4)) for r in got} == want
 
 
-def test_secrets(docs):
-    kinds = [
-        ("assign", re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 12),
-        ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18),
-        ("hex", re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 16),
-    ]
+PLAIN_SECRETS = [
+    ("assign", re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 12),
+    ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18),
+    ("hex", re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 16),
+    *((r.kind, re.compile(r.regex), lambda m: True) for r in secrets.ADDED),
+]
+
+
+def secret_spans(t, kinds=PLAIN_SECRETS):
+    return sorted((m.start(), n, k, m.end()) for n, (k, p, ok) in enumerate(kinds) for m in p.finditer(t or "") if ok(m))
+
+
+def listed(spans):
+    return ",".join(f"{k}:{a}:{e}" for a, _, k, e in spans)
+
+
+def every_span(df):
+    kinds = ", ".join(k for k, _, _ in PLAIN_SECRETS)
+    return df.selectExpr("doc_id", *[f"size({k})" for k, _, _ in PLAIN_SECRETS[:3]], f"array_join(transform(array_sort(concat({kinds})), s -> s.label), ',')")
+
+
+@pytest.mark.parametrize("size", [secrets.BROADCAST_BYTES, 1])
+def test_secrets(docs, size):
     want = []
     for i, t in rows(docs):
-        spans = sorted((m.start(), n, k, m.end()) for n, (k, p, ok) in enumerate(kinds) for m in p.finditer(t or "") if ok(m))
-        s = ",".join(f"{k}:{a}:{e}" for a, _, k, e in spans)
-        want.append((i, *(sum(x[2] == k for x in spans) for k, _, _ in kinds), sha(s), s))
-    df = secrets.scan(docs)
-    df.createOrReplaceTempView("found")
-    label = "array_join(transform(array_sort(concat(assign, access, hex)), s -> s.label), ',')"
-    same(df.selectExpr("doc_id", "size(assign)", "size(access)", "size(hex)", f"sha2({label}, 256)", label), want)
+        spans = secret_spans(t)
+        want.append((i, *(sum(x[2] == k for x in spans) for k, _, _ in PLAIN_SECRETS[:3]), listed(spans)))
+    same(every_span(secrets.scan(docs, broadcast_bytes=size)), want)
+
+
+def test_secrets_of_every_kind(spark, tmp_path):
+    """Files of their own for some rows, a text of many matches, matches of all rules."""
+    texts = [
+        "x-----BEGIN RSA PRIVATE KEY----- -----BEGIN PRIVATE KEY-----",
+        "ghp_" + "a1" * 18 + " gho_short xoxb-1234567890-ab xoxz-1234567890",
+        "AIza" + "x" * 36 + " eyJabcdefgh.eyJabcdefgh.sig",
+        "https://user:hunter2@host/ https://user@host",
+        "é " + "token=abcdefghijkl " * 700,
+        'API_KEY: "abcdefghijklm" ApiKey=abcdefghijklm api__key=abcdefghijklm',
+        "pas swo ord: abcdefghijklmnop",
+    ]
+    for k in range(3):
+        spark.createDataFrame([(i, texts[i]) for i in range(len(texts)) if i % 3 == k], "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path))
+    docs = spark.read.parquet(str(tmp_path))
+    want = [(i, *(sum(x[2] == k for x in secret_spans(t)) for k, _, _ in PLAIN_SECRETS[:3]), listed(secret_spans(t))) for i, t in enumerate(texts)]
+    for size in (secrets.BROADCAST_BYTES, 8 * secrets.BITMAP_BYTES):
+        same(every_span(secrets.scan(docs, broadcast_bytes=size)), want)
+    assert all(k in "".join(w[-1] for w in want) for k in [r.kind for r in secrets.ADDED])
+
+
+def test_secret_index_holds_rows(spark, tmp_path):
+    """Postings are bitmaps of rows; texts that a rule's query rejects are no candidates."""
+    spark.createDataFrame([(1, "akia x"), (2, "AKI KIA"), (3, "aki"), (4, None)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    located = secrets._located(docs, "doc_id", "text")
+    got = {r["gram"]: r["n"] for r in secrets.postings(located, ["aki", "kia"]).selectExpr("gram", "bitmap_count(bits) AS n").collect()}
+    assert got == {0: 3, 1: 2}
+    assert [r["n"] for r in secrets.candidates(located, [secrets.RULES[1]]).selectExpr("bitmap_count(b0) AS n").collect()] == [2]
+
+
+def test_secrets_without_native_exceptions():
+    source = open(secrets.__file__).read()
+    assert not any(x in source for x in ("mapInArrow", "mapInPandas", "pandas", ".rdd", "udf"))
 
 
 @pytest.mark.parametrize("setting", [(200, 64, 4096, 1 << 20), (200, 64, 1, 1 << 20), (40, 16, 3, 4096)])
@@ -266,9 +314,11 @@ def test_repeat_groups():
 
 
 def test_trigram_queries():
-    assert secrets.trigram_query(r"AKIA[A-Z0-9]+") == [{"aki", "kia"}]
-    assert secrets.trigram_query(r"[0-9a-f]{16,}") is None
-    assert {"tok", "oke", "ken"} in secrets.trigram_query(secrets.RULES[0].regex)
+    assert secrets.trigram_query(r"AKIA[A-Z0-9]+") == [[{"aki", "kia"}]]
+    assert secrets.trigram_query(r"[0-9a-f]{16,}") == []
+    assert {"tok", "ken"} in secrets.trigram_query(secrets.RULES[0].regex)[0]
+    assert secrets.trigram_query(r"abcd[xy]?e.*(?:fgh|ij)kl") == [[{"abc", "cde"}, {"abc", "dxe"}, {"abc", "dye"}], [{"fgh", "hkl"}, {"ijk", "jkl"}]]
+    assert secrets.trigram_query(r"(abc|x)d?") == []
 
 
 def brute_hits(data, items):
