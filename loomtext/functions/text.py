@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 #: White space as Python sees it; Java's class lacks the four separators.
 SPACE = r"\s\x1c-\x1f"
-_HELD = ""
 
 #: Newlines that a run of 1, 2, ... newlines becomes (0: a space);
 #: the last entry stands for all longer runs.
@@ -47,12 +46,15 @@ def newline_cascade(text: Column, five: int = 4, more: int = 5) -> Column:
 
 
 def newline_policy(text: Column, lengths: tuple[int, ...]) -> Column:
-    """Each run of newlines becomes the policy's; the longest runs are replaced
-    first, by a character that no run rule looks at (C6-C10)."""
-    for n in range(len(lengths), 0, -1):
-        run = f"\n{{{n},}}" if n == len(lengths) else "\n" * n
-        text = F.regexp_replace(text, run, _HELD * lengths[n - 1] or " ")
-    return F.replace(text, F.lit(_HELD), F.lit("\n"))
+    """Each run of newlines becomes the policy's (C6-C10). Runs that become a space go
+    first; of the others, in one pass, a group keeps the newlines that stay."""
+    last = len(lengths)
+    run = lambda n: f"\n{{{n},}}" if n == last else f"\n{{{n}}}"
+    for n in (n for n in range(1, last + 1) if not lengths[n - 1]):
+        text = F.regexp_replace(text, f"(?<!\n){run(n)}(?!\n)", " ")
+    kept = [(n, lengths[n - 1]) for n in range(1, last + 1) if lengths[n - 1]]
+    either = "|".join(f"(\n{{{stay}}})\n{{{n - stay}{',' if n == last else ''}}}" for n, stay in kept)
+    return F.regexp_replace(text, f"(?<!\n)(?:{either})(?!\n)", "".join(f"${i + 1}" for i in range(len(kept))))
 
 
 def newline_single_pass(text: Column, lengths: tuple[int, ...]) -> Column:
@@ -109,12 +111,20 @@ def decode_ids(ids: Column, tokens: Mapping[int, str]) -> Column:
     return F.array_join(F.transform(ids, lambda i: F.coalesce(F.try_element_at(table, i), F.lit("?"))), "")
 
 
-def word_tokens(text: Column) -> Column:
+def word_tokens(text: Column, empty: bool = False) -> Column:
     """Words with the single spaces between them as tokens of their own, between
-    begin and end marks (C25)."""
+    begin and end marks; ``empty`` keeps the words between adjoining spaces (C25)."""
     words = F.split(text, " ", -1)
     each = F.flatten(F.transform(words, lambda w, i: F.when(i == 0, F.array(w)).otherwise(F.array(F.lit(" "), w))))
-    return F.concat(F.array(F.lit("<BOS>")), F.filter(each, lambda w: w != ""), F.array(F.lit("<EOS>")))
+    return F.concat(F.array(F.lit("<BOS>")), each if empty else F.filter(each, lambda w: w != ""), F.array(F.lit("<EOS>")))
+
+
+def encode_words(tokens: Column, ids: Mapping[str, int], length: int, unknown: str = "<UNK>", padding: str = "<PAD>") -> Column:
+    """Ids of word tokens: those the vocabulary lacks get the unknown mark's, and
+    shorter sequences are filled on the right up to ``length`` (C25)."""
+    table = F.create_map(*[F.lit(x) for kv in ids.items() for x in kv])
+    known = F.transform(tokens, lambda t: F.coalesce(F.try_element_at(table, t), F.lit(ids[unknown])))
+    return F.concat(known, F.array_repeat(F.lit(ids[padding]), F.greatest(F.lit(length) - F.size(known), F.lit(0))))
 
 
 def display(token: Column) -> Column:

@@ -1,20 +1,26 @@
 """Training of a small word-based BPE, greedy encoding and decoding (K4-K7).
 
-Words are counted on the cluster; the merge loop runs on the driver over distinct
-words, of which ``max_words`` at most are taken, most frequent first, so that its
-memory is bounded. Pair counts are kept up to date through an index from pairs to
-words. Ties go to the pair that was seen first.
+Words are counted on the cluster. Where ``max_words`` distinct words hold them all, the
+merge loop runs on the driver, with pair counts kept up to date through an index from
+pairs to words; more words stay on the cluster, which counts their pairs anew for each
+merge. Both ways give the same merges: the most frequent pair, and of equals the one that
+comes first in the words as they are now, by a word's first occurrence.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.sources.shared import checkpointed
+
 MARK = "Ġ"
+#: Merges on the cluster between two checkpoints.
+_ROUNDS = 8
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -24,42 +30,113 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return w.groupBy("word").agg(F.count("*").alias("n"), F.min("at").alias("first"))
 
 
+class _Driver:
+    """Distinct words in memory."""
+
+    def __init__(self, counts: DataFrame):
+        rows = counts.orderBy("first").collect()
+        self.words, self.freq = [list(r["word"]) for r in rows], [r["n"] for r in rows]
+        self.pairs, self.where = Counter(), defaultdict(set)
+        for i, w in enumerate(self.words):
+            for p in zip(w, w[1:]):
+                self.pairs[p] += self.freq[i]
+                self.where[p].add(i)
+        self.heap = [(-n, p) for p, n in self.pairs.items()]
+        heapq.heapify(self.heap)
+
+    def symbols(self) -> set[str]:
+        return {c for w in self.words for c in w}
+
+    def tokens(self) -> int:
+        return sum(len(w) * n for w, n in zip(self.words, self.freq))
+
+    def best(self) -> tuple[tuple[str, str], int] | None:
+        equal, most = set(), 0
+        while self.heap and -self.heap[0][0] >= most:
+            n, p = heapq.heappop(self.heap)
+            if self.pairs.get(p) == -n:  # else an entry of before
+                most = -n
+                equal.add(p)
+        if not equal:
+            return None
+        first = min(equal, key=self._place) if len(equal) > 1 else next(iter(equal))
+        for p in equal:
+            heapq.heappush(self.heap, (-most, p))
+        return first, most
+
+    def _place(self, pair) -> tuple[int, int]:
+        i = min(self.where[pair])
+        w = self.words[i]
+        return i, next(k for k in range(len(w) - 1) if (w[k], w[k + 1]) == pair)
+
+    def merge(self, pair: tuple[str, str], new: str) -> None:
+        touched = set()
+        for i in sorted(self.where[pair]):
+            w, n = self.words[i], self.freq[i]
+            for p in zip(w, w[1:]):
+                self.pairs[p] -= n
+                self.where[p].discard(i)
+                touched.add(p)
+            self.words[i] = w = _merge(w, pair, new)
+            for p in zip(w, w[1:]):
+                self.pairs[p] += n
+                self.where[p].add(i)
+                touched.add(p)
+        for p in touched:
+            if self.pairs[p] > 0:
+                heapq.heappush(self.heap, (-self.pairs[p], p))
+            else:
+                del self.pairs[p], self.where[p]
+
+
+class _Cluster:
+    """Distinct words as a table (first, n, w) of symbols."""
+
+    def __init__(self, counts: DataFrame):
+        self.words = counts.select("first", "n", F.filter(F.split("word", ""), lambda c: c != "").alias("w"))
+        self.rounds = 0
+
+    def symbols(self) -> set[str]:
+        return {r["c"] for r in self.words.select(F.explode("w").alias("c")).distinct().collect()}
+
+    def tokens(self) -> int:
+        return self.words.agg(F.sum(F.size("w") * F.col("n"))).first()[0] or 0
+
+    def best(self) -> tuple[tuple[str, str], int] | None:
+        many = self.words.filter(F.size("w") > 1)
+        pairs = F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.struct(F.get("w", i).alias("left"), F.get("w", i + 1).alias("right")))
+        each = many.select("n", "first", F.posexplode(pairs).alias("pos", "pair"))
+        sums = each.groupBy("pair").agg(F.sum("n").alias("n"), F.min(F.struct("first", "pos")).alias("at"))
+        top = sums.orderBy(F.col("n").desc(), "at").limit(1).collect()
+        return ((top[0]["pair"]["left"], top[0]["pair"]["right"]), top[0]["n"]) if top else None
+
+    def merge(self, pair: tuple[str, str], new: str) -> None:
+        none = F.array().cast("array<string>")
+        join = lambda acc, x: F.when((F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("")) == pair[0]) & (x == pair[1]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.lit(new)))).otherwise(F.concat(acc, F.array(x)))
+        self.words = self.words.withColumn("w", F.aggregate("w", none, join))
+        self.rounds += 1
+        if self.rounds % _ROUNDS == 0:
+            self.words = checkpointed(self.words)
+
+
 def train(docs: DataFrame, vocabulary: int, target: float | None = None, min_frequency: int = 1, min_gain: float = 0.0, max_words: int = 500_000) -> DataFrame:
     """(rank, left, right, merged): merges until ``vocabulary`` symbols; with ``target``,
     until tokens are that share of characters, a pair is rarer than ``min_frequency``, or,
     past 1000 symbols, a merge gains less than ``min_gain`` (K5)."""
-    counts = word_counts(docs).orderBy(F.col("n").desc(), "first").limit(max_words).orderBy("first").collect()
-    words, freq = [list(r["word"]) for r in counts], [r["n"] for r in counts]
-    pairs, where, seen = Counter(), defaultdict(set), {}
-    for i, w in enumerate(words):
-        for p in zip(w, w[1:]):
-            pairs[p] += freq[i]
-            where[p].add(i)
-            seen.setdefault(p, len(seen))
-    symbols = {c for w in words for c in w}
-    tokens = chars = sum(len(w) * n for w, n in zip(words, freq))
+    counts = checkpointed(word_counts(docs))
+    held: _Driver | _Cluster = (_Driver if counts.count() <= max_words else _Cluster)(counts)
+    symbols = held.symbols()
+    tokens = chars = held.tokens()
     merges = []
-    while len(symbols) < vocabulary and pairs:
-        best = max(pairs, key=lambda p: (pairs[p], -seen[p]))
-        gain = pairs[best]
+    while len(symbols) < vocabulary and (top := held.best()):
+        best, gain = top
         if gain < min_frequency or (target is not None and (tokens / max(1, chars) <= target or (len(symbols) > 1000 and gain / max(1, tokens) < min_gain))):
             break
         new = best[0] + best[1]
         merges.append((len(merges), *best, new))
         symbols.add(new)
         tokens -= gain
-        for i in sorted(where[best]):
-            w, n = words[i], freq[i]
-            for p in zip(w, w[1:]):
-                pairs[p] -= n
-                if pairs[p] <= 0:
-                    del pairs[p]
-                where[p].discard(i)
-            words[i] = w = _merge(w, best, new)
-            for p in zip(w, w[1:]):
-                pairs[p] += n
-                where[p].add(i)
-                seen.setdefault(p, len(seen))
+        held.merge(best, new)
     return docs.sparkSession.createDataFrame(merges, "rank int, left string, right string, merged string")
 
 

@@ -78,7 +78,7 @@ def precise(docs: DataFrame, width: int = 100) -> DataFrame:
     return joined.mapInArrow(run, "ord long, text string")
 
 
-def greedy(docs: DataFrame, width: int = 100, threshold: float = 0.8, max_rounds: int = 1000) -> DataFrame:
+def greedy(docs: DataFrame, width: int = 100, threshold: float = 0.8) -> DataFrame:
     """(ord, kept): an entry goes if at least ``threshold`` of its window hashes (one
     every width/4 characters) are in entries kept before it (K2).
 
@@ -94,9 +94,7 @@ def greedy(docs: DataFrame, width: int = 100, threshold: float = 0.8, max_rounds
     size = hashes.groupBy("ord").agg(F.sum("n").alias("size"))
     state = docs.select("ord").join(size, "ord").join(rows.select("ord").distinct().withColumn("linked", F.lit(True)), "ord", "left")
     state = checkpointed(state.select("ord", "size", F.when(F.col("linked").isNull(), True).alias("kept")))
-    for _ in range(max_rounds):
-        if state.filter("kept IS NULL").isEmpty():
-            break
+    while not state.filter("kept IS NULL").isEmpty():  # each round decides one entry at least
         now = rows.join(state, "ord")
         least = now.groupBy("h", "g").agg(F.min(F.when(F.col("kept"), F.col("ord"))).alias("sure"), F.min(F.when(F.col("kept").isNull(), F.col("ord"))).alias("open"))
         seen = now.filter("kept IS NULL").join(least, ["h", "g"])
@@ -107,3 +105,23 @@ def greedy(docs: DataFrame, width: int = 100, threshold: float = 0.8, max_rounds
         new = F.when(F.col("lo") / F.col("size") >= threshold, False).when(F.col("hi") / F.col("size") < threshold, True)
         state = checkpointed(decided.select("ord", "size", F.coalesce("kept", new).alias("kept")))
     return state.select("ord", "kept")
+
+
+def statistics(docs: DataFrame, mode: str = "efficient", width: int = 100, threshold: float = 0.8) -> DataFrame:
+    """(seen, kept, removed, pct_removed) of a mode (K3): windows of "precise" (K1),
+    entries of "efficient" (K2)."""
+    if mode == "precise":
+        wins = window_hashes(docs.filter("text IS NOT NULL"), width).groupBy("h", "g").agg(F.count("*").alias("n"))
+        got = wins.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("seen"), F.count("*").alias("kept"))
+    else:
+        got = greedy(docs, width, threshold).agg(F.count("*").alias("seen"), F.count_if("kept").alias("kept"))
+    removed = F.col("seen") - F.col("kept")
+    return got.select("seen", "kept", removed.alias("removed"), F.round(100.0 * removed / F.nullif(F.col("seen"), F.lit(0)), 6).alias("pct_removed"))
+
+
+def deduplicate(docs: DataFrame, mode: str = "efficient", width: int = 100, threshold: float = 0.8) -> DataFrame:
+    """(ord, text) of what a mode keeps (K3)."""
+    if mode == "precise":
+        return precise(docs, width)
+    kept = greedy(docs, width, threshold).filter("kept").select("ord")
+    return docs.select("ord", "text").join(kept, "ord", "left_semi")

@@ -1,33 +1,62 @@
-"""Recurrences over ordered arrays (H10-H12) and fake quantisation (2.L): folds of
-built-in functions, a group's series at a time."""
+"""Recurrences over ordered series (H10-H12), spike codes and norms of vectors (2.L)."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _scan(values: Column, first, step) -> Column:
-    """Array of states: ``first(x)`` of the first value, then ``step(state, x)``."""
-    empty = F.array().cast("array<double>")
-    grow = lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, first(x)).otherwise(step(F.element_at(acc, -1), x))))
-    return F.aggregate(values, empty, grow)
+def _scan(rows: DataFrame, order: list[str], step: Callable, kind: str, out: Callable = lambda state: state) -> DataFrame:
+    """(run, step, out) of (run, value) in an order: ``step(state, value)`` from state
+    None on. A series is read once in order; a task holds one state, whatever the length."""
+
+    def run(batches):
+        last = state = object()
+        n = 0
+        for b in batches:
+            steps, found = [], []
+            for own, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if own != last:
+                    last, state, n = own, None, 0
+                state, n = step(state, x), n + 1
+                steps.append(n)
+                found.append(out(state))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(steps, pa.int64()), pa.array(found, types[kind])], names=["run", "step", "out"])
 
+    types = {"double": pa.float64(), "boolean": pa.bool_()}
+    dealt = rows.repartition("run").sortWithinPartitions("run", *order).select("run", "value")
+    return dealt.mapInArrow(run, f"run long, step long, out {kind}")
 
-def ema(values: Column, alpha: float) -> Column:
+
+def ema(rows: DataFrame, order: list[str], alpha: float) -> DataFrame:
     """m = (1 - alpha) m + alpha x, starting with the first value."""
-    return _scan(values, lambda x: x, lambda m, x: m * (1 - alpha) + x * alpha)
+    return _scan(rows, order, lambda m, x: x if m is None else m * (1 - alpha) + x * alpha, "double")
 
 
-def leaky(values: Column, rate: float) -> Column:
+def leaky(rows: DataFrame, order: list[str], rate: float) -> DataFrame:
     """u = u + rate (x - u), starting from 0."""
-    return _scan(values, lambda x: x * rate, lambda u, x: u * (1 - rate) + x * rate)
+    return _scan(rows, order, lambda u, x: (u or 0.0) * (1 - rate) + x * rate, "double")
 
 
-def spikes(values: Column, leak: float, threshold: float) -> Column:
+def spikes(rows: DataFrame, order: list[str], leak: float, threshold: float) -> DataFrame:
     """Whether a leaky membrane fires at each step; firing resets it."""
-    raw = lambda v, x: F.when(v >= threshold, F.lit(0.0)).otherwise(v) * (1 - leak) + x
-    return F.transform(_scan(values, lambda x: x, raw), lambda v: v >= threshold)
+    step = lambda v, x: (0.0 if v is None or v >= threshold else v) * (1 - leak) + x
+    return _scan(rows, order, step, "boolean", lambda v: v >= threshold)
+
+
+def rate_code(value: Column, steps: int) -> Column:
+    """Spikes of a value at each of ``steps``: its logistic exceeds the step's share (2.L)."""
+    chance = 1 / (1 + F.exp(-value))
+    return F.transform(F.sequence(F.lit(1), F.lit(steps)), lambda t: (chance > t / float(steps)).cast("int"))
+
+
+def rms_norm(vector: Column, eps: float = 1e-6) -> Column:
+    """A vector over the root of its mean square (2.L)."""
+    mean = F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x) / F.size(vector)
+    return F.transform(vector, lambda x: x / F.sqrt(mean + F.lit(eps)))
 
 
 def fake_quantise(value: Column, scale: Column, levels: int = 127) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import repair
 from loomtext.functions import text as T
-from loomtext.operators import lines
+from loomtext.operators import lines, numbering
 from loomtext.plans.registry import query
 from loomtext.sources import corpus
 from loomtext.sources.tables import table
@@ -44,7 +44,7 @@ def mirror(spark, sf_dir):
 
 @query("B4_numbered_words", "SELECT row_number() OVER (ORDER BY c_name) AS word_id, c_name AS word FROM customer")
 def numbered(spark, sf_dir):
-    return corpus.numbered(table(spark, sf_dir, "customer").select(F.col("c_name").alias("word")), "word")
+    return numbering.numbered(table(spark, sf_dir, "customer").select(F.col("c_name").alias("word")), ["word"], "word_id")
 
 
 @query("M_metric_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS least FROM events GROUP BY 1, 2")

@@ -22,7 +22,7 @@ def section_header(spark, sf_dir):
     return _lines(spark, sf_dir).select("doc_id", "pos", lines.is_section_header(F.col("w")).alias("header"))
 
 
-_D2 = "replace(left(w, 60), ' ', CASE WHEN pos % 2 = 0 THEN ': ' ELSE ' ' END)"
+_D2 = "replace(w, ' ', CASE WHEN pos % 2 = 0 THEN ': ' ELSE ' ' END)"
 
 
 @query("D2_field_label", f"SELECT doc_id, pos, {_LABEL.replace('{x}', 'w')} AS label FROM (SELECT doc_id, pos, {_D2} AS w FROM {_LINES_SQL})")
@@ -130,7 +130,7 @@ def bpe_train(spark, sf_dir):
 
 @query("K5_bpe_train_to_compression")
 def bpe_train_compression(spark, sf_dir):
-    return bpe.train(table(spark, sf_dir, "documents").select("doc_id", "text"), 600, target=0.5, min_frequency=2, min_gain=0.001)
+    return bpe.train(table(spark, sf_dir, "documents").select("doc_id", "text"), 50_000, target=0.5, min_frequency=2, min_gain=0.001)
 
 
 @query("K6_bpe_encode")
@@ -183,26 +183,25 @@ def _recursive(first: str, then: str) -> str:
 
 
 def _series(spark, sf_dir):
-    ev = table(spark, sf_dir, "events")
-    return ev.groupBy(F.col("user_id").alias("run")).agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))).alias("s")).select("run", F.col("s.value").alias("values"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), "ts", "event_id", "value")
+
+
+_ORDER = ["ts", "event_id"]
 
 
 @query("H10_ema", _recursive("value AS m", "0.9 * r.m + 0.1 * l.value AS m") + " SELECT run, step, round(m, 6) AS m FROM r")
 def ema(spark, sf_dir):
-    out = _series(spark, sf_dir).select("run", F.posexplode(recurrences.ema(F.col("values"), 0.1)).alias("step", "m"))
-    return out.select("run", (F.col("step") + 1).cast("long").alias("step"), F.round("m", 6).alias("m"))
+    return recurrences.ema(_series(spark, sf_dir), _ORDER, 0.1).select("run", "step", F.round("out", 6).alias("m"))
 
 
 @query("H12_leaky_integration", _recursive("0.1 * value AS u", "0.9 * r.u + 0.1 * l.value AS u") + " SELECT run, step, round(u, 6) AS u FROM r")
 def leaky(spark, sf_dir):
-    out = _series(spark, sf_dir).select("run", F.posexplode(recurrences.leaky(F.col("values"), 0.1)).alias("step", "u"))
-    return out.select("run", (F.col("step") + 1).cast("long").alias("step"), F.round("u", 6).alias("u"))
+    return recurrences.leaky(_series(spark, sf_dir), _ORDER, 0.1).select("run", "step", F.round("out", 6).alias("u"))
 
 
 @query("H11_spikes", _recursive("CASE WHEN value >= 100 THEN 0 ELSE value END AS v, value >= 100 AS spike", "CASE WHEN 0.8 * r.v + l.value >= 100 THEN 0 ELSE 0.8 * r.v + l.value END AS v, 0.8 * r.v + l.value >= 100 AS spike") + " SELECT run, step, spike FROM r")
 def spikes(spark, sf_dir):
-    out = _series(spark, sf_dir).select("run", F.posexplode(recurrences.spikes(F.col("values"), 0.2, 100.0)).alias("step", "spike"))
-    return out.select("run", (F.col("step") + 1).cast("long").alias("step"), "spike")
+    return recurrences.spikes(_series(spark, sf_dir), _ORDER, 0.2, 100.0).withColumnRenamed("out", "spike")
 
 
 @query("L_fake_quantise", "SELECT vec_id, round(sum(greatest(-127, least(127, round_even(v / s, 0))) * s), 6) AS total FROM (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v, (SELECT greatest(max(abs(CAST(x AS DOUBLE))), 1e-8) / 127 FROM (SELECT unnest(embedding) AS x FROM embeddings)) AS s FROM embeddings) GROUP BY vec_id")

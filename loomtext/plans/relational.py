@@ -21,9 +21,10 @@ DIALECT = {
     "NAMES": ("SELECT p_type, p_partkey, pos, w FROM part LATERAL VIEW posexplode(split(p_name, ' ')) AS pos, w", "SELECT p_type, p_partkey, unnest(range(len(string_split(p_name, ' ')))) AS pos, unnest(string_split(p_name, ' ')) AS w FROM part"),
     "VECTOR": ("SELECT vec_id, label, pos, CAST(v AS DOUBLE) AS v FROM embeddings LATERAL VIEW posexplode(embedding) AS pos, v", "SELECT vec_id, label, unnest(range(len(embedding))) AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings"),
     "GRAMS": (
-        "SELECT doc_id, pos, n, substring(w, i, n) AS gram FROM words LATERAL VIEW explode(sequence(1, 4)) AS n LATERAL VIEW explode(sequence(1, length(w))) AS i WHERE i + n - 1 <= length(w)",
-        "SELECT doc_id, pos, n, substring(w, CAST(i AS INT), CAST(n AS INT)) AS gram FROM words, range(1, 5) AS a(n), range(1, 200) AS b(i) WHERE i + n - 1 <= length(w)",
+        "SELECT w, c, n, substring(w, i, n) AS gram FROM f LATERAL VIEW explode(sequence(1, 4)) AS n LATERAL VIEW explode(sequence(1, length(w))) AS i WHERE i + n - 1 <= length(w)",
+        "SELECT w, c, n, substring(w, CAST(i AS INT), CAST(n AS INT)) AS gram FROM (SELECT w, c, unnest(range(1, length(w) + 1)) AS i FROM f), range(1, 5) AS a(n) WHERE i + n - 1 <= length(w)",
     ),
+    "KEPT": ("", "MATERIALIZED"),
     "BOUNDS": ("SELECT explode(sequence(0, 14)) AS bucket", "SELECT unnest(range(15)) AS bucket"),
     "SIZES": ("SELECT explode(array(128, 256, 512, 1024)) AS size", "SELECT unnest([128, 256, 512, 1024]) AS size"),
     "COUNT_WORDS": ("size(split(text, ' '))", "len(string_split(text, ' '))"),
@@ -59,14 +60,14 @@ def both(name: str, sql: str) -> None:
 
 
 # A: sources as tables
-both("A8_roles_by_extension", "SELECT doc_id, CASE WHEN name LIKE '%.txt' THEN 'train' ELSE 'test' END AS role FROM (SELECT doc_id, name, row_number() OVER (ORDER BY doc_id) AS n FROM (SELECT doc_id, concat('w', doc_id, CASE doc_id % 5 WHEN 0 THEN '.TEST' WHEN 1 THEN '.pdf' ELSE '.txt' END) AS name FROM documents) WHERE name LIKE '%.txt' OR name LIKE '%.TEST') WHERE n <= 600")
+both("A8_roles_by_extension", "SELECT doc_id, CASE WHEN name LIKE '%.txt' THEN 'train' ELSE 'test' END AS role FROM (SELECT doc_id, concat('w', doc_id, CASE doc_id % 5 WHEN 0 THEN '.TEST' WHEN 1 THEN '.pdf' ELSE '.txt' END) AS name FROM documents) WHERE name LIKE '%.txt' OR name LIKE '%.TEST' ORDER BY doc_id LIMIT 600")
 both("A10_lower_scripts", "SELECT doc_id, lower(text) AS content FROM documents WHERE source = 'src3'")
 both("A11_lines", "{LINES}")
 both("A14_robots", "SELECT page_id, max(CASE WHEN rn = 1 THEN allow END) AS allowed FROM (SELECT page_id, allow, row_number() OVER (PARTITION BY page_id ORDER BY length(prefix) DESC) AS rn FROM pages JOIN (SELECT '' AS prefix, 1 AS allow UNION ALL SELECT 'https' AS prefix, 0 AS allow UNION ALL SELECT 'https://m' AS prefix, 1 AS allow) rules ON left(url, length(prefix)) = prefix) GROUP BY page_id")
 both("A16_url_fallback", "SELECT c.page_id, min(c.pos) AS tried, min(p.url) AS url FROM ({URLS}) c JOIN (SELECT url FROM pages) p ON c.u = p.url GROUP BY c.page_id")
 both("A17_metadata_search", "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' AND c_name LIKE '%1%' ORDER BY c_custkey LIMIT 3")
 both("A18_ids_from_lines", "SELECT id FROM (SELECT try_cast(CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE concat('', c_custkey) END AS INT) AS id FROM customer) WHERE id IS NOT NULL")
-both("A19_preset_tokens", "WITH words AS ({WORDS}), raw AS (SELECT lower(w) AS token, min(doc_id * 100000 + pos) AS ord FROM words WHERE w <> '' GROUP BY lower(w)), allowed AS (SELECT token, ord FROM raw WHERE token NOT IN ('the', 'and', 'of')) SELECT a.token FROM allowed a LEFT JOIN (SELECT token, ord FROM allowed) b ON b.token = concat(a.token, '_') AND b.ord < a.ord WHERE b.token IS NULL")
+both("A19_preset_tokens", "WITH words AS {KEPT} ({WORDS}), allowed AS {KEPT} (SELECT lower(w) AS token, min(doc_id * 100000 + pos) AS ord FROM words WHERE w <> '' AND lower(w) NOT IN ('the', 'and', 'of') GROUP BY lower(w)) SELECT a.token FROM allowed a LEFT JOIN (SELECT substring(token, 1, length(token) - 1) AS stem, ord FROM allowed WHERE right(token, 1) = '_') b ON b.stem = a.token WHERE b.ord IS NULL OR b.ord >= a.ord")
 
 # E: filters
 both("E1_extension", "SELECT doc_id FROM (SELECT doc_id, concat('w', doc_id, CASE doc_id % 3 WHEN 0 THEN '.txt' WHEN 1 THEN '.html' ELSE '.IGNORE' END) AS name FROM documents) WHERE name LIKE '%.txt' OR name LIKE '%.html'")
@@ -80,31 +81,22 @@ both("E7_rare_presets", "WITH words AS ({WORDS}), f AS (SELECT lower(w) AS token
 # F: joins
 both("F1_left_anti", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 both("F2_inner", "SELECT d.doc_id, l.quality, b.item_id FROM documents d JOIN labels l ON l.doc_id = d.doc_id JOIN benchmark b ON b.item_id = d.doc_id".replace(" d JOIN", " AS d JOIN").replace("labels l", "labels AS l").replace("benchmark b", "benchmark AS b"))
-both("F3_substring_counts", "WITH a AS (SELECT DISTINCT w AS word FROM ({NAMES}) UNION SELECT 'tion' AS word UNION SELECT 'the' AS word) SELECT word, CAST(sum((length(lower(text)) - length(replace(lower(text), word, ''))) / length(word)) AS BIGINT) AS matches FROM documents CROSS JOIN a GROUP BY word")
 both("F4_zero_fill", "WITH words AS ({WORDS}), c AS (SELECT lower(w) AS token, count(*) AS n FROM words GROUP BY lower(w)), v AS (SELECT DISTINCT w AS token FROM ({NAMES}) UNION SELECT 'the' AS token) SELECT v.token, coalesce(c.n, 0) AS n FROM v LEFT JOIN c ON c.token = v.token")
-both("F5_token_ids", "WITH words AS ({WORDS}), v AS (SELECT token, row_number() OVER (ORDER BY token) AS id FROM (SELECT DISTINCT w AS token FROM words WHERE doc_id % 2 = 0)) SELECT x.doc_id, x.pos, coalesce(v.id, 0) AS id FROM (SELECT doc_id, pos, w FROM words) x LEFT JOIN v ON v.token = x.w")
-both("F5_token_ids_all", "WITH words AS ({WORDS}), v AS (SELECT token, row_number() OVER (ORDER BY token) AS id FROM (SELECT DISTINCT w AS token FROM words)) SELECT x.doc_id, x.pos, coalesce(v.id, 0) AS id FROM (SELECT doc_id, pos, w FROM words) x LEFT JOIN v ON v.token = x.w")
-both("F6_shared_windows", "WITH win AS ({WINDOWS}), own AS (SELECT DISTINCT doc_id, win FROM win) SELECT doc_id, count(*) AS windows, sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS shared FROM (SELECT doc_id, win, count(*) OVER (PARTITION BY win) AS n FROM own) GROUP BY doc_id".replace("sum(CASE", "count(CASE").replace("THEN 1 ELSE 0 END", "THEN 1 END"))
 both("F7_forward_as_of", "WITH l AS ({LOSS}) SELECT run, step, loss, min_step AS eval_step FROM (SELECT run, step, loss, min(CASE WHEN step % 10 = 0 THEN step END) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS min_step FROM l)")
 both("F8_bucket_quota", "WITH q AS (SELECT 0 AS bucket, 3 AS quota UNION ALL SELECT 1 AS bucket, 2 AS quota UNION ALL SELECT 2 AS bucket, 1 AS quota), b AS (SELECT doc_id, CASE WHEN length(text) < 1000 THEN 0 WHEN length(text) < 3000 THEN 1 ELSE 2 END AS bucket FROM documents) SELECT b.doc_id, b.bucket, q.quota FROM b JOIN q ON q.bucket = b.bucket")
 both("F9_first_holder", "SELECT doc_id, id, first_value(doc_id) OVER (PARTITION BY id ORDER BY doc_id) AS holder FROM (SELECT doc_id, doc_id % 90 AS id FROM documents)")
 
 # G: aggregations
 both("G1_totals", "SELECT count(*) AS works, CAST(sum({COUNT_WORDS}) AS BIGINT) AS words, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents")
-both("G3_before_after", "SELECT lang, CAST(sum(length(text)) AS BIGINT) AS before, CAST(sum(length(replace(text, ' the ', ' '))) AS BIGINT) AS after FROM documents GROUP BY ROLLUP (lang)")
 both("G4_word_frequency", "SELECT token, count(*) AS n FROM (SELECT CASE WHEN pos = 0 THEN w ELSE concat('Ġ', w) END AS token FROM ({WORDS}) WHERE w <> '') GROUP BY token")
-both("G5_ngrams", "WITH words AS ({WORDS}), g AS ({GRAMS}) SELECT gram, n, c FROM (SELECT gram, n, count(*) AS c FROM g GROUP BY gram, n HAVING count(*) >= 2) ORDER BY c DESC, n, gram LIMIT 1000")
-both("G6_vocab_ids", "WITH words AS ({WORDS}), f AS (SELECT w, count(*) AS n FROM words WHERE w <> '' GROUP BY w), s AS (SELECT '<PAD>' AS token, 1 AS o UNION ALL SELECT '<UNK>' AS token, 2 AS o UNION ALL SELECT '<BOS>' AS token, 3 AS o UNION ALL SELECT '<EOS>' AS token, 4 AS o) SELECT token, row_number() OVER (ORDER BY o, n DESC, token) AS id FROM (SELECT token, o, 0 AS n FROM s UNION ALL SELECT w AS token, 5 AS o, n FROM f WHERE w NOT IN (SELECT token FROM s))")
-both("G7_alphabet", "SELECT c, row_number() OVER (ORDER BY c) AS id FROM ({CHARS})")
+both("G5_ngrams", "WITH words AS ({WORDS}), f AS (SELECT w, count(*) AS c FROM words WHERE w <> '' GROUP BY w), g AS ({GRAMS}) SELECT gram, n, c FROM (SELECT gram, n, CAST(sum(c) AS BIGINT) AS c FROM g GROUP BY gram, n HAVING sum(c) >= 2) ORDER BY c DESC, n, gram LIMIT 1000")
 both("G8_longest_sentence", "SELECT max({SENTENCE_SIZE}) AS longest FROM ({SENTENCES})")
-both("G9_token_frequency", "WITH words AS ({WORDS}), v AS (SELECT w, row_number() OVER (ORDER BY w) AS id FROM (SELECT DISTINCT w FROM words)) SELECT v.id, count(x.w) AS n FROM v LEFT JOIN (SELECT w FROM words WHERE doc_id % 2 = 0) x ON x.w = v.w GROUP BY v.id")
-both("G9_token_frequency_all", "WITH words AS ({WORDS}), v AS (SELECT w, row_number() OVER (ORDER BY w) AS id FROM (SELECT w FROM words UNION SELECT w FROM ({NAMES}))) SELECT v.id, count(x.w) AS n FROM v LEFT JOIN (SELECT w FROM words) x ON x.w = v.w GROUP BY v.id")
 _BUCKET = "CASE WHEN n < 100 THEN 0 WHEN n < 500 THEN 1 WHEN n < 1000 THEN 2 WHEN n < 5000 THEN 3 WHEN n < 10000 THEN 4 WHEN n < 50000 THEN 5 WHEN n < 100000 THEN 6 WHEN n < 500000 THEN 7 WHEN n < 1000000 THEN 8 WHEN n < 2000000 THEN 9 WHEN n < 5000000 THEN 10 WHEN n < 10000000 THEN 11 WHEN n < 20000000 THEN 12 WHEN n < 30000000 THEN 13 ELSE 14 END"
 both("G10_frequency_histogram", f"WITH words AS ({{WORDS}}), f AS (SELECT w, count(*) AS n FROM words GROUP BY w), h AS (SELECT {_BUCKET} AS bucket, count(*) AS tokens FROM f GROUP BY {_BUCKET}) SELECT b.bucket, coalesce(h.tokens, 0) AS tokens, round(1e2 * coalesce(h.tokens, 0) / (SELECT count(*) FROM f), 6) AS pct FROM ({{BOUNDS}}) b LEFT JOIN h ON h.bucket = b.bucket")
 _MARKS = "CASE WHEN n < 200 THEN 0 WHEN n < 1000 THEN 200 WHEN n < 2000 THEN 1000 WHEN n < 5000 THEN 2000 ELSE 5000 END"
 both("G11_length_histogram", f"SELECT {_MARKS} AS marker, count(*) AS works, min(doc_id) AS first_idx FROM (SELECT doc_id, {{COUNT_WORDS}} AS n FROM documents) GROUP BY {_MARKS}")
 both("G12_compression_ratio", "SELECT lang, round(coalesce(CAST(sum({COUNT_WORDS}) AS DOUBLE) / nullif(sum(length(text)), 0), 1.0), 9) AS ratio FROM documents GROUP BY lang")
-both("G13_pair_frequency", "WITH words AS ({WORDS}), f AS (SELECT w, count(*) AS n FROM words GROUP BY w), g AS ({GRAMS}) SELECT gram AS pair, count(*) AS n FROM g WHERE n = 2 GROUP BY gram")
+both("G13_pair_frequency", "WITH words AS ({WORDS}), f AS (SELECT w, count(*) AS c FROM words WHERE w <> '' GROUP BY w), g AS ({GRAMS}) SELECT gram AS pair, CAST(sum(c) AS BIGINT) AS n FROM g WHERE n = 2 GROUP BY gram")
 both("G14_dedup_stats", "SELECT count(*) AS seen, count(DISTINCT text) AS kept, count(*) - count(DISTINCT text) AS removed, round(1e2 * (count(*) - count(DISTINCT text)) / count(*), 6) AS pct FROM documents")
 both("G15_macro_average", "SELECT round(avg(m), 9) AS macro FROM (SELECT event_type, avg(value) AS m FROM events GROUP BY event_type)")
 both("G16_micro_average", "SELECT round(avg(value), 9) AS micro FROM (SELECT value FROM events ORDER BY event_id LIMIT 1000)")
@@ -129,7 +121,6 @@ both(
     f"WITH l AS ({{LOSS}}), b AS ({_BEST}), m AS (SELECT run, step, loss, best, CASE WHEN best IS NULL OR loss < best THEN 1 ELSE 0 END AS up FROM b), g AS (SELECT run, step, loss, best, up, sum(up) OVER (PARTITION BY run ORDER BY step ROWS UNBOUNDED PRECEDING) AS island, sum(1 - up) OVER (PARTITION BY run ORDER BY step ROWS UNBOUNDED PRECEDING) AS worse FROM m), s AS (SELECT run, step, loss, best, up, worse, sum(1 - up) OVER (PARTITION BY run, island ORDER BY step ROWS UNBOUNDED PRECEDING) AS streak FROM g) SELECT run, min(step) AS stop_step FROM s WHERE up = 0 AND (loss > 1.03 * best OR streak >= 5 OR (worse >= 8 AND streak >= 2)) GROUP BY run",
 )
 both("H6_top_p", "SELECT vec_id, pos, round(p, 9) AS p FROM (SELECT vec_id, pos, p, sum(p) OVER (PARTITION BY vec_id ORDER BY p DESC, pos ROWS UNBOUNDED PRECEDING) - p AS ahead FROM (SELECT vec_id, pos, exp(v) / sum(exp(v)) OVER (PARTITION BY vec_id) AS p FROM ({VECTOR}))) WHERE ahead <= 0.5")
-both("H7_offsets", "SELECT doc_id, CAST(sum(n) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - n AS BIGINT) AS first, n FROM (SELECT doc_id, {COUNT_WORDS} AS n FROM documents)")
 both("H8_every_tenth", "SELECT run, step, loss FROM ({LOSS}) WHERE (step - 1) % 10 = 0")
 both("H9_validation_split", "WITH w AS ({NAMES}), f AS (SELECT p_type, p_partkey, count(CASE WHEN first THEN 1 END) AS fresh FROM (SELECT p_type, p_partkey, row_number() OVER (PARTITION BY p_type, w ORDER BY p_partkey, pos) = 1 AS first FROM w) GROUP BY p_type, p_partkey) SELECT p_type, p_partkey, coalesce(before, 0) <= greatest(3, least(0.05 * n, 4096)) AS validation FROM (SELECT p_type, p_partkey, sum(fresh) OVER (PARTITION BY p_type ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, count(*) OVER (PARTITION BY p_type) AS n FROM f)")
 both("H13_learning_rate", "SELECT event_id AS step, round(CASE WHEN event_id < 1000 THEN event_id / 1000.0 ELSE 0.1 + 0.9 * 0.5 * (1 + cos(3.141592653589793 * (event_id - 1000) / 9000.0)) END, 9) AS rate FROM events")

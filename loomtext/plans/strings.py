@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomtext.functions import repair
 from loomtext.functions import text as T
 from loomtext.plans.registry import query
 from loomtext.sources.tables import table
@@ -50,7 +51,15 @@ projected("C4_newline_cascade", RUNS, RUNS_SQL, T.newline_cascade, cascade_sql(4
 projected("C5_newline_cascade_short", RUNS, RUNS_SQL, lambda t: T.newline_cascade(t, 3, 3), cascade_sql(3, 3))
 for _id, _lengths in T.NEWLINE_POLICIES.items():
     projected(f"{_id}_newline_policy", RUNS, RUNS_SQL, lambda t, n=_lengths: T.newline_policy(t, n), policy_sql(_lengths))
-projected("C11_newline_single_pass", RUNS, RUNS_SQL, lambda t: T.newline_single_pass(t, T.NEWLINE_POLICIES["C6"]), policy_sql(T.NEWLINE_POLICIES["C6"], "substring({t}, 1, length({t}) - 1)"))
+
+
+@query("C11_newline_single_pass", f"SELECT doc_id, {policy_sql(T.NEWLINE_POLICIES['C6'], f'substring({RUNS_SQL}, 1, length({RUNS_SQL}) - 1)')} AS out FROM documents")
+def newline_single_pass(spark, sf_dir):
+    """Repair first, then the pass; the table's texts are sound, so SQL leaves repair out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(RUNS).alias("text"))
+    return repair.mapped(docs, repair.fix).select("doc_id", T.newline_single_pass(F.col("text"), T.NEWLINE_POLICIES["C6"]).alias("out"))
+
+
 HEAD = "concat('A: ', left(text, 250), ' <b>?*')"
 projected("C15_file_name", HEAD, "'A: ' || left(text, 250) || ' <b>?*'", T.file_name, r"""coalesce(nullif(left(trim(regexp_replace(regexp_replace({t}, '[<>:"/\\|?*]', '', 'g'), '\s+', ' ', 'g')), 200), ''), 'untitled')""")
 LINES = "array_join(transform(split(text, '\\n', -1), (x, i) -> if(i % 5 = 0, concat('#', x), x)), '\\n')"
@@ -59,13 +68,19 @@ projected("C16_strip_comments", LINES, LINES_SQL, T.strip_comments, "array_to_st
 projected("C17_lower", "text", "text", F.lower, "lower({t})")
 projected("C18_words_and_characters", "text", "text", lambda t: F.concat_ws("/", T.word_count(t), F.length(t)), r"concat_ws('/', len(regexp_extract_all({t}, '\S+')), length({t}))")
 projected("C19_work_id", "concat('Work (x) ', doc_id, ' (', doc_id % 90, ').txt')", "'Work (x) ' || doc_id || ' (' || doc_id % 90 || ').txt'", T.work_id, "list_extract(string_split(string_split({t}, ').txt')[1], '('), -1)")
-projected("C20_title", "concat(left(text, 20), if(doc_id % 2 = 0, ' by me', ''), if(doc_id % 3 = 0, ' by us', ''))", "left(text, 20) || CASE WHEN doc_id % 2 = 0 THEN ' by me' ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN ' by us' ELSE '' END", T.title, "CASE WHEN len(string_split({t}, ' by ')) > 2 THEN list_extract(string_split({t}, ' by '), -2) ELSE string_split({t}, ' by ')[1] END")
+projected("C20_title", "concat(text, if(doc_id % 2 = 0, ' by me', ''), if(doc_id % 3 = 0, ' by us', ''))", "text || CASE WHEN doc_id % 2 = 0 THEN ' by me' ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN ' by us' ELSE '' END", T.title, "CASE WHEN len(string_split({t}, ' by ')) > 2 THEN list_extract(string_split({t}, ' by '), -2) ELSE string_split({t}, ' by ')[1] END")
 projected("C27_display", "left(text, 20 + cast(doc_id % 40 AS int))", "left(text, CAST(20 + doc_id % 40 AS INT))", T.display, r"(WITH s AS (SELECT replace(replace({t}, chr(10), '\n'), chr(9), '\t') AS x) SELECT CASE WHEN length(x) > 40 THEN left(x, 37) || '...' ELSE x END FROM s)")
 projected("A7_document", "text", "text", T.document, "'<BOS>' || chr(10) || {t} || chr(10) || '<EOS><SEP>'")
 ALPHABET = {c: i for i, c in enumerate(" etaoinshrdlu")}
-projected("C24_encode_characters", "left(text, 200)", "left(text, 200)", lambda t: F.array_join(T.encode_characters(t, ALPHABET, 99).cast("array<string>"), " "), "array_to_string(list_transform(list_filter(string_split({t}, ''), lambda c: c <> ''), lambda c: CASE WHEN contains(' etaoinshrdlu', c) THEN strpos(' etaoinshrdlu', c) - 1 ELSE 99 END), ' ')")
-projected("C26_decode", "left(text, 200)", "left(text, 200)", lambda t: T.decode_ids(T.encode_characters(t, ALPHABET, 99), {i: c for c, i in ALPHABET.items()}), "array_to_string(list_transform(list_filter(string_split({t}, ''), lambda c: c <> ''), lambda c: CASE WHEN contains(' etaoinshrdlu', c) THEN c ELSE '?' END), '')")
-projected("C25_word_tokens", "left(text, 300)", "left(text, 300)", lambda t: F.array_join(T.word_tokens(t), "|"), "'<BOS>|' || array_to_string(list_filter(flatten(list_transform(string_split({t}, ' '), lambda w, i: CASE WHEN i = 1 THEN [w] ELSE [' ', w] END)), lambda w: w <> ''), '|') || '|<EOS>'")
+projected("C24_encode_characters", "text", "text", lambda t: F.array_join(T.encode_characters(t, ALPHABET, 99).cast("array<string>"), " "), "array_to_string(list_transform(list_filter(string_split({t}, ''), lambda c: c <> ''), lambda c: CASE WHEN contains(' etaoinshrdlu', c) THEN strpos(' etaoinshrdlu', c) - 1 ELSE 99 END), ' ')")
+projected("C26_decode", "text", "text", lambda t: T.decode_ids(T.encode_characters(t, ALPHABET, 99), {i: c for c, i in ALPHABET.items()}), "array_to_string(list_transform(list_filter(string_split({t}, ''), lambda c: c <> ''), lambda c: CASE WHEN contains(' etaoinshrdlu', c) THEN c ELSE '?' END), '')")
+VOCABULARY = ["<PAD>", "<UNK>", "<BOS>", "<EOS>", " ", "the", "and", "of", "de", "la", "und", "el"]
+WORD_IDS = {w: i for i, w in enumerate(VOCABULARY)}
+_SPACED_SQL = "flatten(list_transform(string_split({t}, ' '), lambda w, i: CASE WHEN i = 1 THEN [w] ELSE [' ', w] END))"
+_WORD_TOKENS_SQL = f"list_concat(['<BOS>'], list_filter({_SPACED_SQL}, lambda w: w <> ''), ['<EOS>'])"
+_WORD_IDS_SQL = f"list_transform(list_concat(['<BOS>'], {_SPACED_SQL}, ['<EOS>']), lambda w: coalesce(list_position([{', '.join(map(repr, VOCABULARY))}], w) - 1, 1))"
+projected("C25_word_tokens", "text", "text", lambda t: F.array_join(T.word_tokens(t), "|"), f"array_to_string({_WORD_TOKENS_SQL}, '|')")
+projected("C25_word_ids", "text", "text", lambda t: F.array_join(T.encode_words(T.word_tokens(t, empty=True), WORD_IDS, 512).cast("array<string>"), " "), f"(WITH a AS (SELECT {_WORD_IDS_SQL} AS x) SELECT array_to_string(list_concat(x, list_transform(range(greatest(512 - len(x), 0)), lambda i: 0)), ' ') FROM a)")
 _footers, _headers, _updates = T.license_markers()
 
 
@@ -102,6 +117,17 @@ def trim_license(spark, sf_dir):
     return docs.select("doc_id", T.trim_license(F.col("text")).alias("out"))
 
 
+_WORDS_SQL = "len(regexp_extract_all({t}, '\\S+'))"
+
+
+@query("G3_before_after", f"SELECT lang, CAST(sum(before) AS BIGINT) AS before, CAST(sum(length(out)) AS BIGINT) AS after, CAST(sum(words_before) AS BIGINT) AS words_before, CAST(sum({_WORDS_SQL.replace('{t}', 'out')}) AS BIGINT) AS words_after FROM (SELECT doc_id, lang, length(t) AS before, {_WORDS_SQL.replace('{t}', 't')} AS words_before FROM (SELECT doc_id, lang, {_licensed(True)} AS t FROM documents)) d JOIN ({_trim_sql()}) x USING (doc_id) GROUP BY ROLLUP (lang)")
+def before_after(spark, sf_dir):
+    """Characters and words before and after the license trim, with the total."""
+    docs = table(spark, sf_dir, "documents").select("lang", F.expr(_licensed(False)).alias("text"))
+    docs = docs.withColumn("out", T.trim_license(F.col("text")))
+    return docs.rollup("lang").agg(F.sum(F.length("text")).alias("before"), F.sum(F.length("out")).alias("after"), F.sum(T.word_count(F.col("text"))).alias("words_before"), F.sum(T.word_count(F.col("out"))).alias("words_after"))
+
+
 @query("C21_title_tag", "SELECT page_id, CASE WHEN contains(html, '<title>') THEN string_split(string_split(html, '<title>')[2], '</title>')[1] END AS out FROM pages")
 def title_tag(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.between(F.col("html"), "<title>", "</title>").alias("out"))
@@ -144,4 +170,4 @@ def index_entries(spark, sf_dir):
     return entry.select("doc_id", T.index_entry(F.col("t")).alias("name"))
 
 
-projected("C28_tidy_question", "replace(left(text, 40 + cast(doc_id % 9 AS int)), 'the', ' . ')", "replace(left(text, CAST(40 + doc_id % 9 AS INT)), 'the', ' . ')", T.tidy_question, "(WITH a AS (SELECT trim(replace({t}, '  ', ' '), ' ' || chr(10) || chr(9) || chr(13)) AS x), b AS (SELECT CASE WHEN right(x, 1) IN ('.', '?', '!') THEN x WHEN contains(x, '?') THEN x || '?' ELSE x || '.' END AS x FROM a) SELECT CASE WHEN right(x, 2) IN ('..', '??') THEN left(x, length(x) - 1) ELSE x END FROM b)")
+projected("C28_tidy_question", "replace(text, 'the', ' . ')", "replace(text, 'the', ' . ')", T.tidy_question, "(WITH a AS (SELECT trim(replace({t}, '  ', ' '), ' ' || chr(10) || chr(9) || chr(13)) AS x), b AS (SELECT CASE WHEN right(x, 1) IN ('.', '?', '!') THEN x WHEN contains(x, '?') THEN x || '?' ELSE x || '.' END AS x FROM a) SELECT CASE WHEN right(x, 2) IN ('..', '??') THEN left(x, length(x) - 1) ELSE x END FROM b)")

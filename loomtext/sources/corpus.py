@@ -9,9 +9,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtext.operators import numbering
+
+
+def _plain(name: Column) -> Column:
+    """Names as they are, not as paths escape them."""
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
 
 def _name(path: Column) -> Column:
-    return F.url_decode(F.replace(F.substring_index(path, "/", -1), F.lit("+"), F.lit("%2B")))
+    return _plain(F.substring_index(path, "/", -1))
 
 
 def files(spark: SparkSession, folder: str, recursive: bool = False, pattern: str | None = None) -> DataFrame:
@@ -24,11 +31,38 @@ def files(spark: SparkSession, folder: str, recursive: bool = False, pattern: st
     return df.select("path", _name(F.col("path")).alias("file_name"), F.element_at(F.split("path", "/"), -2).alias("folder"), "length")
 
 
+def folders(spark: SparkSession, root: str) -> DataFrame:
+    """(folder) that a folder has right below it (A2), hidden ones left out; a listing of
+    the store, as Spark's own planning makes one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    names = sorted(f.getPath().getName() for f in found if f.isDirectory() and f.getPath().getName()[:1] not in "._")
+    return spark.createDataFrame([(n,) for n in names], "folder string")
+
+
+def ordered(tree: DataFrame, root: str) -> DataFrame:
+    """(relative, ord) of files: a folder's own before those of its folders (A3)."""
+    relative = _plain(F.substring_index("path", root.rstrip("/").rsplit("/", 1)[-1] + "/", -1))
+    parts = F.split("relative", "/")
+    key = F.transform(parts, lambda x, i: F.concat(F.when(i == F.size(parts) - 1, F.lit("0")).otherwise(F.lit("1")), x))
+    return numbering.numbered(tree.select(relative.alias("relative")).withColumn("key", key), ["key"], "ord").drop("key")
+
+
+def plant(spark: SparkSession, root: str, texts: list[tuple[str, str, bytes]]) -> None:
+    """Write a small tree of (folder, file name, content), file by file from the driver."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder, name, content in texts:
+        out = store.create(path(f"{root}/{folder}/{name}" if folder else f"{root}/{name}"), True)
+        out.write(bytearray(content))
+        out.close()
+
+
 def scan(spark: SparkSession, root: str, pattern: str = "*.txt") -> DataFrame:
     """(category, file_name, text) of <root>/<category>/<file> (A4)."""
-    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root, wholetext=True)
+    df = spark.read.text(f"{root}/*/{pattern}", wholetext=True)
     path = F.col("_metadata.file_path")
-    return df.select(F.url_decode(F.element_at(F.split(path, "/"), -2)).alias("category"), F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text"))
+    return df.select(_plain(F.element_at(F.split(path, "/"), -2)).alias("category"), _name(path).alias("file_name"), F.col("value").alias("text"))
 
 
 def sample(corpus: DataFrame, n: int, seed: int = 52, key: str = "file_name") -> DataFrame:
@@ -73,11 +107,3 @@ def mirrored(path: Column, origin: str, target: str, extension: str | None = Non
     """The path under another root, with another extension if one is named."""
     out = F.concat(F.lit(target), F.substring(path, F.lit(len(origin) + 1), F.length(path)))
     return out if extension is None else F.concat(F.regexp_replace(out, r"\.[^./]*$", ""), F.lit(extension))
-
-
-def numbered(words: DataFrame, order: str, name: str = "word_id") -> DataFrame:
-    """Rows with dense ids from 1 in an order, for a table that is replaced as a whole
-    (B4). Ids come from the offsets of sorted partitions; no task holds all rows."""
-    schema = f"{name} long, " + ", ".join(f"`{c}` {t}" for c, t in words.dtypes)
-    pairs = words.orderBy(order).rdd.zipWithIndex()
-    return words.sparkSession.createDataFrame(pairs.map(lambda x: (x[1] + 1, *x[0])), schema)

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import DataFrame
+
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, or the folder set on the context; a local master without
+    either takes one beside its warehouse."""
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not path and sc.master.startswith("local"):
+        path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.loomtext"
+    if not path:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(path)
+    return path.rstrip("/")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in ``spark.checkpoint.dir``; only where the session
-    names none (tests) one is set."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="loomtext-"))
+    """A reliable checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

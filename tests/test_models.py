@@ -7,7 +7,7 @@ import pytest
 
 from loomtext.functions import repair
 from loomtext.functions import text as T
-from loomtext.operators import bpe, dedup, lines, synthesis
+from loomtext.operators import bpe, dedup, lines, numbering, recurrences, search, synthesis
 from loomtext.sources import corpus
 from loomtext.streaming import monitor
 from pyspark.sql import functions as F
@@ -72,13 +72,129 @@ def test_newline_policies(spark):
         assert r["o"] == f"a{runs[r['id']]}b", r["id"]
 
 
-def test_bpe(spark):
-    docs = spark.createDataFrame([(1, "low lower lowest newest newest"), (2, "newest  low"), (3, None)], "doc_id long, text string")
-    merges = bpe.train(docs, 20)
-    got = [(r["left"], r["right"]) for r in merges.orderBy("rank").collect()]
-    assert got[0] in {("w", "e"), ("l", "o"), ("e", "s")} and len({m for m in got}) == len(got)
-    back = {r["doc_id"]: r["text"] for r in bpe.decode(bpe.encode(docs, merges)).collect()}
-    assert back == {1: "low lower lowest newest newest", 2: "newest low", 3: ""}
+def plain_merges(texts, vocabulary, target=None, min_frequency=1, min_gain=0.0):
+    """Pairs counted anew for each merge; of equals the first inserted wins."""
+    words = {}
+    for t in texts:
+        for i, w in enumerate(x for x in (t or "").split(" ") if x):
+            words[w if i == 0 else bpe.MARK + w] = words.get(w if i == 0 else bpe.MARK + w, 0) + 1
+    table = {w: list(w) for w in words}
+    symbols, out = {c for w in words for c in w}, []
+    tokens = chars = sum(len(w) * n for w, n in words.items())
+    while len(symbols) < vocabulary:
+        pairs = {}
+        for w, n in words.items():
+            for p in zip(table[w], table[w][1:]):
+                pairs[p] = pairs.get(p, 0) + n
+        if not pairs:
+            break
+        best = max(pairs, key=pairs.get)
+        n = pairs[best]
+        if n < min_frequency or (target is not None and (tokens / chars <= target or (len(symbols) > 1000 and n / tokens < min_gain))):
+            break
+        out.append(best)
+        symbols.add("".join(best))
+        tokens -= n
+        for w, old in table.items():
+            new, i = [], 0
+            while i < len(old):
+                if tuple(old[i : i + 2]) == best:
+                    new.append(old[i] + old[i + 1])
+                    i += 2
+                else:
+                    new.append(old[i])
+                    i += 1
+            table[w] = new
+    return out
+
+
+def merges(df):
+    return [(r["left"], r["right"]) for r in df.orderBy("rank").collect()]
+
+
+@pytest.mark.parametrize("words", [500_000, 0])
+def test_bpe(spark, words):
+    """On the driver and on the cluster, ties and all."""
+    texts = ["low lower lowest newest newest aaaa", "newest  low aaa", None, "", "wider é😀 é😀"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = bpe.train(docs, 24, max_words=words)
+    assert merges(got) == plain_merges(texts, 24)
+    back = {r["doc_id"]: r["text"] for r in bpe.decode(bpe.encode(docs, got)).collect()}
+    assert back == {0: texts[0], 1: "newest low aaa", 2: "", 3: "", 4: texts[4]}
+
+
+def test_bpe_of_the_table(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(40)
+    texts = [r["text"] for r in docs.orderBy("doc_id").collect()]
+    assert merges(bpe.train(docs, 200)) == plain_merges(texts, 200)
+    assert merges(bpe.train(docs, 50_000, target=0.6, min_frequency=2, min_gain=0.001)) == plain_merges(texts, 50_000, 0.6, 2, 0.001)
+
+
+def test_numbers_and_totals(spark):
+    df = spark.range(0, 5000, 1, 7).select((F.col("id") * 7919 % 5000).alias("k"), (F.col("id") % 5).alias("v"))
+    got = numbering.numbered(df, ["k"], "n", 10).collect()
+    assert {r["n"] - 10: r["k"] for r in got} == {k: k for k in range(5000)}
+    v = {r["k"]: r["v"] for r in df.collect()}
+    sums, at = {}, 0
+    for k in range(5000):
+        sums[k], at = at, at + v[k]
+    assert {r["k"]: r["before"] for r in numbering.totals_before(df, ["k"], "v", "before").collect()} == sums
+
+
+@pytest.mark.parametrize("size", [200_000, 3])
+def test_substring_counts(spark, size):
+    texts, words = ["Aaaa banana BANANA", None, "", "ananan"], ["a", "aa", "ana", "nan", "zz", "ana", "", "banana"]
+    t = spark.createDataFrame([(x,) for x in texts], "text string")
+    w = spark.createDataFrame([(x,) for x in words], "word string")
+    got = {r["word"]: r["matches"] for r in search.substring_counts(t, w, pass_words=size).collect()}
+    assert got == {x: sum((t or "").lower().count(x) for t in texts) for x in set(words) if x}
+
+
+def test_window_holders(docs, monkeypatch):
+    monkeypatch.setattr(search, "HOT", 3)
+    own = {i: {t[p : p + 100] for p in range(0, max(len(t) - 99, 1), 25)} for i, t in docs[0]}
+    first = {}
+    for i in sorted(own):
+        for w in own[i]:
+            first.setdefault(w, i)
+    want = {}
+    for i, ws in own.items():
+        for w in ws:
+            want[i, first[w]] = want.get((i, first[w]), 0) + 1
+    assert {(r["ord"], r["holder"]): r["windows"] for r in search.window_holders(docs[1]).collect()} == want
+
+
+def test_dedup_modes(docs):
+    stats = {m: dedup.statistics(docs[1], m).first() for m in ("precise", "efficient")}
+    wins = [t[p : p + 100] for _, t in docs[0] for p in range(max(len(t) - 99, 1))]
+    assert (stats["precise"]["seen"], stats["precise"]["kept"]) == (len(wins), len(set(wins)))
+    assert stats["efficient"]["seen"] == len(docs[0]) and dedup.deduplicate(docs[1]).count() == stats["efficient"]["kept"]
+
+
+def test_cubic_fit(spark):
+    import numpy as np
+
+    points = [(x / 10, 2 - x / 5 + (x / 10) ** 3 + (x % 3)) for x in range(40)]
+    got = recurrences.polynomial_fit(spark.createDataFrame(points, "x double, y double"), "x", "y", 3).orderBy("power").collect()
+    assert np.allclose([r["coefficient"] for r in got], np.polyfit(*zip(*points), 3)[::-1], atol=1e-6)
+
+
+def test_clean(spark, sf):
+    """D6 is its steps one after another."""
+    import re
+
+    from loomtext.plans import registry
+
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    tidy = lambda t: re.sub(" +", " ", repair.unwrap(t)).replace("\t ", "\t").replace(" \t", "\t")
+    want = {r["doc_id"]: lines.join_wrapped(tidy(r["text"])) for r in rows}
+    assert {r["doc_id"]: r["text"] for r in registry.QUERIES["D6_clean"](spark, sf).collect()} == want
+
+
+def test_private_use_characters(spark):
+    df = spark.createDataFrame([("a\ue000b\n\nc",)], "t string")
+    for lengths in T.NEWLINE_POLICIES.values():
+        assert df.select(T.newline_policy(F.col("t"), lengths)).first()[0].startswith("a\ue000b")
 
 
 def test_arithmetic(spark):
