@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
@@ -97,7 +98,13 @@ def _label(spans) -> str:
 
 def _context(text: str, spans) -> list[dict]:
     """The terms within WINDOW characters of a span, outside all spans."""
-    out = []
+    out, covered = [], []  # disjoint stretches that spans cover, in order
+    for a, _, b in spans:
+        if covered and a <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], b)
+        else:
+            covered.append([a, b])
+    starts = [c[0] for c in covered]
     for a, k, b in spans:
         entity = KINDS[k] + ":" + text[a:b].lower()
         out.append({"entity": entity, "term": ""})  # also where no term is near
@@ -106,7 +113,8 @@ def _context(text: str, spans) -> list[dict]:
                 s, e = m.span()
                 if (s == lo and lo and text[s - 1].isalnum()) or (e == hi and e < len(text) and text[e].isalnum()):
                     continue
-                if not any(s < y and x < e for x, _, y in spans):
+                i = bisect_left(starts, e) - 1  # the last stretch that starts before the term ends
+                if i < 0 or covered[i][1] <= s:
                     out.append({"entity": entity, "term": m.group().lower()})
     return out
 
@@ -200,23 +208,30 @@ def protect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return spread_join(found, hit, "digest", "copies", F.xxhash64("doc_id"))
 
 
+def _cut(text: str, base: str, terms) -> str:
+    """Base spans as their kind in brackets, overlapping ones as one, by the kind that
+    starts first; terms go."""
+    cuts = sorted((int(a), int(e), f"[{k.upper()}]") for k, a, e in (s.split(":") for s in base.split(",") if s))
+    cuts = sorted([*cuts, *((t["start"], t["end"], "") for t in terms or ())], key=lambda c: c[0])
+    out, done = [], 0
+    for a, e, new in cuts:
+        if a >= done:
+            out += [text[done:a], new]
+        done = max(done, e)
+    return "".join([*out, text[done:]])
+
+
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text): base spans generalised to ``[KIND]``, terms removed."""
-    keyed = docs.withColumn("__digest", F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)))
-    spans = protect(docs, id_col, text_col).filter("base <> ''").select("digest", "base", "terms").dropDuplicates(["digest"])
-    rows = keyed.join(spans, F.col("__digest") == F.col("digest"), "left").select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), "base", F.expr("transform(terms, t -> concat(t.start, ':', t.end))").alias("terms"))
+    """(doc_id, text): base spans generalised to ``[KIND]``, terms removed; a null text
+    stays null. Rows meet their spans by digest, hot ones by broadcast."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.withColumn("digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    found = materialise(protect(rows).filter("base <> ''").groupBy("digest").agg(F.first("base").alias("base"), F.first("terms").alias("terms"), F.count("*").alias("copies")), "spans")
+    rows = spread_join(rows, found, "digest", "copies", F.xxhash64("doc_id")).select("doc_id", "text", "base", "terms")
 
     def run(batches):
         for b in batches:
-            out = []
-            for text, base, terms in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
-                cuts = [(int(a), int(e), f"[{k.upper()}]") for k, a, e in (s.split(":") for s in (base or "").split(",") if s)]
-                cuts += [(*map(int, t.split(":")), "") for t in terms or ()]
-                done = len(text or "")
-                for a, e, new in sorted(cuts, reverse=True):
-                    if e <= done:
-                        text, done = text[:a] + new + text[e:], a
-                out.append(text)
+            out = [t if not base else _cut(t, base, terms) for t, base, terms in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
 
     return rows.mapInArrow(run, "doc_id long, text string")
