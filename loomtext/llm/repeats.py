@@ -18,8 +18,9 @@ row with the same one form a run, a piece of text of at most 2*WIDTH-GRAM bytes.
    they come out with all their occurrences.
 4. Answers and repeats return to their blocks, which cut the bytes out.
 
-A minimiser with over HOT different runs doesn't fit a batch: its windows are
-handed in one by one as 128-bit hashes, and meet by these.
+A minimiser with over HOT different runs is never brought together: blocks ask for
+the windows of its runs one by one, by 128-bit hashes and each once a block, as they
+asked for runs.
 
 Runs and windows are equal if 128 bits of hash are. Work is linear in the text;
 no group is ever in one task, and common passages cost one question a block.
@@ -46,8 +47,10 @@ from loomtext.llm.common import CHUNK_BYTES, digest, discard, materialise, sprea
 
 WIDTH = 200
 GRAM = 64
-HOT = 4096
+HOT = 512
 BLOCK_BYTES = CHUNK_BYTES // 2
+#: Bytes of a text that are hashed at once.
+SECTION = 1 << 22
 #: Bytes of runs in a suffix array.
 BATCH_BYTES = 1 << 19
 PARTITION_BYTES = 64 << 20
@@ -90,7 +93,15 @@ class Runs(NamedTuple):
     hash: np.ndarray  # of the run's bytes
 
 
-def runs_of(off: np.ndarray, data: np.ndarray, width: int, gram: int) -> Runs:
+def runs_of(off: np.ndarray, data: np.ndarray, width: int, gram: int, section: int = SECTION) -> Runs:
+    """The runs of a block, section by section: a long text takes no more memory."""
+    found = [_runs(off, data, a, width, gram, section) for a in range(0, max(1, len(data) - width + 1), section)]
+    return Runs(*map(np.concatenate, zip(*found)))
+
+
+def _runs(off: np.ndarray, data: np.ndarray, a: int, width: int, gram: int, section: int) -> Runs:
+    """Those that start in a section from byte ``a`` on."""
+    data = data[a : a + section + width - 1]
     none = np.zeros(0, np.int64)
     if len(data) < width:
         return Runs(none, none, none.astype(np.uint64), none.astype(np.uint64))
@@ -98,7 +109,7 @@ def runs_of(off: np.ndarray, data: np.ndarray, width: int, gram: int) -> Runs:
     h = _mix((total[gram:] - total[:-gram]) * _powers(_INVERSE, len(data) + 1)[: len(data) - gram + 1])
     del total
     pick = _least((h & ~_AT) | np.arange(len(h), dtype=np.uint64), width - gram + 1) & _AT
-    end = np.repeat(off[1:], np.diff(off))[: len(pick)]
+    end = np.repeat(off[1:], np.diff(np.clip(off, a, a + len(pick)))) - a
     inside = np.flatnonzero(np.arange(len(pick)) + width <= end)
     pick = pick[inside]
     new = np.ones(len(inside), bool)
@@ -106,14 +117,14 @@ def runs_of(off: np.ndarray, data: np.ndarray, width: int, gram: int) -> Runs:
     at = np.flatnonzero(new)
     first, many = inside[at], np.diff(np.r_[at, len(inside)])
     raw, hash_of = data.tobytes(), xxhash.xxh3_64_intdigest
-    content = np.fromiter((hash_of(raw[a:b]) for a, b in zip(first.tolist(), (first + many + width - 1).tolist())), np.uint64, len(first))
-    return Runs(first, many, h[pick[at].astype(np.int64)], content)
+    content = np.fromiter((hash_of(raw[x:y]) for x, y in zip(first.tolist(), (first + many + width - 1).tolist())), np.uint64, len(first))
+    return Runs(first + a, many, h[pick[at].astype(np.int64)], content)
 
 
-def _distinct(runs: Runs) -> tuple[np.ndarray, np.ndarray]:
-    """(one run for each key and hash, in order; which of them each run is)."""
-    order = np.lexsort((runs.hash, runs.key))
-    k, h = runs.key[order], runs.hash[order]
+def _distinct(key: np.ndarray, hash_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one place for each key and hash, in order; which of them each is)."""
+    order = np.lexsort((hash_, key))
+    k, h = key[order], hash_[order]
     new = np.ones(len(order), bool)
     new[1:] = (k[1:] != k[:-1]) | (h[1:] != h[:-1])
     of = np.empty(len(order), np.int64)
@@ -157,30 +168,43 @@ def _edges(parts: int) -> np.ndarray:
     return np.array([i * step for i in range(1, parts)], np.uint64)
 
 
+_QUESTION = "part int, block long, keys binary, hashes binary, many binary"
+
+
+def _slices(block: int, key: np.ndarray, hash_: np.ndarray, many: np.ndarray, parts: int) -> pa.RecordBatch:
+    """A block's questions, in order of (key, hash), cut by partition; none is empty."""
+    cut = np.r_[0, np.searchsorted(key, _edges(parts)), len(key)]
+    own = [(p, cut[p], cut[p + 1]) for p in range(parts) if cut[p + 1] > cut[p]]
+    cols = [pa.array([p for p, _, _ in own], pa.int32()), pa.array([block] * len(own), pa.int64())]
+    cols += [pa.array([_pack(np.diff(key[a:z], prepend=np.uint64(0))) for _, a, z in own], pa.binary())]
+    cols += [pa.array([_pack(x[a:z]) for _, a, z in own], pa.binary()) for x in (hash_, many)]
+    return pa.RecordBatch.from_arrays(cols, names=["part", "block", "keys", "hashes", "many"])
+
+
 def _ask(blocks: DataFrame, parts: int, width: int, gram: int) -> DataFrame:
+    """Each block's distinct runs, and whether it has one (1) or more of each (2)."""
+
     def run(batches):
         for b in batches:
             for block, off, body in zip(*(b.column(i) for i in range(3))):
                 runs = runs_of(*_read(off.as_py(), body.as_py()), width, gram)
-                one, of = _distinct(runs)
+                one, of = _distinct(runs.key, runs.hash)
                 many = np.minimum(2, np.bincount(of, minlength=len(one))).astype(np.uint8)
-                key, hash_ = runs.key[one], runs.hash[one]
-                cut = np.r_[0, np.searchsorted(key, _edges(parts)), len(key)]
-                pack = lambda x: pa.array([_pack(x[a:z]) for a, z in zip(cut[:-1], cut[1:])], pa.binary())
-                steps = pa.array([_pack(np.diff(key[a:z], prepend=np.uint64(0))) for a, z in zip(cut[:-1], cut[1:])], pa.binary())
-                cols = [pa.array(np.arange(parts, dtype=np.int32)), pa.array([block.as_py()] * parts, pa.int64()), steps, pack(hash_), pack(many)]
-                yield pa.RecordBatch.from_arrays(cols, names=["part", "block", "keys", "hashes", "many"])
+                yield _slices(block.as_py(), runs.key[one], runs.hash[one], many, parts)
 
-    return blocks.select("block", "off", "body").mapInArrow(run, "part int, block long, keys binary, hashes binary, many binary")
+    return blocks.select("block", "off", "body").mapInArrow(run, _QUESTION)
 
 
 def _answer(asked: DataFrame, parts: int, hot: int) -> DataFrame:
-    def run(table: pa.Table) -> pa.Table:
-        key = [np.cumsum(_unpack(x.as_py(), np.uint64), dtype=np.uint64) for x in table["keys"]]
-        size = [len(k) for k in key]
+    """(block, part, flags): an answer to each question, in its order. A task has one
+    partition's questions, of bounded size."""
+
+    def solve(rows: list) -> pa.RecordBatch:
+        key = [np.cumsum(_unpack(r[2], np.uint64), dtype=np.uint64) for r in rows]
+        cut = np.r_[0, np.cumsum([len(k) for k in key])]
         key = np.concatenate(key)
-        hash_ = np.concatenate([_unpack(x.as_py(), np.uint64) for x in table["hashes"]])
-        many = np.concatenate([_unpack(x.as_py(), np.uint8) for x in table["many"]]).astype(np.int64)
+        hash_ = np.concatenate([_unpack(r[3], np.uint64) for r in rows])
+        many = np.concatenate([_unpack(r[4], np.uint8) for r in rows]).astype(np.int64)
         order = np.lexsort((hash_, key))
         k, h = key[order], hash_[order]
         new_key = np.ones(len(k), bool)
@@ -188,50 +212,101 @@ def _answer(asked: DataFrame, parts: int, hot: int) -> DataFrame:
         new = new_key.copy()
         new[1:] |= h[1:] != h[:-1]
         run_of, key_of = np.cumsum(new) - 1, np.cumsum(new_key) - 1
-        twice = (np.bincount(run_of, many[order]) > 1)[run_of] if len(k) else new
-        kinds = np.bincount(key_of, new)[key_of] if len(k) else np.zeros(0)
+        twice = (np.bincount(run_of, many[order]) > 1)[run_of]
+        kinds = np.bincount(key_of, new)[key_of]
         flags = np.zeros(len(k), np.uint8)
         flags[order] = twice * TWICE + (new & (kinds > 1)) * np.where(kinds > hot, SPLIT, SEND)
-        cut = np.r_[0, np.cumsum(size)]
-        cols = [table["block"].combine_chunks(), table["part"].combine_chunks(), pa.array([zstandard.compress(flags[a:z].tobytes(), 1) for a, z in zip(cut[:-1], cut[1:])], pa.binary())]
-        return pa.Table.from_arrays(cols, names=["block", "part", "flags"])
+        cols = [pa.array([r[1] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([zstandard.compress(flags[a:z].tobytes(), 1) for a, z in zip(cut[:-1], cut[1:])], pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, names=["block", "part", "flags"])
+
+    def run(batches):
+        rows = []
+        for b in batches:
+            for row in zip(*(b.column(i).to_pylist() for i in range(5))):
+                if rows and rows[0][0] != row[0]:
+                    yield solve(rows)
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield solve(rows)
+
+    dealt = asked.repartitionById(parts, F.col("part")).sortWithinPartitions("part")
+    return dealt.mapInArrow(run, "block long, part int, flags binary")
+
+
+def _by_block(answers: DataFrame, name: str) -> DataFrame:
+    return answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", "flags"))).alias(name))
+
 
-    return asked.repartition(parts, "part").groupBy("part").applyInArrow(run, "block long, part int, flags binary")
+def _joined(slices) -> np.ndarray:
+    """A block's answers, of all partitions, in the order of its questions."""
+    return np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(zstandard.decompress(s["flags"]), np.uint8) for s in slices or ())])
 
 
 def _flags(off, body, slices, width, gram):
     """A block's runs, which distinct run each is, and the answers to those."""
     off, data = _read(off, body)
     runs = runs_of(off, data, width, gram)
-    one, of = _distinct(runs)
-    flags = np.concatenate([np.frombuffer(zstandard.decompress(s["flags"]), np.uint8) for s in slices])
-    return off, data, runs, one, of, flags
+    one, of = _distinct(runs.key, runs.hash)
+    return off, data, runs, one, of, _joined(slices)
+
+
+class Windows(NamedTuple):
+    place: np.ndarray  # of each window
+    of: np.ndarray  # which question it is
+    key: np.ndarray
+    hash: np.ndarray
+    many: np.ndarray
+
+
+def _windows(raw: bytes, runs: Runs, one: np.ndarray, flags: np.ndarray, width: int) -> Windows:
+    """The windows of runs whose minimiser has too many others: a question each for the
+    different ones, by 128 bits of hash. Those of a run that repeats count twice."""
+    places, twice = [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+    for i in np.flatnonzero(flags & SPLIT):
+        n = int(runs.many[one[i]])
+        places.append(np.arange(n) + runs.first[one[i]])
+        twice.append(np.full(n, bool(flags[i] & TWICE)))
+    place, twice = np.concatenate(places), np.concatenate(twice)
+    digest_of = xxhash.xxh3_128_digest
+    d = np.frombuffer(b"".join(digest_of(raw[w : w + width]) for w in place.tolist()), np.uint64).reshape(-1, 2)
+    key, hash_ = d[:, 0].copy(), d[:, 1].copy()
+    first, of = _distinct(key, hash_)
+    many = np.minimum(2, np.bincount(of, 1 + twice, len(first))).astype(np.uint8)
+    return Windows(place, of, key[first], hash_[first], many)
+
+
+def _ask_windows(told: DataFrame, parts: int, width: int, gram: int) -> DataFrame:
+    def run(batches):
+        for b in batches:
+            for block, off, body, slices in zip(*(b.column(i) for i in range(4))):
+                _, data, runs, one, _, flags = _flags(off.as_py(), body.as_py(), slices.as_py(), width, gram)
+                if (flags & SPLIT).any():
+                    w = _windows(data.tobytes(), runs, one, flags, width)
+                    yield _slices(block.as_py(), w.key, w.hash, w.many, parts)
 
+    return told.select("block", "off", "body", "slices").mapInArrow(run, _QUESTION)
 
-def _hand_in(joined: DataFrame, width: int, gram: int) -> DataFrame:
-    """(key, block, at, many, body): runs handed in, or their windows' hashes.
-    ``block`` is -1 where the whole run is known to repeat."""
+
+def _hand_in(told: DataFrame, width: int, gram: int) -> DataFrame:
+    """(key, block, at, many, body): runs handed in. ``block`` is -1 where the whole run
+    is known to repeat."""
 
     def run(batches):
         for b in batches:
             for block, off, body, slices in zip(*(b.column(i) for i in range(4))):
-                off, data, runs, one, of, flags = _flags(off.as_py(), body.as_py(), slices.as_py(), width, gram)
+                _, data, runs, one, _, flags = _flags(off.as_py(), body.as_py(), slices.as_py(), width, gram)
                 raw, out = data.tobytes(), []
-                for i in np.flatnonzero(flags & (SEND | SPLIT)).tolist():
-                    r, f = one[i], int(flags[i])
-                    a, n, own = int(runs.first[r]), int(runs.many[r]), -1 if f & TWICE else block.as_py()
-                    if f & SEND:
-                        out.append((int(runs.key[r]), own, a, n, raw[a : a + n + width - 1]))
-                    else:
-                        for w in range(a, a + n):
-                            d = xxhash.xxh3_128_digest(raw[w : w + width])
-                            out.append((int.from_bytes(d[:8], "little"), own, w, 0, d))
+                for i in np.flatnonzero(flags & SEND).tolist():
+                    r = one[i]
+                    a, n = int(runs.first[r]), int(runs.many[r])
+                    out.append((int(runs.key[r]), -1 if flags[i] & TWICE else block.as_py(), a, n, raw[a : a + n + width - 1]))
                 for z in range(0, len(out), 4096):
                     key, own, at, many, body_ = zip(*out[z : z + 4096])
                     cols = [pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(own, pa.int64()), pa.array(at, pa.int64()), pa.array(many, pa.int32()), pa.array(body_, pa.binary())]
                     yield pa.RecordBatch.from_arrays(cols, names=["key", "block", "at", "many", "body"])
 
-    return joined.select("block", "off", "body", "slices").mapInArrow(run, "key long, block long, at long, many int, body binary")
+    return told.select("block", "off", "body", "slices").mapInArrow(run, "key long, block long, at long, many int, body binary")
 
 
 def suffix_array(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -339,19 +414,12 @@ def _meet(sent: DataFrame, width: int, batch: int, parts: int) -> DataFrame:
 
     def run(batches):
         for t in groups(batches):
-            block, at, many, body = (t[c].to_pylist() for c in ("block", "at", "many", "body"))
+            block, at, body = (t[c].to_pylist() for c in ("block", "at", "body"))
             out = []
-            whole = [i for i, n in enumerate(many) if n]
-            if len(whole) > 1:
-                for i, hit in zip(whole, _repeated([body[i] for i in whole], width)):
-                    if block[i] >= 0 and hit.any():
-                        edge = np.flatnonzero(np.diff(np.r_[False, hit, False]))
-                        out += [(block[i], at[i] + int(x), int(y - x)) for x, y in zip(edge[::2], edge[1::2])]
-            seen: dict[bytes, list[int]] = {}
-            for i, n in enumerate(many):
-                if not n:
-                    seen.setdefault(body[i], []).append(i)
-            out += [(block[i], at[i], 1) for own in seen.values() if len(own) > 1 for i in own if block[i] >= 0]
+            for i, hit in enumerate(_repeated(body, width)):
+                if block[i] >= 0 and hit.any():
+                    edge = np.flatnonzero(np.diff(np.r_[False, hit, False]))
+                    out += [(block[i], at[i] + int(x), int(y - x)) for x, y in zip(edge[::2], edge[1::2])]
             if out:
                 own, first, n = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(first, pa.int64()), pa.array(n, pa.int32())], names=["block", "first", "many"])
@@ -363,11 +431,17 @@ def _meet(sent: DataFrame, width: int, batch: int, parts: int) -> DataFrame:
 def _cut(joined: DataFrame, width: int, gram: int) -> DataFrame:
     def run(batches):
         for b in batches:
-            for digests, copies, off, body, slices, found in zip(*(b.column(i) for i in range(6))):
+            for digests, copies, off, body, slices, windows, found in zip(*(b.column(i) for i in range(7))):
                 off, data, runs, one, of, flags = _flags(off.as_py(), body.as_py(), slices.as_py(), width, gram)
                 whole = (flags[of] & TWICE) > 0
-                first = np.concatenate([runs.first[whole], np.array([x["first"] for x in found.as_py() or ()], np.int64)])
-                many = np.concatenate([runs.many[whole], np.array([x["many"] for x in found.as_py() or ()], np.int64)])
+                first, many = [runs.first[whole]], [runs.many[whole]]
+                if (flags & SPLIT).any():
+                    w = _windows(data.tobytes(), runs, one, flags, width)
+                    first.append(w.place[(_joined(windows.as_py()) & TWICE > 0)[w.of]])
+                    many.append(np.ones(len(first[-1]), np.int64))
+                first.append(np.array([x["first"] for x in found.as_py() or ()], np.int64))
+                many.append(np.array([x["many"] for x in found.as_py() or ()], np.int64))
+                first, many = np.concatenate(first), np.concatenate(many)
                 mark = np.zeros(len(data) + 1, np.int64)
                 np.add.at(mark, first, 1)
                 np.add.at(mark, first + many + width - 1, -1)
@@ -383,7 +457,7 @@ def _cut(joined: DataFrame, width: int, gram: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=names)
 
     schema = "digest binary, copies long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return joined.select("digests", "copies", "off", "body", "slices", "found").mapInArrow(run, schema)
+    return joined.select("digests", "copies", "off", "body", "slices", "windows", "found").mapInArrow(run, schema)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, hot: int = HOT, batch: int = BATCH_BYTES) -> DataFrame:
@@ -396,13 +470,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = max(16, math.ceil(size / PARTITION_BYTES * 4))
     n = max(12, math.ceil(size / (8 << 20)))
     answers = materialise(_answer(_ask(blocks, parts, width, gram), parts, hot), "answers")
-    slices = answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", "flags"))).alias("slices"))
-    told = blocks.select("block", "off", "body").repartition(n, "block").join(slices.repartition(n, "block"), "block")
+    told = blocks.repartition(n, "block").join(_by_block(answers, "slices").repartition(n, "block"), "block", "left")
+    told = materialise(told, "told")
+    discard(blocks, answers)
+    windows = materialise(_answer(_ask_windows(told, parts, width, gram), parts, 1), "windows")
     found = materialise(_meet(_hand_in(told, width, gram), width, batch, n), "found")
     found_by = found.groupBy("block").agg(F.collect_list(F.struct("first", "many")).alias("found"))
-    joined = blocks.repartition(n, "block").join(slices.repartition(n, "block"), "block").join(found_by.repartition(n, "block"), "block", "left")
-    result = materialise(_cut(joined, width, gram), "kept")
-    discard(blocks, answers, found)
+    more = _by_block(windows, "windows").join(found_by, "block", "full")
+    result = materialise(_cut(told.repartition(n, "block").join(more.repartition(n, "block"), "block", "left"), width, gram), "kept")
+    discard(told, windows, found)
     slim = rows.select("doc_id", digest(F.col("text")).alias("digest"))
     out = spread_join(slim, result, "digest", "copies", F.xxhash64("doc_id"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
