@@ -83,12 +83,13 @@ class ByteBpe:
         return out
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        """The table's bytes, joined; an id that it lacks gives those of U+FFFD."""
+        return b"".join([self.bytes_of.get(i, b"\xef\xbf\xbd") for i in np.frombuffer(ids, "<u4").tolist()])
 
     def offsets(self, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
         """The characters (start, end) that each token touches; tokens that share
         a split character overlap in it."""
-        parts = [self.bytes_of[i] for i in np.frombuffer(ids, "<u4").tolist()]
+        parts = [self.bytes_of.get(i, b"\xef\xbf\xbd") for i in np.frombuffer(ids, "<u4").tolist()]
         ends = np.cumsum([len(p) for p in parts], dtype=np.int64)
         heads = np.frombuffer(b"".join(parts), np.uint8) & 0xC0 != 0x80
         char = np.cumsum(heads) - 1

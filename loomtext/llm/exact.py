@@ -54,11 +54,20 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of equal texts, the one with the largest id."""
+    """The rows of ``docs`` that stay: of equal texts, the one with the largest id; of
+    rows that repeat id and text, the least by its other columns."""
     drop = exact_groups(docs, id_col, text_col).filter("not kept")
     drop = drop.select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__digest")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__digest") == digest(F.col(text_col).cast("string")))
-    return docs.join(drop, same, "left_anti")
+    rows = docs.withColumn("__own", digest(F.col(text_col).cast("string")))
+    rows = rows.join(drop, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__own")), "left_anti")
+    again = rows.groupBy(F.col(id_col).alias("__id"), F.col("__own").alias("__digest")).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    again = materialise(again, "again")
+    if again.isEmpty():
+        return rows.drop("__own")
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__own"))
+    names = docs.columns
+    first = rows.join(again, same, "left_semi").groupBy(F.col(id_col).alias("__id"), "__own").agg(F.min(F.struct(*names)).alias("__row"))
+    return rows.join(again, same, "left_anti").select(*names).union(first.select(*[F.col("__row")[c].alias(c) for c in names]))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,9 @@
 A 64-bit fingerprint is cut into a ring of four 16-bit segments. If two
 fingerprints differ in at most 3 bits, some segment starts a chain in which the
 first j segments together differ in at most 3*j/4 bits, for each j: 0, 1, 2, 3.
-Candidates share the start segment, and one half of the next segment (at most
-one bit differs there, so one of its halves is equal): 24 bits of key and 8 rows
-a fingerprint. A candidate passes the rest of the chain, then the full Hamming
+Candidates share the start segment, and all but one of the parts of the next segment
+(at most one bit differs there): with halves, 24 bits of key and 8 rows a fingerprint;
+over 2^26 distinct fingerprints quarters, 28 bits and 16 rows, over 2^30 eighths. A candidate passes the rest of the chain, then the full Hamming
 distance.
 
 Only distinct fingerprints are compared, so exact copies cost nothing. A bucket
@@ -70,16 +70,23 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.mapInArrow(run, "doc_id long, fp long")
 
 
-def chain_keys(fp: str = "fp"):
-    """The 8 bucket keys of a fingerprint: chain start, its segment, and one half
-    of the next segment."""
-    keys = []
+def _halves(distinct: int) -> int:
+    """Into how many parts the chain's second segment is cut: more fingerprints get
+    longer keys, so that buckets stay small."""
+    return 2 if distinct <= 1 << 26 else 4 if distinct <= 1 << 30 else 8
+
+
+def chain_keys(fp: str = "fp", parts: int = 2):
+    """The bucket keys of a fingerprint: chain start, its segment, and all but one of
+    the parts of the next segment (at most one bit differs there)."""
+    keys, width = [], SEGMENT_BITS // parts
     for i in range(SEGMENTS):
         seg = F.shiftrightunsigned(F.col(fp), SEGMENT_BITS * i).bitwiseAND(0xFFFF)
         nxt = F.shiftrightunsigned(F.col(fp), SEGMENT_BITS * ((i + 1) % SEGMENTS)).bitwiseAND(0xFFFF)
-        for half in (0, 1):
-            byte = F.shiftrightunsigned(nxt, 8 * half).bitwiseAND(0xFF)
-            keys.append(F.lit(((i * 2 + half) << 24)).cast("long") + seg * 256 + byte)
+        for j in range(parts):
+            above, below = F.shiftrightunsigned(nxt, width * (j + 1)), nxt.bitwiseAND((1 << width * j) - 1)
+            rest = above * (1 << width * j) + below
+            keys.append(F.lit((i * parts + j) << (32 - width)).cast("long") + seg * (1 << (16 - width)) + rest)
     return F.array(*keys)
 
 
@@ -119,10 +126,12 @@ def _forest(fps: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
     return fps[own].view(np.int64), fps[label[own]].view(np.int64)
 
 
-def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
+def links(distinct: DataFrame, block: int = BLOCK, parts: int | None = None) -> DataFrame:
     """Links (a, b) between the distinct fingerprints of ``distinct`` (fp): enough
     of them to join whatever differs in at most 3 bits, none that doesn't."""
-    rows = distinct.select("fp", F.explode(chain_keys()).alias("key"))
+    parts = parts or _halves(distinct.count())
+    start_bits = 32 - SEGMENT_BITS // parts
+    rows = distinct.select("fp", F.explode(chain_keys("fp", parts)).alias("key"))
     large = rows.groupBy("key").count().filter(F.col("count") > block)
     large = large.select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     rows = rows.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -148,7 +157,7 @@ def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
 
     def emit(got, at):
         size = np.diff(at)
-        found = [_forest(got[0][a : a + n].view(np.uint64), int(got[1][a] >> 25)) for a, n in zip(at[:-1][size > 1], size[size > 1])]
+        found = [_forest(got[0][a : a + n].view(np.uint64), int(got[1][a] >> start_bits) // parts) for a, n in zip(at[:-1][size > 1], size[size > 1])]
         if found:
             a, b = (np.concatenate(x) for x in zip(*found))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
