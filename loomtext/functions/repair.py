@@ -11,24 +11,46 @@ from pyspark.sql import DataFrame
 
 #: Quotes straightened and ligatures spelt out.
 PLAIN = {"‘": "'", "’": "'", "‚": "'", "“": '"', "”": '"', "„": '"', "ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl"}
-_CONTROL = re.compile("[\x00-\x08\x0b\x0e-\x1f\x7f﻿]")
+#: Fixed value: what a wrapped passage looks like.
 _WRAPPED = re.compile(r"\n*.{55,}\n\n.{40,}\n")
-_RUN = re.compile(r"\n+")
-#: Newlines for runs of 1, 2, ... in a wrapped passage.
+#: Newlines for runs of 1, 2, ... in a wrapped passage.
 _LENGTHS = (0, 1, 1, 2, 2, 3)
+_CONTROL = re.compile("[\x00-\x08\x0b\x0e-\x1f\x7f\ufeff]")
+_TERMINAL = re.compile(r"\x1b\[[0-9;]*[A-Za-z]")
+_RUN = re.compile(r"\n+")
+#: Two characters that are the bytes of one of U+0080 to U+00FF.
+_PAIR = re.compile("[\u00c2\u00c3][\x80-\xbf]")
+#: Full-width forms of ASCII, and the wide space.
+_NARROW = {0xFF01 + i: 0x21 + i for i in range(94)} | {0x3000: 0x20}
+#: Control characters that code page 1252 has printable ones for.
+_C1 = {i: bytes([i]).decode("cp1252") for i in range(0x80, 0xA0) if i not in (0x81, 0x85, 0x8D, 0x8F, 0x90, 0x9D)}
+
+
+def _unmangled(text: str) -> str:
+    """Without UTF-8 that was read as Latin-1 or code page 1252, however often; where
+    only some of a text was, its two-byte characters."""
+    while not text.isascii():
+        for page in ("latin-1", "cp1252"):
+            try:
+                new = text.encode(page).decode("utf-8")
+                break
+            except UnicodeError:
+                new = text
+        if new == text:
+            return _PAIR.sub(lambda m: m.group().encode("latin-1").decode("utf-8"), text)
+        text = new
+    return text
 
 
 def fix(text: str) -> str:
-    """Mojibake of UTF-8 read as Latin-1, entities (where there is no tag), quotes,
-    ligatures, control characters, line ends and NFC. Mixed encodings, other code pages
-    and character widths are not covered."""
-    try:
-        text = text.encode("latin-1").decode("utf-8")
-    except UnicodeError:
-        pass
+    """Mojibake, entities (where there is no tag), terminal escapes, quotes, ligatures,
+    character widths, control characters, line ends and NFC. Which of several readings is
+    the likelier is not weighed."""
+    text = _unmangled(text)
     if "<" not in text:
         text = html.unescape(text)
-    text = text.translate(str.maketrans(PLAIN)).replace("\r\n", "\n").replace("\r", "\n").replace("\x85", "\n")
+    text = _TERMINAL.sub("", text).replace("\r\n", "\n").translate(dict.fromkeys(map(ord, "\r\x85\u2028\u2029"), "\n"))
+    text = text.translate(_C1 | _NARROW).translate(str.maketrans(PLAIN))
     return unicodedata.normalize("NFC", _CONTROL.sub("", text))
 
 

@@ -1,4 +1,4 @@
-"""Arithmetic questions and answers (K15): every choice is a hash of the row."""
+"""Arithmetic questions and answers (K15): every choice is a number of the row."""
 
 from __future__ import annotations
 
@@ -12,15 +12,21 @@ SIGNS = {"ADD": "+", "SUBTRACT": "-", "MULTIPLY": "*", "DIVIDE": "/"}
 TEMPLATES = ("What is {q}?", "Calculate {q}.", "{q} =", "Please work out {q}")
 
 
-def arithmetic(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
-    """(id, op, a, b, result, question, answer): divisions come out even."""
+def choices(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
+    """(id, op, size, template, x, y): numbers for ``n`` questions, by a hash of each id."""
     pick = lambda name, size: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(name)), F.lit(size))
-    choose = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
-    rows = spark.range(n).select("id", choose(OPS, pick("op", len(OPS))).alias("op"), choose(MAGNITUDES, pick("size", 5)).cast("long").alias("top"))
-    rows = rows.withColumn("x", pick("x", 1 << 40) % F.col("top") + 1).withColumn("b", pick("y", 1 << 40) % F.col("top") + 1)
+    return spark.range(n).select("id", *[pick(k, 1 << 40).alias(k) for k in ("op", "size", "template", "x", "y")])
+
+
+def arithmetic(rows: DataFrame) -> DataFrame:
+    """(id, op, a, b, result, question, answer) of ``choices``, each number taken modulo
+    what there is to choose from: divisions come out even."""
+    choose = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (F.col(at) % len(values) + 1).cast("int"))
+    rows = rows.select("id", choose(OPS, "op").alias("op"), choose(MAGNITUDES, "size").cast("long").alias("top"), choose(TEMPLATES, "template").alias("form"), "x", "y")
+    rows = rows.withColumn("x", F.col("x") % F.col("top") + 1).withColumn("b", F.col("y") % F.col("top") + 1)
     rows = rows.withColumn("a", F.when(F.col("op") == "DIVIDE", F.col("x") * F.col("b")).otherwise(F.col("x")))
     by = lambda d: F.when(F.col("op") == "ADD", d["ADD"]).when(F.col("op") == "SUBTRACT", d["SUBTRACT"]).when(F.col("op") == "MULTIPLY", d["MULTIPLY"]).otherwise(d["DIVIDE"])
     rows = rows.withColumn("result", by({"ADD": F.expr("a + b"), "SUBTRACT": F.expr("a - b"), "MULTIPLY": F.expr("a * b"), "DIVIDE": F.expr("a div b")}))
     asked = F.concat_ws(" ", F.col("a"), by({k: F.lit(v) for k, v in SIGNS.items()}), F.col("b"))
-    question = F.replace(choose(TEMPLATES, pick("template", len(TEMPLATES))), F.lit("{q}"), asked)
+    question = F.replace("form", F.lit("{q}"), asked)
     return rows.select("id", "op", "a", "b", "result", question.alias("question"), F.concat(F.col("result").cast("string"), F.lit(".")).alias("answer"))

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import repair
 from loomtext.functions import text as T
-from loomtext.operators import lines, numbering
+from loomtext.operators import lines, numbering, recurrences
 from loomtext.plans.registry import query
+from loomtext.plans.strings import policy_sql
 from loomtext.sources import corpus
 from loomtext.sources.tables import table
 from loomtext.streaming import monitor
@@ -18,7 +19,10 @@ def fix_text(spark, sf_dir):
     return repair.mapped(table(spark, sf_dir, "documents"), repair.fix)
 
 
-@query("C13_unwrap")
+_PASSAGE = r"'\n*.{55,}\n\n.{40,}\n'"
+
+
+@query("C13_unwrap", f"SELECT doc_id, array_to_string(list_transform(range(1, len(g) + 1), lambda i: g[i] || CASE WHEN i <= len(h) THEN {policy_sql(T.NEWLINE_POLICIES['C6'], 'h[i]')} ELSE '' END), '') AS text FROM (SELECT doc_id, string_split_regex(t, {_PASSAGE}) AS g, regexp_extract_all(t, {_PASSAGE}) AS h FROM (SELECT doc_id, replace(text, chr(10), repeat(chr(10), 2)) AS t FROM documents))")
 def unwrap(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
     return repair.mapped(docs, repair.unwrap)
@@ -53,9 +57,25 @@ def metric_windows(spark, sf_dir):
     return out.withColumn("mean", F.round("mean", 6)).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("H14_cubic_fit")
-def cubic_fit(spark, sf_dir):
-    from loomtext.operators import recurrences
+def _fit_sql(degree: int) -> str:
+    """The normal equations, eliminated column by column; a row holds the system."""
+    n, names = degree + 1, lambda i, j: f"m{i}_{j}"
+    cells = [f"sum(pow(x, {i + j})) AS {names(i, j)}" for i in range(n) for j in range(n)]
+    cells += [f"sum(pow(x, {i}) * y) AS {names(i, n)}" for i in range(n)]
+    ctes = ["p AS (SELECT event_id / 10000.0 AS x, value AS y FROM events)", f"s0 AS (SELECT {', '.join(cells)} FROM p)"]
+    for k in range(n):
+        new = [f"{names(i, j)}{'' if i == k else f' - {names(i, k)} / {names(k, k)} * {names(k, j)}'} AS {names(i, j)}" for i in range(n) for j in range(n + 1)]
+        ctes.append(f"s{k + 1} AS (SELECT {', '.join(new)} FROM s{k})")
+    rows = " UNION ALL ".join(f"SELECT {i} AS power, round({names(i, n)} / {names(i, i)}, 4) AS coefficient FROM s{n}" for i in range(n))
+    return f"WITH {', '.join(ctes)} {rows}"
+
 
+@query("H14_cubic_fit", _fit_sql(3))
+def cubic_fit(spark, sf_dir):
     ev = table(spark, sf_dir, "events").select((F.col("event_id") / 10000).alias("x"), F.col("value").alias("y"))
-    return recurrences.polynomial_fit(ev, "x", "y", 3)
+    return recurrences.polynomial_fit(ev, "x", "y", 3).withColumn("coefficient", F.round("coefficient", 4))
+
+
+@query("M_first_seen", "SELECT DISTINCT user_id FROM events")
+def first_seen(spark, sf_dir):
+    return monitor.first_seen(table(spark, sf_dir, "events"), "user_id", delay="3650 days").select("user_id")

@@ -65,7 +65,14 @@ def _ordered(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), "text")
 
 
-@query("K1_precise_windows")
+@query(
+    "K1_precise_windows",
+    """WITH w AS (SELECT ord, p, hash(substring(text, CAST(p + 1 AS INT), 100)) AS h FROM (SELECT doc_id AS ord, text, unnest(range(greatest(length(text) - 99, 1))) AS p FROM documents)),
+    f AS (SELECT min(struct_pack(o := ord, p := p)) AS e FROM w GROUP BY h),
+    k AS (SELECT e.o AS ord, e.p AS p, coalesce(lag(e.p) OVER (PARTITION BY e.o ORDER BY e.p) + 100, 0) AS done FROM f),
+    s AS (SELECT ord, string_agg(substring(text, CAST(greatest(p, done) + 1 AS INT), CAST(p + 100 - greatest(p, done) AS INT)), '' ORDER BY p) AS kept, max(p) + 100 AS ending FROM k JOIN (SELECT doc_id AS ord, text FROM documents) USING (ord) GROUP BY ord)
+    SELECT d.doc_id AS ord, CASE WHEN s.ord IS NULL THEN left(text, 100) WHEN length(text) - ending > 10 THEN kept || substring(text, CAST(ending + 1 AS INT)) ELSE kept END AS text FROM documents d LEFT JOIN s ON s.ord = d.doc_id""",
+)
 def precise(spark, sf_dir):
     return dedup.precise(_ordered(spark, sf_dir))
 
@@ -170,9 +177,21 @@ def class_fold(spark, sf_dir):
     return names.fold(table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("category")), 300)
 
 
-@query("K15_arithmetic_pairs")
+_PICKS = "p_partkey AS id, p_size AS op, p_partkey AS size, p_size + p_partkey AS template, p_partkey * 7919 + p_size * 104729 AS x, p_partkey * 31337 + p_size * 17 AS y"
+
+
+@query(
+    "K15_arithmetic_pairs",
+    f"""WITH c AS (SELECT {_PICKS} FROM part),
+    n AS (SELECT id, {list(synthesis.OPS)}[op % 4 + 1] AS op, {list(synthesis.MAGNITUDES)}[size % 5 + 1] AS top, {list(synthesis.TEMPLATES)}[template % 4 + 1] AS form, x, y FROM c),
+    m AS (SELECT id, op, form, x % top + 1 AS x, y % top + 1 AS b FROM n),
+    q AS (SELECT id, op, form, CAST(CASE WHEN op = 'DIVIDE' THEN x * b ELSE x END AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM m),
+    r AS (SELECT *, CASE op WHEN 'ADD' THEN a + b WHEN 'SUBTRACT' THEN a - b WHEN 'MULTIPLY' THEN a * b ELSE a // b END AS result, CASE op WHEN 'ADD' THEN '+' WHEN 'SUBTRACT' THEN '-' WHEN 'MULTIPLY' THEN '*' ELSE '/' END AS sign FROM q)
+    SELECT id, op, a, b, result, replace(form, '{{q}}', a || ' ' || sign || ' ' || b) AS question, result || '.' AS answer FROM r""",
+)
 def arithmetic(spark, sf_dir):
-    return synthesis.arithmetic(spark, 1500, seed=42)
+    picks = table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "p_size AS op", "p_partkey AS size", "p_size + p_partkey AS template", "p_partkey * 7919 + p_size * 104729 AS x", "p_partkey * 31337 + p_size * 17 AS y")
+    return synthesis.arithmetic(picks)
 
 
 _RUN = "SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, value FROM events"

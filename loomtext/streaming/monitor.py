@@ -12,7 +12,10 @@ def timed(stream: DataFrame, time: str) -> DataFrame:
 
 
 def first_seen(stream: DataFrame, key: str, time: str = "ts", delay: str = "1 hour") -> DataFrame:
-    """Each key once within the watermark; state older than that is dropped."""
+    """Each key once within the watermark; state older than that is dropped. A table
+    that is no stream gives each key once."""
+    if not stream.isStreaming:
+        return stream.dropDuplicates([key])
     return timed(stream, time).withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 

@@ -198,15 +198,17 @@ def test_private_use_characters(spark):
 
 
 def test_arithmetic(spark):
-    rows = synthesis.arithmetic(spark, 300, 1).collect()
-    assert rows == synthesis.arithmetic(spark, 300, 1).collect() and {r["op"] for r in rows} == set(synthesis.OPS)
+    rows = synthesis.arithmetic(synthesis.choices(spark, 300, 1)).collect()
+    assert rows == synthesis.arithmetic(synthesis.choices(spark, 300, 1)).collect() and {r["op"] for r in rows} == set(synthesis.OPS)
     for r in rows:
         assert eval(f"{r['a']} {synthesis.SIGNS[r['op']]} {r['b']}") == r["result"] and str(r["a"]) in r["question"]
 
 
 def test_repair():
-    assert repair.fix("cafÃ© &amp; “tea”\r\nﬁne\x00") == 'cafÃ© & "tea"\nfine'
-    assert repair.fix("cafÃ©") == "café"
+    assert repair.fix("cafÃ© &amp; “tea”\r\nﬁne\x00") == 'café & "tea"\nfine'
+    assert repair.fix("cafÃ©") == "café" == repair.fix("cafÃƒÂ©") and repair.fix("itâ€™s") == "it's"
+    assert repair.fix("żółw cafÃ©") == "żółw café" and repair.fix("ＡＢ１　x\x1b[31mred") == "AB1 xred"
+    assert repair.fix("Ünïcödé déjà") == "Ünïcödé déjà"
     assert repair.unwrap("x" * 60 + "\n\n" + "y" * 45 + "\nz") == "x" * 60 + "\n" + "y" * 45 + " z"
 
 
