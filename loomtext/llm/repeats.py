@@ -58,8 +58,9 @@ PARTITION_BYTES = 64 << 20
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _AT = np.uint64((1 << 28) - 1)
-#: Answers: the run occurs twice; hand it in; hand in its windows.
-TWICE, SEND, SPLIT = 1, 2, 4
+#: Answers: the run occurs twice; hand it in; ask for its windows; no other run has its
+#: minimiser.
+TWICE, SEND, SPLIT, ALONE = 1, 2, 4, 8
 
 
 def _powers(base: int, n: int, held={}) -> np.ndarray:  # noqa: B006
@@ -215,7 +216,7 @@ def _answer(asked: DataFrame, parts: int, hot: int) -> DataFrame:
         twice = (np.bincount(run_of, many[order]) > 1)[run_of]
         kinds = np.bincount(key_of, new)[key_of]
         flags = np.zeros(len(k), np.uint8)
-        flags[order] = twice * TWICE + (new & (kinds > 1)) * np.where(kinds > hot, SPLIT, SEND)
+        flags[order] = twice * TWICE + (new & (kinds > 1)) * np.where(kinds > hot, SPLIT, SEND) + (kinds == 1) * ALONE
         cols = [pa.array([r[1] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([zstandard.compress(flags[a:z].tobytes(), 1) for a, z in zip(cut[:-1], cut[1:])], pa.binary())]
         return pa.RecordBatch.from_arrays(cols, names=["block", "part", "flags"])
 
@@ -288,8 +289,12 @@ def _ask_windows(told: DataFrame, parts: int, width: int, gram: int) -> DataFram
     return told.select("block", "off", "body", "slices").mapInArrow(run, _QUESTION)
 
 
+def _signed(x) -> pa.Array:
+    return pa.array(np.array(x, np.uint64).view(np.int64))
+
+
 def _hand_in(told: DataFrame, width: int, gram: int) -> DataFrame:
-    """(key, block, at, many, body): runs handed in. ``block`` is -1 where the whole run
+    """(key, hash, block, at, body): runs handed in. ``block`` is -1 where the whole run
     is known to repeat."""
 
     def run(batches):
@@ -300,13 +305,13 @@ def _hand_in(told: DataFrame, width: int, gram: int) -> DataFrame:
                 for i in np.flatnonzero(flags & SEND).tolist():
                     r = one[i]
                     a, n = int(runs.first[r]), int(runs.many[r])
-                    out.append((int(runs.key[r]), -1 if flags[i] & TWICE else block.as_py(), a, n, raw[a : a + n + width - 1]))
+                    out.append((int(runs.key[r]), int(runs.hash[r]), -1 if flags[i] & TWICE else block.as_py(), a, raw[a : a + n + width - 1]))
                 for z in range(0, len(out), 4096):
-                    key, own, at, many, body_ = zip(*out[z : z + 4096])
-                    cols = [pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(own, pa.int64()), pa.array(at, pa.int64()), pa.array(many, pa.int32()), pa.array(body_, pa.binary())]
-                    yield pa.RecordBatch.from_arrays(cols, names=["key", "block", "at", "many", "body"])
+                    key, hash_, own, at, body_ = zip(*out[z : z + 4096])
+                    cols = [*map(_signed, (key, hash_)), pa.array(own, pa.int64()), pa.array(at, pa.int64()), pa.array(body_, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(cols, names=["key", "hash", "block", "at", "body"])
 
-    return told.select("block", "off", "body", "slices").mapInArrow(run, "key long, block long, at long, many int, body binary")
+    return told.select("block", "off", "body", "slices").mapInArrow(run, "key long, hash long, block long, at long, body binary")
 
 
 def suffix_array(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -393,27 +398,29 @@ def _repeated(strings: list[bytes], width: int) -> list[np.ndarray]:
     return [hit[a : a + len(s) - width + 1] for a, s in zip(start.tolist(), strings)]
 
 
-def _meet(sent: DataFrame, width: int, batch: int, parts: int) -> DataFrame:
-    """(block, at): windows that repeat, as (first, many) pairs packed for a block."""
+def _batches(batches, size: int):
+    """Whole groups of runs with one minimiser, of about ``size`` bytes together."""
+    held = None
+    for b in batches:
+        t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+        key = t["key"].to_numpy()
+        bytes_ = np.array([len(x) for x in t["body"].to_pylist()])
+        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        ends, a = np.cumsum(bytes_), 0
+        for i in range(1, len(new)):
+            if ends[new[i] - 1] - (ends[a - 1] if a else 0) >= size:
+                yield t.slice(a, new[i] - a)
+                a = int(new[i])
+        held = t.slice(a)
+    if held is not None and held.num_rows:
+        yield held
 
-    def groups(batches):
-        held = None
-        for b in batches:
-            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-            key = t["key"].to_numpy()
-            size = np.array([len(x) for x in t["body"].to_pylist()])
-            new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            ends, a = np.cumsum(size), 0
-            for i in range(1, len(new)):  # whole groups of about ``batch`` bytes
-                if ends[new[i] - 1] - (ends[a - 1] if a else 0) >= batch:
-                    yield t.slice(a, new[i] - a)
-                    a = int(new[i])
-            held = t.slice(a)
-        if held is not None and held.num_rows:
-            yield held
+
+def _meet(sent: DataFrame, width: int, batch: int, parts: int) -> DataFrame:
+    """(block, first, many): windows of runs handed in that lie in a maximal repeat."""
 
     def run(batches):
-        for t in groups(batches):
+        for t in _batches(batches, batch):
             block, at, body = (t[c].to_pylist() for c in ("block", "at", "body"))
             out = []
             for i, hit in enumerate(_repeated(body, width)):
@@ -428,6 +435,69 @@ def _meet(sent: DataFrame, width: int, batch: int, parts: int) -> DataFrame:
     return dealt.mapInArrow(run, "block long, first long, many int")
 
 
+_GROUP = "group long, length int, key long, hash long, skip int"
+
+
+def _group_batch(rows) -> pa.RecordBatch:
+    group, length, key, hash_, skip = zip(*rows) if rows else ((), (), (), (), ())
+    cols = [_signed(group), pa.array(length, pa.int32()), _signed(key), _signed(hash_), pa.array(skip, pa.int32())]
+    return pa.RecordBatch.from_arrays(cols, names=["group", "length", "key", "hash", "skip"])
+
+
+def _intervals(sent: DataFrame, width: int, batch: int, parts: int) -> DataFrame:
+    """Every maximal repeat among runs of one minimiser, with all its occurrences in them:
+    the intervals of the tree whose left extensions differ."""
+
+    def run(batches):
+        for t in _batches(batches, batch):
+            key, hash_ = (t[c].to_numpy().view(np.uint64).tolist() for c in ("key", "hash"))
+            body, out = t["body"].to_pylist(), []
+            for length, places in repeat_groups(body, width):
+                i, at = places[0]
+                group = xxhash.xxh3_64_intdigest(body[i][at : at + length])
+                out += [(group, length, key[j], hash_[j], p) for j, p in places]
+            yield _group_batch(out)
+
+    return sent.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, _GROUP)
+
+
+def _whole(told: DataFrame, width: int, gram: int) -> DataFrame:
+    """Runs that repeat as a whole, and repeated windows of hot minimisers' runs."""
+
+    def run(batches):
+        for b in batches:
+            for off, body, slices, windows in zip(*(b.column(i) for i in range(4))):
+                _, data, runs, one, _, flags = _flags(off.as_py(), body.as_py(), slices.as_py(), width, gram)
+                raw, hash_of, out = data.tobytes(), xxhash.xxh3_64_intdigest, []
+                for i in np.flatnonzero((flags & TWICE > 0) & (flags & (SEND | ALONE) > 0)):
+                    a, n = int(runs.first[one[i]]), int(runs.many[one[i]]) + width - 1
+                    out.append((hash_of(raw[a : a + n]), n, int(runs.key[one[i]]), int(runs.hash[one[i]]), 0))
+                if (flags & SPLIT).any():
+                    w = _windows(raw, runs, one, flags, width)
+                    hit = (_joined(windows.as_py()) & TWICE > 0)[w.of]
+                    run_of = np.searchsorted(runs.first, w.place, side="right") - 1
+                    out += [(hash_of(raw[p : p + width]), width, int(runs.key[r]), int(runs.hash[r]), p - int(runs.first[r])) for p, r in zip(w.place[hit].tolist(), run_of[hit])]
+                yield _group_batch(out)
+
+    return told.select("off", "body", "slices", "windows").mapInArrow(run, _GROUP)
+
+
+def _members(told: DataFrame, width: int, gram: int) -> DataFrame:
+    """(key, hash, digest, start): all runs that may hold a repeat, by text and byte."""
+
+    def run(batches):
+        for b in batches:
+            for digests, off, body, slices in zip(*(b.column(i) for i in range(4))):
+                off, _, runs, _, of, flags = _flags(off.as_py(), body.as_py(), slices.as_py(), width, gram)
+                some = flags[of] & (TWICE | SEND | SPLIT) > 0
+                text = np.searchsorted(off, runs.first[some], side="right") - 1
+                own = digests.as_py()
+                cols = [*map(_signed, (runs.key[some], runs.hash[some])), pa.array([own[i] for i in text], pa.binary()), pa.array(runs.first[some] - off[text], pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, names=["key", "hash", "digest", "start"])
+
+    return told.select("digests", "off", "body", "slices").mapInArrow(run, "key long, hash long, digest binary, start long")
+
+
 def _cut(joined: DataFrame, width: int, gram: int) -> DataFrame:
     def run(batches):
         for b in batches:
@@ -460,8 +530,16 @@ def _cut(joined: DataFrame, width: int, gram: int) -> DataFrame:
     return joined.select("digests", "copies", "off", "body", "slices", "windows", "found").mapInArrow(run, schema)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, hot: int = HOT, batch: int = BATCH_BYTES) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), a row for each input row."""
+class _Told(NamedTuple):
+    """Blocks with the answers to their questions, and where they are dealt to."""
+
+    rows: DataFrame
+    told: DataFrame
+    windows: DataFrame
+    n: int
+
+
+def _tell(docs: DataFrame, id_col: str, text_col: str, width: int, gram: int, hot: int) -> _Told:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     texts = rows.withColumn("digest", digest(F.col("text"))).groupBy("digest", "text").agg(F.count("*").alias("copies"))
@@ -473,7 +551,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     told = blocks.repartition(n, "block").join(_by_block(answers, "slices").repartition(n, "block"), "block", "left")
     told = materialise(told, "told")
     discard(blocks, answers)
-    windows = materialise(_answer(_ask_windows(told, parts, width, gram), parts, 1), "windows")
+    return _Told(rows, told, materialise(_answer(_ask_windows(told, parts, width, gram), parts, 1), "windows"), n)
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, hot: int = HOT, batch: int = BATCH_BYTES) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), a row for each input row."""
+    rows, told, windows, n = _tell(docs, id_col, text_col, width, gram, hot)
     found = materialise(_meet(_hand_in(told, width, gram), width, batch, n), "found")
     found_by = found.groupBy("block").agg(F.collect_list(F.struct("first", "many")).alias("found"))
     more = _by_block(windows, "windows").join(found_by, "block", "full")
@@ -484,5 +567,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def corpus_groups(docs: DataFrame, text_col: str = "text", width: int = WIDTH, gram: int = GRAM, hot: int = HOT, batch: int = BATCH_BYTES) -> DataFrame:
+    """(group, length, digest, start): the repeats that ``remove_repeats`` removes, each
+    with all its occurrences: the text's SHA-256 and the byte where it starts. Repeats are
+    maximal within runs (of 2*WIDTH-GRAM bytes at most); a longer one is several groups.
+    Groups hold runs by their hash, and meet the runs' places at the end."""
+    _, told, windows, n = _tell(docs.withColumn("__id", F.lit(None).cast("long")), "__id", text_col, width, gram, hot)
+    heard = told.repartition(n, "block").join(_by_block(windows, "windows").repartition(n, "block"), "block", "left")
+    groups = _intervals(_hand_in(told, width, gram), width, batch, n).union(_whole(heard, width, gram)).distinct()
+    out = groups.join(_members(told, width, gram), ["key", "hash"])
+    return out.select("group", "length", "digest", (F.col("start") + F.col("skip")).alias("start")).distinct()
+
+
 def op6_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -432,6 +432,33 @@ def test_repeats(docs, setting):
     same(repeats.remove_repeats(docs, width=width, gram=gram, hot=hot, batch=batch), want)
 
 
+@pytest.mark.parametrize("hot", [512, 1])
+def test_corpus_groups(docs, hot):
+    """Each group's text is the same at all its places, no place is missing, and the
+    groups cover what is removed."""
+    width = 40
+    texts = {hashlib.sha256(t).digest(): t for t in {(t or "").encode() for _, t in rows(docs)}}
+    seen = Counter(t[a : a + width] for t in texts.values() for a in range(len(t) - width + 1))
+    groups = {}
+    for r in repeats.corpus_groups(docs, width=width, gram=16, hot=hot, batch=4096).collect():
+        groups.setdefault((r["group"], r["length"]), set()).add((bytes(r["digest"]), r["start"]))
+    covered = {d: bytearray(len(t)) for d, t in texts.items()}
+    for k, ((_, length), places) in enumerate(sorted(groups.items())):
+        (one,) = {texts[d][a : a + length] for d, a in places}
+        assert len(one) == length >= width and len(places) > 1
+        for d, a in places:
+            covered[d][a : a + length] = b"\1" * length
+        if k % 50 == 0:
+            every = {(d, m.start()) for d, t in texts.items() for m in re.finditer(b"(?=" + re.escape(one) + b")", t)}
+            assert every == places
+    for d, t in texts.items():
+        want = bytearray(len(t))
+        for a in range(len(t) - width + 1):
+            if seen[t[a : a + width]] > 1:
+                want[a : a + width] = b"\1" * width
+        assert covered[d] == want
+
+
 def test_runs_in_sections():
     """Long texts are hashed in sections; each window keeps its minimiser."""
     import random
