@@ -5,6 +5,8 @@ Documents come as (ord, text); ``ord`` is the order in which a first copy wins.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -84,27 +86,33 @@ def greedy(docs: DataFrame, width: int = 100, threshold: float = 0.8) -> DataFra
 
     Exact without a serial pass: what is kept bounds a share from below, what is
     undecided from above; rounds repeat until the bounds decide every entry. The first
-    undecided entry is decided in each round.
+    undecided entry is decided in each round, and only windows of undecided entries go on.
     """
     if threshold <= 0:
         return docs.select("ord", F.lit(False).alias("kept"))
     hashes = window_hashes(docs, width, max(1, width // 4)).groupBy("ord", "h", "g").agg(F.count("*").alias("n"))
     shared = hashes.groupBy("h", "g").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).filter("first < last")
-    rows = checkpointed(hashes.join(shared.select("h", "g"), ["h", "g"]))
     size = hashes.groupBy("ord").agg(F.sum("n").alias("size"))
-    state = docs.select("ord").join(size, "ord").join(rows.select("ord").distinct().withColumn("linked", F.lit(True)), "ord", "left")
-    state = checkpointed(state.select("ord", "size", F.when(F.col("linked").isNull(), True).alias("kept")))
-    while not state.filter("kept IS NULL").isEmpty():  # each round decides one entry at least
-        now = rows.join(state, "ord")
-        least = now.groupBy("h", "g").agg(F.min(F.when(F.col("kept"), F.col("ord"))).alias("sure"), F.min(F.when(F.col("kept").isNull(), F.col("ord"))).alias("open"))
-        seen = now.filter("kept IS NULL").join(least, ["h", "g"])
+    linked = hashes.join(shared.select("h", "g"), ["h", "g"]).join(size, "ord")
+    undecided = checkpointed(linked.select("ord", "size", "h", "g", "n"))
+    alone = docs.select("ord").join(undecided.select("ord").distinct(), "ord", "left_anti")
+    decided = [alone.select("ord", F.lit(True).alias("kept"))]
+    kept = undecided.limit(0).select("h", "g", F.col("ord").alias("sure"))
+    while not undecided.isEmpty():  # each round decides one entry at least
+        open_ = undecided.groupBy("h", "g").agg(F.min("ord").alias("open"))
+        seen = undecided.join(open_, ["h", "g"]).join(kept, ["h", "g"], "left")
         sure = F.coalesce(F.col("sure") < F.col("ord"), F.lit(False))
-        may = sure | F.coalesce(F.col("open") < F.col("ord"), F.lit(False))
-        share = seen.groupBy("ord").agg(F.sum(F.when(sure, F.col("n")).otherwise(0)).alias("lo"), F.sum(F.when(may, F.col("n")).otherwise(0)).alias("hi"))
-        decided = state.join(share, "ord", "left")
+        may = sure | (F.col("open") < F.col("ord"))
+        share = seen.groupBy("ord", "size").agg(F.sum(F.when(sure, F.col("n")).otherwise(0)).alias("lo"), F.sum(F.when(may, F.col("n")).otherwise(0)).alias("hi"))
         new = F.when(F.col("lo") / F.col("size") >= threshold, False).when(F.col("hi") / F.col("size") < threshold, True)
-        state = checkpointed(decided.select("ord", "size", F.coalesce("kept", new).alias("kept")))
-    return state.select("ord", "kept")
+        now = checkpointed(share.select("ord", new.alias("kept")).filter("kept IS NOT NULL"))
+        decided.append(now)
+        more = undecided.join(now.filter("kept"), "ord").select("h", "g", F.col("ord").alias("sure"))
+        kept = checkpointed(kept.union(more).groupBy("h", "g").agg(F.min("sure").alias("sure")))
+        undecided = checkpointed(undecided.join(now, "ord", "left_anti"))
+        if len(decided) > 32:
+            decided = [checkpointed(functools.reduce(DataFrame.union, decided))]
+    return functools.reduce(DataFrame.union, decided)
 
 
 def statistics(docs: DataFrame, mode: str = "efficient", width: int = 100, threshold: float = 0.8) -> DataFrame:

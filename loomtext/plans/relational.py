@@ -112,7 +112,7 @@ both("G26_expert_balance", "SELECT round(sum(importance * share) * 64, 6) AS los
 
 # H: windows
 both("H1_first_by_key", "SELECT doc_id, id FROM (SELECT doc_id, doc_id % 90 AS id, row_number() OVER (PARTITION BY doc_id % 90 ORDER BY source, doc_id) AS rn FROM documents) WHERE rn = 1")
-both("H2_quota_sample", "WITH b AS (SELECT doc_id, CASE WHEN length(text) < 1000 THEN 0 WHEN length(text) < 3000 THEN 1 ELSE 2 END AS bucket FROM documents) SELECT doc_id, bucket FROM (SELECT doc_id, bucket, row_number() OVER (PARTITION BY bucket ORDER BY doc_id) AS rn FROM b) WHERE rn <= CASE bucket WHEN 0 THEN 50 WHEN 1 THEN 25 ELSE 0 END")
+both("H2_quota_sample", "WITH b AS (SELECT doc_id, CASE WHEN length(text) < 1000 THEN 0 WHEN length(text) < 3000 THEN 1 ELSE 2 END AS bucket FROM documents) SELECT doc_id, bucket FROM (SELECT doc_id, bucket, row_number() OVER (PARTITION BY bucket ORDER BY doc_id) AS rn FROM b) WHERE rn <= 50 AND rn <= CASE bucket WHEN 0 THEN 50 WHEN 1 THEN 25 ELSE 0 END")
 both("H3_delta", "WITH l AS ({LOSS}) SELECT run, step, round(coalesce(lag(loss) OVER (PARTITION BY run ORDER BY step), last_value(loss) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) - loss, 9) AS delta FROM l")
 both("H4_perplexity", "SELECT run, step, round(exp(loss / 100.0), 6) AS perplexity FROM ({LOSS}) WHERE step > 20")
 _BEST = "SELECT run, step, loss, min(loss) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM l"
