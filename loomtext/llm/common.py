@@ -131,6 +131,23 @@ def text_chunks(column: pa.Array, size: int = CHUNK_BYTES):
         row = end
 
 
+def bitmap(numbers: DataFrame, bits: int = 1 << 26) -> np.ndarray:
+    """A bitmap of fixed size (8 MB) with the bit of each number of a one-column table,
+    modulo ``bits``: to pick rows before they move. Fuller, it picks more than needed."""
+    place = F.pmod(F.col(numbers.columns[0]), F.lit(bits)) + 1
+    rows = numbers.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    out = np.zeros(bits // 8, np.uint8)
+    for r in rows:
+        out[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
+
+
+def picked(marks: np.ndarray, number: int) -> bool:
+    """Is the number's bit set?"""
+    at = number % (len(marks) * 8)
+    return bool(marks[at >> 3] >> (at & 7) & 1)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a long, b long) by alternating large
     and small stars: (node, root), root the smallest node of the component.

@@ -27,7 +27,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import digest, run_dir, spread_join
+from loomtext.llm.common import bitmap, digest, materialise, picked, run_dir, spread_join
 from loomtext.llm.pretoken import PieceTable, pieces, runs
 
 LIMIT = 512
@@ -89,15 +89,32 @@ def stored(spark: SparkSession, cache: str, tokenizer: str) -> DataFrame | None:
     return got.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
+def _missing(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """(digest, text) of rows whose digest the cache lacks. Digests are compared; of
+    texts, only those that a bitmap of the missing digests picks move."""
+    absent = materialise(rows.select("digest").distinct().join(known, "digest", "left_anti"), "absent")
+    number = F.conv(F.substring(F.hex("digest"), 1, 15), 16, 10).cast("long")
+    held = rows.sparkSession.sparkContext.broadcast(bitmap(absent.select(number)))
+
+    def run(batches):
+        for b in batches:
+            ok = [picked(held.value, int.from_bytes(d[:8]) >> 4) for d in b.column(0).to_pylist()]
+            yield b.filter(pa.array(ok, pa.bool_()))
+
+    some = rows.select("digest", "text").mapInArrow(run, "digest binary, text string")
+    return some.join(absent, "digest", "left_semi")
+
+
 def token_counts(docs: DataFrame, path: str, cache: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit), a row for each input row. The cache
     is completed for ``docs`` when this returns."""
     spark, version = docs.sparkSession, tokenizer_digest(path)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    distinct = rows.withColumn("digest", digest(F.col("text"))).groupBy("digest", "text").agg(F.lit(1).alias("one"))
+    rows = rows.withColumn("digest", digest(F.col("text")))
     known = stored(spark, cache, version)
-    misses = (distinct if known is None else distinct.join(known, "digest", "left_anti")).select("digest", "text")
+    misses = rows.select("digest", "text") if known is None else _missing(rows, known)
+    misses = misses.groupBy("digest", "text").agg(F.lit(1).alias("one")).select("digest", "text")
 
     def run(batches):
         count = counter(path)
@@ -107,7 +124,7 @@ def token_counts(docs: DataFrame, path: str, cache: str, limit: int = LIMIT, id_
                 yield pa.RecordBatch.from_arrays([part.column(0), n], names=["digest", "n_tokens"])
 
     misses.mapInArrow(run, "digest binary, n_tokens long").write.mode("append").parquet(f"{cache}/tokenizer={version}")
-    slim = rows.select("doc_id", digest(F.col("text")).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"))
+    slim = rows.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
     copies = slim.groupBy("digest").agg(F.count("*").alias("copies"))
     counts = stored(spark, cache, version).join(copies, "digest")
     out = spread_join(slim, counts, "digest", "copies", F.xxhash64("doc_id"))

@@ -262,7 +262,11 @@ def test_token_counts(docs, name, tmp_path):
         tok = Tokenizer.from_file(path)
         count = lambda t: len(tok.encode(t, add_special_tokens=False).ids)
     want = [(i, len((t or "").encode()), n := count(t or ""), n > 512) for i, t in rows(docs)]
+    tokens.token_counts(docs.filter("doc_id % 3 = 1"), path, str(tmp_path / "cache"))  # some are there before
     same(tokens.token_counts(docs, path, str(tmp_path / "cache")), want)
+    version = tokens.tokenizer_digest(path)
+    appended = spark_rows(docs, tmp_path / "cache" / f"tokenizer={version}")
+    assert len(appended) == len(set(appended))  # each distinct text was encoded once
     same(tokens.token_counts(docs, path, str(tmp_path / "cache")), want)  # from the cache alone
 
 
@@ -299,6 +303,10 @@ class PlainAutomaton:
         return total
 
 
+def spark_rows(docs, folder):
+    return [bytes(r["digest"]) for r in docs.sparkSession.read.parquet(str(folder)).collect()]
+
+
 def test_lm(docs):
     data = [(i, re.findall(r"[^\x20\x09-\x0D]+", lower(t)) + [None]) for i, t in rows(docs)]
     model = PlainAutomaton([w for i, w in data if i is None or zlib.crc32(str(i).encode()) % 5 != 1])
