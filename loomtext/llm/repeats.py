@@ -281,8 +281,8 @@ def _ask_windows(told: DataFrame, parts: int, width: int, gram: int) -> DataFram
     def run(batches):
         for b in batches:
             for block, off, body, slices in zip(*(b.column(i) for i in range(4))):
-                _, data, runs, one, _, flags = _flags(off.as_py(), body.as_py(), slices.as_py(), width, gram)
-                if (flags & SPLIT).any():
+                if (_joined(slices.as_py()) & SPLIT).any():
+                    _, data, runs, one, _, flags = _flags(off.as_py(), body.as_py(), slices.as_py(), width, gram)
                     w = _windows(data.tobytes(), runs, one, flags, width)
                     yield _slices(block.as_py(), w.key, w.hash, w.many, parts)
 
