@@ -187,6 +187,12 @@ def _questions(off: np.ndarray, data: np.ndarray):
     return tok, row, keys, at
 
 
+def _learned(train, row: np.ndarray, keys: list, at: list) -> list[np.ndarray]:
+    """How often a block's training texts have each of its n-grams."""
+    learn = np.array(train, bool)[row]
+    return [np.bincount(i[learn & (i >= 0)], minlength=len(k)).astype(np.uint32) for k, i in zip(keys, at)]
+
+
 def _ask(blocks: DataFrame, parts: int) -> DataFrame:
     """(part, block, keys, counts): a block's distinct n-grams of a partition, in
     order, and how often its training texts have them."""
@@ -195,8 +201,7 @@ def _ask(blocks: DataFrame, parts: int) -> DataFrame:
         for b in batches:
             for block, train, off, body in zip(*(b.column(i) for i in range(4))):
                 _, row, keys, at = _questions(*_read(off.as_py(), body.as_py()))
-                learn = np.array(train.as_py(), bool)[row]
-                counts = [np.bincount(i[learn & (i >= 0)], minlength=len(k)).astype(np.uint32) for k, i in zip(keys, at)]
+                counts = _learned(train.as_py(), row, keys, at)
                 cuts = [np.r_[0, np.searchsorted(k, _edges(parts, bits)), len(k)] for k, bits in zip(keys, _BITS)]
                 rows = []
                 for p in range(parts):
@@ -212,9 +217,10 @@ def _ask(blocks: DataFrame, parts: int) -> DataFrame:
 
 
 def _answer(asked: DataFrame, parts: int) -> DataFrame:
-    """(block, part, counts, total, kinds): for each block the corpus counts of what
-    it asked for; block -1 has the partition's training tokens and words. A task has
-    one partition's questions, of bounded size."""
+    """(block, part, counts, total, kinds): for each block how often all other blocks
+    have what it asked for (often 0, which compresses well); block -1 has the
+    partition's training tokens and words. A task has one partition's questions, of
+    bounded size."""
 
     def solve(part: int, rows: list[tuple[int, bytes, bytes]]):
         keys = [[np.cumsum(d, dtype=np.uint64) for d in _unpacked(k, np.uint64)] for _, k, _ in rows]
@@ -226,8 +232,8 @@ def _answer(asked: DataFrame, parts: int) -> DataFrame:
             if order == 0:
                 words = (int(total.sum()), int((total > 0).sum()))
             a = 0
-            for k, own in zip(keys, out):
-                own.append(total[at[a : a + len(k[order])]])
+            for k, c, own in zip(keys, counts, out):
+                own.append(total[at[a : a + len(k[order])]] - c[order])
                 a += len(k[order])
         blocks = [*(r[0] for r in rows), -1]
         n = len(blocks)
@@ -337,9 +343,9 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
             for ids, train, off, body, own in zip(*(b.column(i) for i in range(5))):
                 off, data = _read(off.as_py(), body.as_py())
                 n = len(off) - 1
-                tok, row, _, at = _questions(off, data)
+                tok, row, keys, at = _questions(off, data)
                 parts_of = [_unpacked(s["counts"], np.uint64) for s in own.as_py()]
-                counts = [np.concatenate([p[order] for p in parts_of]).astype(np.int64) for order in range(3)]
+                counts = [np.concatenate([p[order] for p in parts_of]).astype(np.int64) + c for order, c in enumerate(_learned(train.as_py(), row, keys, at))]
                 model = Automaton(tok, row, at, counts, total, kinds, starts)
                 known = np.bincount(row, counts[0][at[0]] > 0, n).astype(np.int64)
                 cols = [pa.array(ids.as_py(), pa.int64()), pa.array([not t for t in train.as_py()]), pa.array(np.bincount(row, minlength=n)), pa.array(known), pa.array(np.full(n, total, np.int64))]
