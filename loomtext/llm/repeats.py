@@ -119,7 +119,8 @@ def _runs(off: np.ndarray, data: np.ndarray, a: int, width: int, gram: int, sect
     first, many = inside[at], np.diff(np.r_[at, len(inside)])
     raw, hash_of = data.tobytes(), xxhash.xxh3_64_intdigest
     content = np.fromiter((hash_of(raw[x:y]) for x, y in zip(first.tolist(), (first + many + width - 1).tolist())), np.uint64, len(first))
-    return Runs(first + a, many, h[pick[at].astype(np.int64)], content)
+    # least hashes are small: mixed again, they are dealt evenly
+    return Runs(first + a, many, _mix(h[pick[at].astype(np.int64)] + np.uint64(_BASE)), content)
 
 
 def _distinct(key: np.ndarray, hash_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
