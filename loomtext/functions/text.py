@@ -139,25 +139,29 @@ def document(text: Column, newlines: bool = True) -> Column:
     return F.concat(F.lit(f"<BOS>{gap}"), text, F.lit(f"{gap}<EOS><SEP>"))
 
 
-#: The license markers, with the newline runs that a text may have
-#: between their lines.
+#: The license markers, with the newlines that a text may have between
+#: their lines, and how many newline cascades follow; in the order in which they are tried.
 _FILE_NOTE = "***** This file should be named"
-_FOOTER = ("START: FULL LICENSE", "THE FULL PROJECT GUTENBERG LICENSE", "PLEASE READ THIS BEFORE YOU DISTRIBUTE OR USE THIS WORK")
-_COUNTRY = ("If you are not located in the United States,", "you will have to check the laws of the country where you are located", "before using this eBook.")
-_COPY = ("You may copy it, give it away or", "re-use it under the terms of the Project Gutenberg License included", "with this eBook or online at www.gutenberg.org")
-_UPDATED = (
-    "Updated editions will replace the previous one—the old editions will be renamed.",
-    "Creating the works from print editions not protected by U.S. copyright law means that no one owns a United States copyright in these works",
-)
-
-
-def license_markers() -> tuple[list[tuple[str, int]], list[tuple[str, int]], list[tuple[str, int]]]:
-    """(marker, newline cascades that follow) of footers, headers and update notes,
-    each in the order in which they are tried."""
-    footer = [(("\n" * n).join(_FOOTER), n - 1) for n in (1, 2, 3, 4)]
-    country = [(" ".join(_COUNTRY), 0), ("\n".join(_COUNTRY), 1), ("\n\n".join(_COUNTRY), 2), (f"{_COUNTRY[0]}\n\n\n{_COUNTRY[1]}\n\n{_COUNTRY[2]}", 3)]
-    copy = [(" ".join(_COPY), 0), *((("\n" * n).join(_COPY), n) for n in (1, 2, 3))]
-    return footer, country + copy, [(("\n" * n).join(_UPDATED), n - 1) for n in (2, 3)]
+LICENSE_FOOTERS = (
+    ("START: FULL LICENSE\nTHE FULL PROJECT GUTENBERG LICENSE\nPLEASE READ THIS BEFORE YOU DISTRIBUTE OR USE THIS WORK", 0),
+    ("START: FULL LICENSE\n\nTHE FULL PROJECT GUTENBERG LICENSE\n\nPLEASE READ THIS BEFORE YOU DISTRIBUTE OR USE THIS WORK", 1),
+    ("START: FULL LICENSE\n\n\nTHE FULL PROJECT GUTENBERG LICENSE\n\n\nPLEASE READ THIS BEFORE YOU DISTRIBUTE OR USE THIS WORK", 2),
+    ("START: FULL LICENSE\n\n\n\nTHE FULL PROJECT GUTENBERG LICENSE\n\n\n\nPLEASE READ THIS BEFORE YOU DISTRIBUTE OR USE THIS WORK", 3),
+)
+LICENSE_HEADERS = (
+    ("If you are not located in the United States, you will have to check the laws of the country where you are located before using this eBook.", 0),
+    ("If you are not located in the United States,\nyou will have to check the laws of the country where you are located\nbefore using this eBook.", 1),
+    ("If you are not located in the United States,\n\nyou will have to check the laws of the country where you are located\n\nbefore using this eBook.", 2),
+    ("If you are not located in the United States,\n\n\nyou will have to check the laws of the country where you are located\n\nbefore using this eBook.", 3),
+    ("You may copy it, give it away or re-use it under the terms of the Project Gutenberg License included with this eBook or online at www.gutenberg.org", 0),
+    ("You may copy it, give it away or\nre-use it under the terms of the Project Gutenberg License included\nwith this eBook or online at www.gutenberg.org", 1),
+    ("You may copy it, give it away or\n\nre-use it under the terms of the Project Gutenberg License included\n\nwith this eBook or online at www.gutenberg.org", 2),
+    ("You may copy it, give it away or\n\n\nre-use it under the terms of the Project Gutenberg License included\n\n\nwith this eBook or online at www.gutenberg.org", 3),
+)
+LICENSE_UPDATES = (
+    ("Updated editions will replace the previous one—the old editions will be renamed.\n\nCreating the works from print editions not protected by U.S. copyright law means that no one owns a United States copyright in these works", 1),
+    ("Updated editions will replace the previous one—the old editions will be renamed.\n\n\nCreating the works from print editions not protected by U.S. copyright law means that no one owns a United States copyright in these works", 2),
+)
 
 
 def trim_license(text: Column) -> Column:
@@ -169,10 +173,9 @@ def trim_license(text: Column) -> Column:
             t = newline_cascade(t, 3, 3)
         return t
 
-    footers, headers, updates = license_markers()
     text = F.substring_index(tidy_tabs(collapse_spaces(text)), _FILE_NOTE, 1)
     touched = F.lit(False)
-    for markers, part in ((footers, 0), (headers, 1), (updates, 0)):
+    for markers, part in ((LICENSE_FOOTERS, 0), (LICENSE_HEADERS, 1), (LICENSE_UPDATES, 0)):
         out, found = text, F.lit(False)
         for marker, times in reversed(markers):
             has = F.contains(text, F.lit(marker))

@@ -81,7 +81,7 @@ _WORD_TOKENS_SQL = f"list_concat(['<BOS>'], list_filter({_SPACED_SQL}, lambda w:
 _WORD_IDS_SQL = f"list_transform(list_concat(['<BOS>'], {_SPACED_SQL}, ['<EOS>']), lambda w: coalesce(list_position([{', '.join(map(repr, VOCABULARY))}], w) - 1, 1))"
 projected("C25_word_tokens", "text", "text", lambda t: F.array_join(T.word_tokens(t), "|"), f"array_to_string({_WORD_TOKENS_SQL}, '|')")
 projected("C25_word_ids", "text", "text", lambda t: F.array_join(T.encode_words(T.word_tokens(t, empty=True), WORD_IDS, 512).cast("array<string>"), " "), f"(WITH a AS (SELECT {_WORD_IDS_SQL} AS x) SELECT array_to_string(list_concat(x, list_transform(range(greatest(512 - len(x), 0)), lambda i: 0)), ' ') FROM a)")
-_footers, _headers, _updates = T.license_markers()
+_footers, _headers, _updates = T.LICENSE_FOOTERS, T.LICENSE_HEADERS, T.LICENSE_UPDATES
 
 
 def _quoted(m: str, sql: bool) -> str:
