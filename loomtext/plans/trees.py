@@ -3,28 +3,22 @@ is planted in the shared folder and read back; caches are written and reloaded."
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
 from loomtext.operators import dedup, recurrences
 from loomtext.plans.registry import query
 from loomtext.sources import corpus, stores
-from loomtext.sources.shared import shared_dir
+from loomtext.sources.shared import scratch
 from loomtext.sources.tables import table
 
 
-def _folder(spark, name):
-    return f"{shared_dir(spark)}/loomtext-{name}-{uuid.uuid4().hex}"
-
-
 def _plant(spark, sf_dir):
     """<root>/<region>/<nation> (id).txt, a note for each region, one file at the root."""
     rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name", "n_nationkey").collect()
     files = [(r["r_name"], f"{r['n_name']} ({r['n_nationkey']}).txt", (f"{r['n_name']}\r\nplain" if r["n_nationkey"] % 2 else f"{r['n_name']} é").encode()) for r in rows]
     files += [(name, "note.IGNORE", b"no") for name in sorted({r["r_name"] for r in rows})]
-    root = _folder(spark, "tree")
+    root = scratch(spark, "tree")
     corpus.plant(spark, root, [*files, ("", "about.txt", b"root")])
     return root
 
@@ -82,7 +76,7 @@ def dataset_buckets(spark, sf_dir):
 
 @query("A20_token_cache", "SELECT doc_id, len(ids) AS length, CAST(list_sum(ids) AS BIGINT) AS total FROM (SELECT doc_id, list_transform(string_split(text, ' '), lambda w: length(w) + 1) AS ids FROM documents)")
 def token_cache(spark, sf_dir):
-    folder = _folder(spark, "tokens")
+    folder = scratch(spark, "tokens")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split("text", " ", -1), lambda w: F.length(w) + 1).alias("ids"))
     stores.save_tokens(docs, folder)
     back = stores.load_tokens(spark, folder)
@@ -91,14 +85,14 @@ def token_cache(spark, sf_dir):
 
 @query("B1_save", "SELECT source AS category, 'w' || doc_id || '.txt' AS file_name, text FROM documents")
 def save(spark, sf_dir):
-    folder = _folder(spark, "catalog")
+    folder = scratch(spark, "catalog")
     corpus.save(table(spark, sf_dir, "documents").select(F.col("source").alias("category"), F.concat(F.lit("w"), "doc_id", F.lit(".txt")).alias("file_name"), "text"), folder)
     return spark.read.schema("file_name string, text string, category string").parquet(folder)
 
 
 @query("B6_metrics", "SELECT kind, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT event_type AS kind, value FROM events UNION ALL SELECT 'avg' AS kind, value FROM events) GROUP BY kind")
 def metrics(spark, sf_dir):
-    folder, ev = _folder(spark, "metrics"), table(spark, sf_dir, "events")
+    folder, ev = scratch(spark, "metrics"), table(spark, sf_dir, "events")
     rows = ev.select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), "value", F.col("event_type").alias("kind"))
     stores.append_metrics(rows, folder)
     stores.append_metrics(rows.withColumn("kind", F.lit("avg")), folder)
@@ -107,7 +101,7 @@ def metrics(spark, sf_dir):
 
 @query("B7_model", "SELECT n_nationkey AS token_id, n_name AS token, 'names' AS model, '64' AS hidden FROM nation")
 def model(spark, sf_dir):
-    folder = _folder(spark, "model")
+    folder = scratch(spark, "model")
     vocabulary = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("token_id"), F.col("n_name").alias("token"))
     stores.save_model(vocabulary, {"model": "names", "hidden": "64"}, folder)
     back, config = stores.load_model(spark, folder, "token_id int, token string", "model string, hidden string")
@@ -116,7 +110,7 @@ def model(spark, sf_dir):
 
 @query("B8_frequencies", "WITH f AS (SELECT p_type AS token, count(*) AS n FROM part GROUP BY p_type) SELECT token, n, (SELECT count(*) FROM f) AS vocab_size, CAST((SELECT sum(n) FROM f) AS BIGINT) AS total FROM f")
 def frequencies(spark, sf_dir):
-    folder = _folder(spark, "frequencies")
+    folder = scratch(spark, "frequencies")
     stores.save_frequencies(table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("token")).agg(F.count("*").alias("n")), folder)
     return spark.read.schema("token string, n long, vocab_size long, total long").parquet(folder)
 

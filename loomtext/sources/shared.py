@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+_RUNS: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, or the folder set on the context; a local master without
@@ -23,3 +28,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when this application's driver ends."""
+    root = f"{shared_dir(spark)}/loomtext-scratch/{spark.sparkContext.applicationId}"
+    if root not in _RUNS:
+        _RUNS.add(root)
+        atexit.register(_remove, spark, root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    if sc._jvm is None or sc._jsc is None:
+        return  # the session is over; its folder is left to the cluster's cleaning
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
