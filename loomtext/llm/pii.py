@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import discard, materialise, spread_join
+from loomtext.llm.common import materialise, spread_join
 
 #: Kinds in the order in which they are listed.
 KINDS = ("email", "ip", "card", "phone", "term")
