@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus-preparation operators and their queries.
+"""Training-data operators: corpus-preparation operators and their queries.
 
 Nothing outside this folder (and ``corpus_pipeline.py``) imports it.
 """

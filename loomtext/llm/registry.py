@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomtext.llm import bpe, decontam, exact, langid, lm, pii, repeats, secrets, simhash, tokens
+from loomtext.llm import bpe, decontam, exact, fim, langid, lm, pii, repeats, secrets, simhash, tokens
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_decontamination": decontam.op9_decontamination,
     "op10_exact_dedup": exact.op10_exact_dedup,
+    "op11_fill_in_middle": fim.op11_fill_in_middle,
 }
-ORACLES = {"op8_secret_scan": secrets.ORACLE, "op10_exact_dedup": exact.ORACLE}
+ORACLES = {"op8_secret_scan": secrets.ORACLE, "op10_exact_dedup": exact.ORACLE, "op11_fill_in_middle": fim.ORACLE}
