@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomtext.llm import bpe, decontam, exact, fim, langid, lm, pii, repeats, secrets, simhash, tokens
+from loomtext.llm import bpe, decontam, exact, fim, langid, lm, merkle, pii, repeats, secrets, simhash, tokens
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_decontamination": decontam.op9_decontamination,
     "op10_exact_dedup": exact.op10_exact_dedup,
     "op11_fill_in_middle": fim.op11_fill_in_middle,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
 }
-ORACLES = {"op8_secret_scan": secrets.ORACLE, "op10_exact_dedup": exact.ORACLE, "op11_fill_in_middle": fim.ORACLE}
+ORACLES = {"op8_secret_scan": secrets.ORACLE, "op10_exact_dedup": exact.ORACLE, "op11_fill_in_middle": fim.ORACLE, "op12_merkle_manifest": merkle.ORACLE}
