@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomtext.llm import bpe, decontam, exact, fim, langid, lm, merkle, pii, repeats, secrets, simhash, tokens
+from loomtext.llm import bpe, decontam, exact, fim, langid, lm, merkle, pii, repeats, secrets, simhash, tokens, urls
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_exact_dedup": exact.op10_exact_dedup,
     "op11_fill_in_middle": fim.op11_fill_in_middle,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_url_filter": urls.op13_url_filter,
 }
 ORACLES = {"op8_secret_scan": secrets.ORACLE, "op10_exact_dedup": exact.ORACLE, "op11_fill_in_middle": fim.ORACLE, "op12_merkle_manifest": merkle.ORACLE}
