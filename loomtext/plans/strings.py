@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import repair
 from loomtext.functions import text as T
+from loomtext.operators import pages
 from loomtext.plans.registry import query
 from loomtext.sources.tables import table
 
@@ -133,16 +134,45 @@ def title_tag(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.between(F.col("html"), "<title>", "</title>").alias("out"))
 
 
+#: A listing page made of a table's page: a section with a header and an ordered list of works.
+_LISTING = (("<nav>", '<div class="main page_content"><h2 id="books-last30">Top</h2><p>Works</p>'), ("</nav>", "</div>"), ("<ul>", "<ol>"), ("</ul>", "</ol>"), ('<a href="/', '<a href="/ebooks/'), ("</a></li>", " by Someone</a></li>"))
+
+
+def _unescaped(x: str) -> str:
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&amp;", "&")):
+        x = f"replace({x}, '{entity}', '{char}')"
+    return x
+
+
+_HREF, _TITLE = (f"unnest(list_transform(m, lambda x: regexp_extract(x, '{p}', 1)))" for p in ('<a href="/([^"]*)"', ">([^<]*)</a>"))
+_LINKS_SQL = f"""SELECT page_id, unnest(range(1, len(m) + 1)) AS item, {_unescaped(_HREF)} AS work, {_unescaped(_TITLE)} AS title
+    FROM (SELECT page_id, regexp_extract_all(string_split(string_split(html, '<ul>')[2], '</ul>')[1], '<a href="[^"]*">[^<]*</a>') AS m FROM pages)"""
+
+
+def _listings(spark, sf_dir):
+    page = F.col("html")
+    for old, new in _LISTING:
+        page = F.replace(page, F.lit(old), F.lit(new))
+    return pages.listed_links(table(spark, sf_dir, "pages").select("page_id", page.alias("html")), "page_content", "books-last30")
+
+
+@query("C22_list_links", f"SELECT page_id, item, '/ebooks/' || work AS href, trim(title || ' by Someone') AS title FROM ({_LINKS_SQL})")
+def list_links(spark, sf_dir):
+    return _listings(spark, sf_dir)
+
+
+@query("C22_catalog", f"SELECT page_id, work AS work_id, arg_max(trim(title), item) AS name FROM ({_LINKS_SQL}) GROUP BY page_id, work")
+def listed_works(spark, sf_dir):
+    return pages.catalog(_listings(spark, sf_dir), "ebooks/")
+
+
 @query(
-    "C22_list_links",
-    r"""SELECT page_id, unnest(regexp_extract_all(nav, '<a href="([^"]*)">([^<]*)</a>', 1)) AS href, unnest(list_transform(regexp_extract_all(nav, '<a href="([^"]*)">([^<]*)</a>', 2), lambda x: trim(x))) AS title
-    FROM (SELECT page_id, string_split(string_split(html, '<ul>')[2], '</ul>')[1] AS nav FROM pages) WHERE nav IS NOT NULL""",
+    "C22_elements",
+    r"""SELECT page_id, lower(tag) AS tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '(<(?:script|style)[^>]*>).*?(</(?:script|style))', '\1\2', 'gs'), '<([a-zA-Z][^\s/>]*)[^>]*>', 1)) AS tag FROM pages) GROUP BY ALL""",
 )
-def list_links(spark, sf_dir):
-    link = F.lit('<a href="([^"]*)">([^<]*)</a>')
-    pages = table(spark, sf_dir, "pages").select("page_id", T.between(F.col("html"), "<ul>", "</ul>").alias("nav"))
-    pairs = F.arrays_zip(F.regexp_extract_all("nav", link, F.lit(1)).alias("href"), F.regexp_extract_all("nav", link, F.lit(2)).alias("title"))
-    return pages.select("page_id", F.explode(pairs).alias("x")).select("page_id", "x.href", F.trim("x.title").alias("title"))
+def page_elements(spark, sf_dir):
+    """Elements of each tag on every page; what scripts, styles and comments hold is none."""
+    return pages.elements(table(spark, sf_dir, "pages")).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
 @query(
