@@ -185,15 +185,6 @@ def trim_license(text: Column) -> Column:
     return F.when(touched, text).otherwise(settle(text, 2))
 
 
-def index_entry(paragraph: Column) -> Column:
-    """An index paragraph's file name: title before three spaces, the id that ends its
-    first line, and an extension by its language note (C23)."""
-    line = F.split_part(paragraph, F.lit("\n"), F.lit(1))
-    foreign = F.contains(paragraph, F.lit("[Language: ")) & ~F.contains(paragraph, F.lit("English"))
-    ext = F.when(foreign, F.lit(".IGNORE")).otherwise(F.lit(".txt"))
-    return F.concat(F.split_part(line, F.lit("   "), F.lit(1)), F.lit(" ("), F.regexp_extract(line, "([0-9]+)$", 1), F.lit(")"), ext)
-
-
 def tidy_question(text: Column) -> Column:
     """Double spaces single, trimmed, ended by one mark."""
     t = F.btrim(F.replace(text, F.lit("  "), F.lit(" ")), F.lit(" \n\t\r"))

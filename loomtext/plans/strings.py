@@ -185,19 +185,4 @@ def model_suffix(spark, sf_dir):
     return ev.select("event_id", F.regexp_extract("f", "_step_([0-9]+)", 1).alias("step"), F.contains("f", F.lit("CleanSlate")).alias("fresh"), F.contains("f", F.lit("_best_test")).alias("best"))
 
 
-_ENTRY = "concat('Work ', doc_id, '   ', doc_id, '\\n', if(lang = 'en', '', concat('[Language: ', lang, ']')))"
-_ENTRY_SQL = "'Work ' || doc_id || '   ' || doc_id || chr(10) || CASE WHEN lang = 'en' THEN '' ELSE '[Language: ' || lang || ']' END"
-
-
-@query(
-    "C23_index_entries",
-    f"""SELECT doc_id, split_part(line, '   ', 1) || ' (' || id || ')' || ext AS name FROM (
-    SELECT doc_id, line, replace(right(line, 10), ' ', '') AS digits, regexp_extract(line, '([0-9]+)$', 1) AS id, ext FROM (
-    SELECT doc_id, split_part(t, chr(10), 1) AS line, CASE WHEN contains(t, '[Language: ') AND NOT contains(t, 'English') THEN '.IGNORE' ELSE '.txt' END AS ext FROM (SELECT doc_id, {_ENTRY_SQL} AS t FROM documents)))""",
-)
-def index_entries(spark, sf_dir):
-    entry = table(spark, sf_dir, "documents").select("doc_id", F.expr(_ENTRY).alias("t"))
-    return entry.select("doc_id", T.index_entry(F.col("t")).alias("name"))
-
-
 projected("C28_tidy_question", "replace(text, 'the', ' . ')", "replace(text, 'the', ' . ')", T.tidy_question, "(WITH a AS (SELECT trim(replace({t}, '  ', ' '), ' ' || chr(10) || chr(9) || chr(13)) AS x), b AS (SELECT CASE WHEN right(x, 1) IN ('.', '?', '!') THEN x WHEN contains(x, '?') THEN x || '?' ELSE x || '.' END AS x FROM a) SELECT CASE WHEN right(x, 2) IN ('..', '??') THEN left(x, length(x) - 1) ELSE x END FROM b)")

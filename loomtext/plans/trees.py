@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomtext.functions import text as T
 from loomtext.operators import dedup, recurrences
 from loomtext.plans.registry import query
-from loomtext.sources import corpus, stores
+from loomtext.sources import corpus, index, stores
 from loomtext.sources.shared import scratch
 from loomtext.sources.tables import table
 
@@ -154,3 +154,29 @@ def rms_norm(spark, sf_dir):
     normed = recurrences.rms_norm(F.col("embedding").cast("array<double>"))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(normed).alias("pos", "y"))
     return rows.select("vec_id", F.col("pos").cast("long").alias("pos"), F.round("y", 6).alias("y"))
+
+
+#: Index paragraphs of documents: a title line with the id at its end (every seventh too near the
+#: title to count), an author, a language note for some; between them, paragraphs without an id
+#: and such as carry on another.
+_RECORD = (
+    "concat(left(split(text, '\\n')[0], 60), repeat(' ', if(doc_id % 7 = 0, 2, 12)), doc_id, '\\n by Someone', if(lang = 'en', '', concat('\\n [Language: ', lang, ']')), if(doc_id % 11 = 0, '\\n In English', ''))",
+    "left(string_split(text, chr(10))[1], 60) || repeat(' ', CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 12 END) || doc_id || chr(10) || ' by Someone' || CASE WHEN lang = 'en' THEN '' ELSE chr(10) || ' [Language: ' || lang || ']' END || CASE WHEN doc_id % 11 = 0 THEN chr(10) || ' In English' ELSE '' END",
+)
+
+
+@query(
+    "C23_index_lookup",
+    f"""WITH r AS (SELECT doc_id AS id, {_RECORD[1]} AS t FROM documents), e AS (SELECT id, string_split(t, chr(10))[1] AS line, contains(t, '[Language: ') AND NOT contains(t, 'English') AS foreign_ FROM r WHERE t[1] <> ' '),
+    f AS (SELECT id, split_part(line, '   ', 1) || ' (' || id || ')' || CASE WHEN foreign_ THEN '.IGNORE' ELSE '.txt' END AS name FROM e WHERE line LIKE '%   ' || id AND replace(right(line, 10), ' ', '') = CAST(id AS VARCHAR))
+    SELECT w.work_id, f.name FROM (SELECT DISTINCT doc_id AS work_id FROM labels UNION SELECT doc_id + 1000000000 AS work_id FROM labels WHERE toxic = 1) w LEFT JOIN f ON f.id = w.work_id""",
+)
+def index_lookup(spark, sf_dir):
+    """Labelled documents, and some ids that no index has, in an index of all documents."""
+    path = scratch(spark, "index")
+    carried = F.concat(F.lit(" see also   "), F.col("doc_id") + 1)
+    three = F.array(F.expr(_RECORD[0]), F.lit("A heading without a number"), carried)
+    index.save(table(spark, sf_dir, "documents").select(F.explode(three).alias("record")), path)
+    labels = table(spark, sf_dir, "labels")
+    wanted = labels.select(F.col("doc_id").alias("work_id")).union(labels.filter("toxic = 1").select(F.col("doc_id") + 1000000000))
+    return index.lookup(spark, path, wanted)
