@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtext.operators import selection
+
 
 def pad(ids: Column, length: int, value: int, left: bool = False) -> Column:
     """``ids`` filled up to ``length``."""
@@ -34,16 +36,9 @@ def shifted(ids: Column, pad_id: int = 0) -> Column:
 
 
 def split(docs: DataFrame, share: float, seed: int, key: str = "doc_id") -> DataFrame:
-    """``docs`` with ``train``: true for exactly int(n * share) rows, picked by a hash
-    of the key (I5)."""
-    order = F.struct(F.xxhash64(F.col(key), F.lit(seed)), F.col(key))
-    cut = docs.select(order.alias("o"))
-    n = cut.count()
-    k = int(n * share)
-    if k in (0, n):
-        return docs.withColumn("train", F.lit(k == n and n > 0))
-    edge = cut.orderBy("o").offset(k - 1).limit(1)
-    return docs.crossJoin(F.broadcast(edge)).withColumn("train", order <= F.col("o")).drop("o")
+    """``docs`` with ``train``: true for exactly int(n * share) rows, the first of a seeded
+    shuffle of the keys (I5)."""
+    return docs.withColumn("train", selection.among_first(docs, seed, key, share=share))
 
 
 def batches(seqs: DataFrame, size: int, pad_id: int = 0) -> DataFrame:

@@ -124,10 +124,9 @@ def pad_batches(spark, sf_dir):
     return packing.batches(seqs, 8).select("batch", "seq_no", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
 
-@query("I5_seeded_split", "SELECT CAST(floor(count(*) * 0.95) AS BIGINT) AS train, count(*) - CAST(floor(count(*) * 0.95) AS BIGINT) AS held FROM documents")
+@query("I5_seeded_split", "SELECT doc_id, row_number() OVER (ORDER BY CAST('0x' || left(md5('42:' || doc_id), 15) AS BIGINT), doc_id) <= floor(count(*) OVER () * 0.95) AS train FROM documents")
 def seeded_split(spark, sf_dir):
-    s = packing.split(table(spark, sf_dir, "documents").select("doc_id"), 0.95, 42)
-    return s.agg(F.count_if("train").alias("train"), F.count_if(~F.col("train")).alias("held"))
+    return packing.split(table(spark, sf_dir, "documents").select("doc_id"), 0.95, 42)
 
 
 @query("K4_bpe_train")
