@@ -74,8 +74,3 @@ def _fit_sql(degree: int) -> str:
 def cubic_fit(spark, sf_dir):
     ev = table(spark, sf_dir, "events").select((F.col("event_id") / 10000).alias("x"), F.col("value").alias("y"))
     return recurrences.polynomial_fit(ev, "x", "y", 3).withColumn("coefficient", F.round("coefficient", 4))
-
-
-@query("M_first_seen", "SELECT DISTINCT user_id FROM events")
-def first_seen(spark, sf_dir):
-    return monitor.first_seen(table(spark, sf_dir, "events"), "user_id", delay="3650 days").select("user_id")

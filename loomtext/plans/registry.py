@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from loomtext.plans import aggregates, cleaning, corpus, relational, strings, trees, vocabularies  # noqa: E402, F401
+from loomtext.plans import aggregates, cleaning, corpus, relational, streams, strings, trees, vocabularies  # noqa: E402, F401
