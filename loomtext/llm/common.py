@@ -81,6 +81,16 @@ def discard(*tables: DataFrame) -> None:
                 path.getFileSystem(conf).delete(path, True)
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``docs`` has, whatever the case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"{name}_"
+        out.append(name)
+    return out
+
+
 def digest(text: Column) -> Column:
     """SHA-256 of the text as 32 bytes; null counts as empty."""
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import digest, materialise, spread_join
+from loomtext.llm.common import digest, materialise, spread_join, unused
 
 ORACLE = """
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -55,19 +55,23 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of equal texts, the one with the largest id; of
-    rows that repeat id and text, the least by its other columns."""
+    rows that repeat id and text, the first by a hash of all their columns, whose types
+    need no order."""
+    names = docs.columns
+    own, id_, digest_ = unused(docs, "own", "id", "digest")
     drop = exact_groups(docs, id_col, text_col).filter("not kept")
-    drop = drop.select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__digest")).distinct()
-    rows = docs.withColumn("__own", digest(F.col(text_col).cast("string")))
-    rows = rows.join(drop, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__own")), "left_anti")
-    again = rows.groupBy(F.col(id_col).alias("__id"), F.col("__own").alias("__digest")).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    drop = drop.select(F.col("doc_id").alias(id_), F.unhex("text_sha256").alias(digest_)).distinct()
+    rows = docs.withColumn(own, digest(F.col(text_col).cast("string")))
+    same = F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(digest_) == F.col(own))
+    rows = rows.join(drop, same, "left_anti")
+    again = rows.groupBy(F.col(id_col).alias(id_), F.col(own).alias(digest_)).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     again = materialise(again, "again")
     if again.isEmpty():
-        return rows.drop("__own")
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__own"))
-    names = docs.columns
-    first = rows.join(again, same, "left_semi").groupBy(F.col(id_col).alias("__id"), "__own").agg(F.min(F.struct(*names)).alias("__row"))
-    return rows.join(again, same, "left_anti").select(*names).union(first.select(*[F.col("__row")[c].alias(c) for c in names]))
+        return rows.drop(own)
+    every = F.struct(*[F.col(f"`{c}`") for c in names])
+    first = rows.join(again, same, "left_semi").select(F.col(id_col).alias("id"), F.col(own).alias("own"), every.alias("row"), F.sha2(F.to_json(every), 256).alias("rank"))
+    first = first.groupBy("id", "own").agg(F.min_by("row", "rank").alias("row"))
+    return rows.join(again, same, "left_anti").select(*[f"`{c}`" for c in names]).union(first.select(*[F.col("row").getField(c).alias(c) for c in names]))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
