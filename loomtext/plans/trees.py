@@ -1,5 +1,5 @@
-"""Queries of sections 2.A, 2.B and 2.L that go through files: a tree of nations by region
-is planted in the shared folder and read back; caches are written and reloaded."""
+"""Queries of sections 2.A, 2.B and 2.L that go through files: a tree of documents by source
+is written to the shared folder and read back, caches and indexes likewise."""
 
 from __future__ import annotations
 
@@ -8,62 +8,82 @@ from pyspark.sql import functions as F
 from loomtext.functions import text as T
 from loomtext.operators import dedup, recurrences
 from loomtext.plans.registry import query
-from loomtext.sources import corpus, index, stores
+from loomtext.sources import corpus, index, stores, tree_writer
 from loomtext.sources.shared import scratch
 from loomtext.sources.tables import table
 
 
+#: Documents as files of a tree: most by source, every twentieth two folders deep, every fiftieth
+#: at the root; some that aren't texts by name, and some whose bytes aren't UTF-8.
+_CATEGORY = "CASE WHEN doc_id % 50 = 0 THEN NULL WHEN doc_id % 20 = 7 THEN {0} ELSE source END"
+_PLANTED: dict[tuple[str, str], str] = {}
+
+
 def _plant(spark, sf_dir):
-    """<root>/<region>/<nation> (id).txt, a note for each region, one file at the root."""
-    rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name", "n_nationkey").collect()
-    files = [(r["r_name"], f"{r['n_name']} ({r['n_nationkey']}).txt", (f"{r['n_name']}\r\nplain" if r["n_nationkey"] % 2 else f"{r['n_name']} é").encode()) for r in rows]
-    files += [(name, "note.IGNORE", b"no") for name in sorted({r["r_name"] for r in rows})]
-    root = scratch(spark, "tree")
-    corpus.plant(spark, root, [*files, ("", "about.txt", b"root")])
-    return root
+    """The tree of a table, written once in an application by the tree writer."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PLANTED:
+        root = scratch(spark, "tree")
+        name = F.concat(F.lit("Work by "), "lang", F.lit(" ("), "doc_id", F.lit(")"), F.when(F.col("doc_id") % 9 == 0, ".IGNORE").otherwise(".txt"))
+        content = F.when(F.col("doc_id") % 7 == 0, F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("FF0D0A")))).otherwise(F.encode("text", "UTF-8"))
+        docs = table(spark, sf_dir, "documents").filter("text <> ''")
+        tree_writer.save(docs.select(F.expr(_CATEGORY.format("concat(source, '/old')")).alias("category"), name.alias("file_name"), content.alias("content")), root)
+        _PLANTED[key] = root
+    return _PLANTED[key]
 
 
-_FILES = "SELECT r_name AS folder, n_name || ' (' || n_nationkey || ').txt' AS file_name, CASE WHEN n_nationkey % 2 = 1 THEN n_name || chr(13) || chr(10) || 'plain' ELSE n_name || ' é' END AS text, n_nationkey FROM nation JOIN region ON r_regionkey = n_regionkey"
-_EVERY = f"SELECT folder, file_name, folder || '/' || file_name AS relative, '1' || folder || '0' || file_name AS key FROM ({_FILES}) UNION ALL SELECT r_name AS folder, 'note.IGNORE' AS file_name, r_name || '/note.IGNORE' AS relative, '1' || r_name || '0note.IGNORE' AS key FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation) UNION ALL SELECT '' AS folder, 'about.txt' AS file_name, 'about.txt' AS relative, '0about.txt' AS key"
+_FILES = f"""SELECT doc_id, text, category, file_name, coalesce(category || '/', '') || file_name AS relative FROM (
+    SELECT doc_id, text, {_CATEGORY.format("source || '/old'")} AS category, 'Work by ' || lang || ' (' || doc_id || ')' || CASE WHEN doc_id % 9 = 0 THEN '.IGNORE' ELSE '.txt' END AS file_name FROM documents WHERE text <> '')"""
+_FIRST = "(SELECT min(source) FROM documents)"
 
 
-@query("A1_files", f"SELECT file_name, strlen(text) AS length FROM ({_FILES}) WHERE folder = (SELECT min(r_name) FROM region) UNION ALL SELECT 'note.IGNORE' AS file_name, 2 AS length")
+@query("A1_files", f"SELECT file_name, strlen(text) + CASE WHEN doc_id % 7 = 0 THEN 3 ELSE 0 END AS length FROM ({_FILES}) WHERE category = {_FIRST}")
 def files(spark, sf_dir):
-    first = table(spark, sf_dir, "region").agg(F.min("r_name")).first()[0]
+    first = table(spark, sf_dir, "documents").agg(F.min("source")).first()[0]
     return corpus.files(spark, f"{_plant(spark, sf_dir)}/{first}").select("file_name", "length")
 
 
-@query("A2_folders", "SELECT DISTINCT r_name AS folder FROM region JOIN nation ON n_regionkey = r_regionkey")
+@query("A2_folders", f"SELECT DISTINCT split_part(category, '/', 1) AS folder FROM ({_FILES}) WHERE category IS NOT NULL")
 def folders(spark, sf_dir):
     return corpus.folders(spark, _plant(spark, sf_dir))
 
 
-@query("A3_recursive", f"SELECT relative, row_number() OVER (ORDER BY key) AS ord FROM ({_EVERY})")
+@query("A3_recursive", f"SELECT relative, row_number() OVER (ORDER BY CASE WHEN category IS NULL THEN '0' || file_name WHEN contains(category, '/') THEN '1' || split_part(category, '/', 1) || chr(1) || '1' || split_part(category, '/', 2) || chr(1) || '0' || file_name ELSE '1' || category || chr(1) || '0' || file_name END) AS ord FROM ({_FILES})")
 def recursive(spark, sf_dir):
     root = _plant(spark, sf_dir)
     return corpus.ordered(corpus.files(spark, root, recursive=True), root)
 
 
-@query("A4_scan", f"SELECT folder AS category, file_name, text FROM ({_FILES})")
+@query("A4_scan", f"SELECT category, file_name, text FROM ({_FILES}) WHERE category NOT LIKE '%/%' AND file_name LIKE '%.txt' AND doc_id % 7 <> 0")
 def scan(spark, sf_dir):
-    return corpus.scan(spark, _plant(spark, sf_dir))
+    """The tree's texts, without those whose bytes aren't UTF-8."""
+    return corpus.scan(spark, _plant(spark, sf_dir)).filter(F.is_valid_utf8("text"))
 
 
-@query("A5_sample", "SELECT 10 AS n, 10 AS files")
+@query("A5_sample", f"SELECT relative, sha256(text) AS digest FROM ({_FILES}) WHERE doc_id % 9 <> 0 AND doc_id % 7 <> 0 ORDER BY CAST('0x' || left(md5('52:' || relative), 15) AS BIGINT) LIMIT 60")
 def sample(spark, sf_dir):
-    got = corpus.sample(corpus.scan(spark, _plant(spark, sf_dir)), 10)
-    return got.agg(F.count("*").cast("int").alias("n"), F.count_distinct("file_name").cast("int").alias("files"))
+    return corpus.sample(spark, _plant(spark, sf_dir), 60).select("relative", F.sha2("text", 256).alias("digest"))
 
 
-@query("A6_first", f"SELECT file_name FROM ({_FILES}) ORDER BY file_name LIMIT 10")
+@query("A6_first", f"SELECT file_name FROM ({_FILES}) WHERE category NOT LIKE '%/%' AND file_name LIKE '%.txt' ORDER BY file_name LIMIT 10")
 def first(spark, sf_dir):
     return corpus.first(corpus.scan(spark, _plant(spark, sf_dir)), 10).select("file_name")
 
 
-@query("A9_decode", "SELECT CASE WHEN n_nationkey % 2 = 1 THEN n_name || chr(10) || 'plain' ELSE n_name || ' ├⌐' END AS text FROM nation JOIN region ON r_regionkey = n_regionkey")
+_HIGH = bytes(range(128, 256)).decode("cp437")
+_BYTES = "hex(encode(text)) || CASE WHEN doc_id % 7 = 0 THEN 'FF0D0A' ELSE '' END"
+
+
+@query(
+    "A9_decode",
+    f"""WITH h AS (SELECT doc_id, regexp_extract_all({_BYTES}, '..') AS h FROM ({_FILES}) WHERE category NOT LIKE '%/%' AND file_name LIKE '%.txt'),
+    b AS (SELECT doc_id, unnest(range(len(h))) AS i, unnest(h) AS x FROM h),
+    c AS (SELECT format('{{:02X}}', n) AS x, CASE WHEN n < 128 THEN chr(n) ELSE '{_HIGH}'[n - 127] END AS c FROM (SELECT CAST(unnest(range(256)) AS INT) AS n))
+    SELECT sha256(replace(replace(string_agg(c.c, '' ORDER BY b.i), chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS digest FROM b JOIN c USING (x) GROUP BY doc_id""",
+)
 def decode(spark, sf_dir):
     raw = spark.read.format("binaryFile").load(f"{_plant(spark, sf_dir)}/*/*.txt")
-    return corpus.decode_bytes(raw)
+    return corpus.decode_bytes(raw).select(F.sha2("text", 256).alias("digest"))
 
 
 @query("A12_dataset_buckets", "SELECT CASE WHEN n < 200 THEN 0 WHEN n < 1000 THEN 200 WHEN n < 2000 THEN 1000 WHEN n < 5000 THEN 2000 ELSE 5000 END AS marker, doc_id AS idx, n FROM (SELECT doc_id, len(string_split(text, ' ')) AS n FROM documents)")
@@ -83,11 +103,13 @@ def token_cache(spark, sf_dir):
     return back.select("doc_id", F.col("length").cast("long").alias("length"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
-@query("B1_save", "SELECT source AS category, 'w' || doc_id || '.txt' AS file_name, text FROM documents")
+@query("B1_save", "SELECT source AS category, 'w' || doc_id || '.txt' AS file_name, text FROM documents WHERE text <> ''")
 def save(spark, sf_dir):
+    """What A4 reads of what the tree writer wrote; its reader leaves empty files out."""
     folder = scratch(spark, "catalog")
-    corpus.save(table(spark, sf_dir, "documents").select(F.col("source").alias("category"), F.concat(F.lit("w"), "doc_id", F.lit(".txt")).alias("file_name"), "text"), folder)
-    return spark.read.schema("file_name string, text string, category string").parquet(folder)
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("category"), F.concat(F.lit("w"), "doc_id", F.lit(".txt")).alias("file_name"), "text")
+    tree_writer.save(rows, folder)
+    return corpus.scan(spark, folder)
 
 
 @query("B6_metrics", "SELECT kind, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT event_type AS kind, value FROM events UNION ALL SELECT 'avg' AS kind, value FROM events) GROUP BY kind")

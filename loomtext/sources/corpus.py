@@ -1,4 +1,4 @@
-"""Corpus trees: listing, scanning, sampling, decoding and writing.
+"""Corpus trees: listing, scanning, sampling, decoding and renaming.
 
 All reading goes through Spark's readers, so a tree may lie in any store they know.
 """
@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.operators import numbering
+from loomtext.operators import numbering, selection
+from loomtext.sources.shared import checkpointed
 
 
 def _plain(name: Column) -> Column:
@@ -22,13 +23,13 @@ def _name(path: Column) -> Column:
 
 
 def files(spark: SparkSession, folder: str, recursive: bool = False, pattern: str | None = None) -> DataFrame:
-    """(path, file_name, folder, length) of a folder's files (A1-A3), hidden ones left
-    out by the reader; a folder that isn't there is an error."""
+    """(path, file_name, folder, length) of a folder's files (A1-A3), hidden and empty ones
+    left out by the reader; a folder that isn't there is an error."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     df = reader.load(folder).select("path", "length")
-    return df.select("path", _name(F.col("path")).alias("file_name"), F.element_at(F.split("path", "/"), -2).alias("folder"), "length")
+    return df.select("path", F.substring_index("path", "/", -1).alias("file_name"), F.element_at(F.split("path", "/"), -2).alias("folder"), "length")
 
 
 def folders(spark: SparkSession, root: str) -> DataFrame:
@@ -40,24 +41,19 @@ def folders(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame([(n,) for n in names], "folder string")
 
 
+def _below(root: str) -> Column:
+    """The part of ``path`` below a root."""
+    return F.substring_index("path", root.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
+
+
 def ordered(tree: DataFrame, root: str) -> DataFrame:
     """(relative, ord) of files: a folder's own before those of its folders (A3)."""
-    relative = _plain(F.substring_index("path", root.rstrip("/").rsplit("/", 1)[-1] + "/", -1))
+    relative = _below(root)
     parts = F.split("relative", "/")
     key = F.transform(parts, lambda x, i: F.concat(F.when(i == F.size(parts) - 1, F.lit("0")).otherwise(F.lit("1")), x))
     return numbering.numbered(tree.select(relative.alias("relative")).withColumn("key", key), ["key"], "ord").drop("key")
 
 
-def plant(spark: SparkSession, root: str, texts: list[tuple[str, str, bytes]]) -> None:
-    """Write a small tree of (folder, file name, content), file by file from the driver."""
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    store = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    for folder, name, content in texts:
-        out = store.create(path(f"{root}/{folder}/{name}" if folder else f"{root}/{name}"), True)
-        out.write(bytearray(content))
-        out.close()
-
-
 def scan(spark: SparkSession, root: str, pattern: str = "*.txt") -> DataFrame:
     """(category, file_name, text) of <root>/<category>/<file> (A4)."""
     df = spark.read.text(f"{root}/*/{pattern}", wholetext=True)
@@ -65,9 +61,35 @@ def scan(spark: SparkSession, root: str, pattern: str = "*.txt") -> DataFrame:
     return df.select(_plain(F.element_at(F.split(path, "/"), -2)).alias("category"), _name(path).alias("file_name"), F.col("value").alias("text"))
 
 
-def sample(corpus: DataFrame, n: int, seed: int = 52, key: str = "file_name") -> DataFrame:
-    """``n`` rows picked by a hash of the key, the same at every run (A5)."""
-    return corpus.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+def _escaped(path: str) -> str:
+    """A path that globs match literally."""
+    return "".join("\\" + c if c in "*?[]{}\\" else c for c in path)
+
+
+def sample(spark: SparkSession, root: str, n: int, seed: int = 52, pattern: str = "*.txt") -> DataFrame:
+    """(relative, text) of the first ``n`` readable files in a seeded shuffle of a tree's paths
+    (A5). Files that aren't UTF-8 use no quota: the next ones are opened, in growing
+    shares, until it's full or the tree is at its end. The driver holds the paths of one
+    share; the quota bounds the first."""
+    names = files(spark, root, recursive=True, pattern=pattern).select("path", _below(root).alias("relative"))
+    names = checkpointed(names.withColumn("h", selection.seeded(F.col("relative"), seed)))
+    found, ask, after = names.select("relative", F.lit("").alias("text")).limit(0), n, -1
+    while n > 0:
+        rest = names.filter(F.col("h") > after)
+        rank = selection.kth(rest.select("h"), ask)
+        share = rest if rank is None else rest.filter(F.col("h") <= rank.value)
+        paths = [_escaped(r["path"]) for r in share.select("path").collect()]
+        if not paths:
+            break
+        opened = spark.read.format("binaryFile").load(paths).filter(F.is_valid_utf8(F.col("content").cast("string")))
+        opened = checkpointed(opened.select(_below(root).alias("relative"), F.col("content").cast("string").alias("text")))
+        h = selection.seeded(F.col("relative"), seed)
+        full = selection.kth(opened.select(h), n)
+        found = found.union(opened if full is None else opened.filter(h <= full.value))
+        if full is not None or rank is None:
+            break
+        n, after, ask = n - opened.count(), rank.value, 2 * ask
+    return found
 
 
 def first(corpus: DataFrame, n: int, key: str = "file_name") -> DataFrame:
@@ -93,11 +115,6 @@ def decode_bytes(df: DataFrame, column: str = "content") -> DataFrame:
     return df.select(column).mapInArrow(run, "text string")
 
 
-def save(corpus: DataFrame, folder: str) -> None:
-    """Parquet with a folder for each category, replacing what was there (B1)."""
-    corpus.write.mode("overwrite").partitionBy("category").parquet(folder)
-
-
 def renamed(name: Column) -> Column:
     """prefix_ID.ext as "prefix (ID).ext" (B2)."""
     return F.regexp_replace(name, r"^(.*)_([^_.]*)\..*?([^.]*)$", "$1 ($2).$3")
