@@ -63,7 +63,6 @@ def both(name: str, sql: str) -> None:
 both("A8_roles_by_extension", "SELECT doc_id, CASE WHEN name LIKE '%.txt' THEN 'train' ELSE 'test' END AS role FROM (SELECT doc_id, concat('w', doc_id, CASE doc_id % 5 WHEN 0 THEN '.TEST' WHEN 1 THEN '.pdf' ELSE '.txt' END) AS name FROM documents) WHERE name LIKE '%.txt' OR name LIKE '%.TEST' ORDER BY doc_id LIMIT 600")
 both("A10_lower_scripts", "SELECT doc_id, lower(text) AS content FROM documents WHERE source = 'src3'")
 both("A11_lines", "{LINES}")
-both("A14_robots", "SELECT page_id, max(CASE WHEN rn = 1 THEN allow END) AS allowed FROM (SELECT page_id, allow, row_number() OVER (PARTITION BY page_id ORDER BY length(prefix) DESC) AS rn FROM pages JOIN (SELECT '' AS prefix, 1 AS allow UNION ALL SELECT 'https' AS prefix, 0 AS allow UNION ALL SELECT 'https://m' AS prefix, 1 AS allow) rules ON left(url, length(prefix)) = prefix) GROUP BY page_id")
 both("A16_url_fallback", "SELECT c.page_id, min(c.pos) AS tried, min(p.url) AS url FROM ({URLS}) c JOIN (SELECT url FROM pages) p ON c.u = p.url GROUP BY c.page_id")
 both("A17_metadata_search", "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' AND c_name LIKE '%1%' ORDER BY c_custkey LIMIT 3")
 both("A18_ids_from_lines", "SELECT id FROM (SELECT try_cast(CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE concat('', c_custkey) END AS INT) AS id FROM customer) WHERE id IS NOT NULL")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import repair
 from loomtext.functions import text as T
-from loomtext.operators import pages
+from loomtext.operators import pages, prefixes
 from loomtext.plans.registry import query
 from loomtext.sources.tables import table
 
@@ -175,6 +175,24 @@ def page_elements(spark, sf_dir):
     return pages.elements(table(spark, sf_dir, "pages")).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
+_SITE = ("regexp_extract(url, '://([^/?#]*)', 1) AS host", "regexp_extract(url, '://[^/?#]*(/[^?#]*)', 1) AS path")
+#: Rules of each host, from its own pages: all may be read, some languages not, some numbers of those after all.
+_ROBOTS = """SELECT host, '/' AS prefix, 1 AS allow FROM {s} UNION SELECT host, concat('/', split_part(path, '/', 2), '/') AS prefix, 0 AS allow FROM {s} WHERE page_id % 3 = 0
+    UNION SELECT host, concat('/', split_part(path, '/', 2), '/', left(split_part(path, '/', 3), 1)) AS prefix, page_id % 2 AS allow FROM {s} WHERE page_id % 5 = 0"""
+
+
+@query(
+    "A14_robots",
+    f"WITH s AS (SELECT page_id, {', '.join(_SITE)} FROM pages), r AS ({_ROBOTS.format(s='s')}) SELECT s.page_id, s.host, coalesce(arg_max(r.allow, length(r.prefix) * 2 + r.allow), 1) AS allowed FROM s LEFT JOIN r ON r.host = s.host AND starts_with(s.path, r.prefix) GROUP BY s.page_id, s.host",
+)
+def robots(spark, sf_dir):
+    """May a page be read? The longest rule of its host says so; of equal ones that which allows."""
+    site = table(spark, sf_dir, "pages").selectExpr("page_id", *_SITE)
+    rules = spark.sql(_ROBOTS, s=site)
+    out = prefixes.longest(site, rules, "host", "path", "prefix", F.col("allow"), "allow")
+    return out.select("page_id", "host", F.coalesce("allow", F.lit(1)).alias("allowed"))
+
+
 @query(
     "C29_model_suffix",
     r"SELECT event_id, regexp_extract(f, '_step_([0-9]+)', 1) AS step, contains(f, 'CleanSlate') AS fresh, contains(f, '_best_test') AS best FROM (SELECT event_id, 'net' || CASE event_id % 3 WHEN 0 THEN '_step_' || event_id WHEN 1 THEN 'CleanSlate' ELSE '_best_test' END || '.pth' AS f FROM events)",
