@@ -2,14 +2,16 @@
 
 Words are counted on the cluster. Where ``max_words`` distinct words hold them all, the
 merge loop runs on the driver, with pair counts kept up to date through an index from
-pairs to words; more words stay on the cluster, which counts their pairs anew for each
-merge. Both ways give the same merges: the most frequent pair, and of equals the one that
-comes first in the words as they are now, by a word's first occurrence.
+pairs to words; more words stay on the cluster, which counts their pairs once for as many
+merges as don't touch one another. Both ways give the same merges: the most frequent
+pair, and of equals the one that comes first in the words as they are now, by a word's
+first occurrence.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -19,8 +21,12 @@ from pyspark.sql import functions as F
 from loomtext.sources.shared import checkpointed
 
 MARK = "Ġ"
-#: Merges on the cluster between two checkpoints.
+#: Rounds on the cluster between two tables of its words.
 _ROUNDS = 8
+#: Most frequent pairs that the driver sees in a round.
+_TOP = 2000
+
+Pair = tuple[str, str]
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -50,7 +56,7 @@ class _Driver:
     def tokens(self) -> int:
         return sum(len(w) * n for w, n in zip(self.words, self.freq))
 
-    def best(self) -> tuple[tuple[str, str], int] | None:
+    def best(self) -> list[tuple[Pair, int]]:
         equal, most = set(), 0
         while self.heap and -self.heap[0][0] >= most:
             n, p = heapq.heappop(self.heap)
@@ -58,26 +64,27 @@ class _Driver:
                 most = -n
                 equal.add(p)
         if not equal:
-            return None
+            return []
         first = min(equal, key=self._place) if len(equal) > 1 else next(iter(equal))
         for p in equal:
             heapq.heappush(self.heap, (-most, p))
-        return first, most
+        return [(first, most)]
 
     def _place(self, pair) -> tuple[int, int]:
         i = min(self.where[pair])
         w = self.words[i]
         return i, next(k for k in range(len(w) - 1) if (w[k], w[k + 1]) == pair)
 
-    def merge(self, pair: tuple[str, str], new: str) -> None:
-        touched = set()
+    def merge(self, pairs: list[Pair]) -> None:
+        (pair,) = pairs
+        new, touched = "".join(pair), set()
         for i in sorted(self.where[pair]):
             w, n = self.words[i], self.freq[i]
             for p in zip(w, w[1:]):
                 self.pairs[p] -= n
                 self.where[p].discard(i)
                 touched.add(p)
-            self.words[i] = w = _merge(w, pair, new)
+            self.words[i] = w = _pass(w, {pair: new})
             for p in zip(w, w[1:]):
                 self.pairs[p] += n
                 self.where[p].add(i)
@@ -102,23 +109,49 @@ class _Cluster:
     def tokens(self) -> int:
         return self.words.agg(F.sum(F.size("w") * F.col("n"))).first()[0] or 0
 
-    def best(self) -> tuple[tuple[str, str], int] | None:
+    def best(self) -> list[tuple[Pair, int]]:
         many = self.words.filter(F.size("w") > 1)
         pairs = F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.struct(F.get("w", i).alias("left"), F.get("w", i + 1).alias("right")))
         each = many.select("n", "first", F.posexplode(pairs).alias("pos", "pair"))
         sums = each.groupBy("pair").agg(F.sum("n").alias("n"), F.min(F.struct("first", "pos")).alias("at"))
-        top = sums.orderBy(F.col("n").desc(), "at").limit(1).collect()
-        return ((top[0]["pair"]["left"], top[0]["pair"]["right"]), top[0]["n"]) if top else None
+        top = sums.orderBy(F.col("n").desc(), "at").limit(_TOP).select("pair.left", "pair.right", "n").collect()
+        return independent([((r["left"], r["right"]), r["n"]) for r in top], len(top) < _TOP)
+
+    def merge(self, pairs: list[Pair]) -> None:
+        known = {p: "".join(p) for p in pairs}
 
-    def merge(self, pair: tuple[str, str], new: str) -> None:
-        none = F.array().cast("array<string>")
-        join = lambda acc, x: F.when((F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("")) == pair[0]) & (x == pair[1]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.lit(new)))).otherwise(F.concat(acc, F.array(x)))
-        self.words = self.words.withColumn("w", F.aggregate("w", none, join))
+        def run(batches):
+            for b in batches:
+                w = pa.array([_pass(x, known) for x in b.column(2).to_pylist()], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), w], names=["first", "n", "w"])
+
+        self.words = self.words.mapInArrow(run, self.words.schema)
         self.rounds += 1
         if self.rounds % _ROUNDS == 0:
             self.words = checkpointed(self.words)
 
 
+def independent(top: list[tuple[Pair, int]], complete: bool) -> list[tuple[Pair, int]]:
+    """The pairs, in order, that one merge after another would take as they are counted now.
+
+    Merging (a, b) changes the counts of pairs that end in a or start with b, and makes
+    new pairs no more frequent than those. So the next pair of the list is the next merge
+    if it isn't one of these, and none of these is as frequent; were one more frequent, it
+    would have come before. ``complete``: no pair is missing from the list."""
+    chosen: list[tuple[Pair, int]] = []
+    lefts, rights = set(), set()
+    touched = lambda p: p[0] in rights or p[1] in lefts
+    for k, (pair, n) in enumerate(top):
+        if chosen:
+            equal = (q for q, m in itertools.takewhile(lambda x: x[1] == n, top[k:]))
+            if any(map(touched, equal)) or (not complete and n == top[-1][1]):
+                break
+        chosen.append((pair, n))
+        lefts.add(pair[0])
+        rights.add(pair[1])
+    return chosen
+
+
 def train(docs: DataFrame, vocabulary: int, target: float | None = None, min_frequency: int = 1, min_gain: float = 0.0, max_words: int = 500_000) -> DataFrame:
     """(rank, left, right, merged): merges until ``vocabulary`` symbols; with ``target``,
     until tokens are that share of characters, a pair is rarer than ``min_frequency``, or,
@@ -127,46 +160,40 @@ def train(docs: DataFrame, vocabulary: int, target: float | None = None, min_fre
     held: _Driver | _Cluster = (_Driver if counts.count() <= max_words else _Cluster)(counts)
     symbols = held.symbols()
     tokens = chars = held.tokens()
-    merges = []
-    while len(symbols) < vocabulary and (top := held.best()):
-        best, gain = top
-        if gain < min_frequency or (target is not None and (tokens / max(1, chars) <= target or (len(symbols) > 1000 and gain / max(1, tokens) < min_gain))):
-            break
-        new = best[0] + best[1]
-        merges.append((len(merges), *best, new))
-        symbols.add(new)
-        tokens -= gain
-        held.merge(best, new)
+    merges: list[tuple[int, str, str, str]] = []
+    going = True
+    while going and len(symbols) < vocabulary and (top := held.best()):
+        taken = []
+        for pair, gain in top:
+            going = gain >= min_frequency and (target is None or (tokens / max(1, chars) > target and (len(symbols) <= 1000 or gain / max(1, tokens) >= min_gain)))
+            if not going or len(symbols) >= vocabulary:
+                break
+            new = "".join(pair)
+            taken.append(pair)
+            merges.append((len(merges), *pair, new))
+            symbols.add(new)
+            tokens -= gain
+        if taken:
+            held.merge(taken)
     return docs.sparkSession.createDataFrame(merges, "rank int, left string, right string, merged string")
 
 
-def _merge(w: list[str], pair: tuple[str, str], new: str) -> list[str]:
+def _pass(w: list[str], known: dict[Pair, str]) -> list[str]:
+    """One pass from left to right in which any known pair merges."""
     out, i = [], 0
     while i < len(w):
-        if i + 1 < len(w) and (w[i], w[i + 1]) == pair:
-            out.append(new)
-            i += 2
-        else:
-            out.append(w[i])
-            i += 1
+        new = known.get((w[i], w[i + 1])) if i + 1 < len(w) else None
+        out.append(w[i] if new is None else new)
+        i += 1 if new is None else 2
     return out
 
 
-def _greedy(word: str, known: dict) -> list[str]:
-    """From left to right any known pair merges, in rounds until none does."""
+def _greedy(word: str, known: dict[Pair, str]) -> list[str]:
+    """Passes until none merges anything (K6)."""
     w = list(word)
-    while True:
-        out, i = [], 0
-        while i < len(w):
-            if i + 1 < len(w) and (w[i], w[i + 1]) in known:
-                out.append(known[w[i], w[i + 1]])
-                i += 2
-            else:
-                out.append(w[i])
-                i += 1
-        if len(out) == len(w):
-            return w
+    while len(out := _pass(w, known)) < len(w):
         w = out
+    return w
 
 
 def encode(docs: DataFrame, merges: DataFrame) -> DataFrame:

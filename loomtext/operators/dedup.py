@@ -23,18 +23,51 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(p)
 
 
+class _Hashes:
+    """Two 64-bit hashes of any range of a text's code points, from sums over its prefixes."""
+
+    def __init__(self, text: str):
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+        self.n = n = len(code)
+        self.sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(code * _powers(base, n))]) for base in _BASES]
+        self.back = [_powers(pow(base, -1, 1 << 64), n + 1) for base in _BASES]
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+        out = []
+        for total, back in zip(self.sums, self.back):
+            h = (total[end] - total[start]) * back[start]
+            out.append((h ^ (h >> np.uint64(29)) ^ (end - start).astype(np.uint64)).view(np.int64))
+        return out
+
+
 def _hashes(text: str, width: int, stride: int) -> list[np.ndarray]:
-    """Two 64-bit hashes of each window of code points; of the whole text if short."""
-    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
-    n = len(code)
-    width = min(width, n)
-    at = np.arange(0, n - width + 1, stride)
-    out = []
-    for base in _BASES:
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(code * _powers(base, n))])
-        h = (total[at + width] - total[at]) * _powers(pow(base, -1, 1 << 64), n + 1)[at]
-        out.append((h ^ (h >> np.uint64(29)) ^ np.uint64(width)).view(np.int64))
-    return out
+    """The hashes of each window of code points; of the whole text if short."""
+    own = _Hashes(text)
+    width = min(width, own.n)
+    at = np.arange(0, own.n - width + 1, stride)
+    return own.of(at, at + width)
+
+
+def _runs(text: str, width: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows that have their anchor in common: the place of the least hash of a
+    quarter's width of characters in a window. (anchor's hash, two hashes of all that the run
+    covers, first window, windows). Equal windows have equal anchors, wherever they stand."""
+    own, gram = _Hashes(text), max(1, width // 4)
+    n = own.n - width + 1
+    if n <= 0:  # shorter than a window
+        h, g = own.of(np.zeros(1, np.int64), np.full(1, own.n))
+        return h, h, g, np.zeros(1, np.int64), np.ones(1, np.int64)
+    at = np.arange(own.n - gram + 1)
+    rank = own.of(at, at + gram)[0].view(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+    rank ^= rank >> np.uint64(32)
+    place = np.empty(n, np.int64)
+    for a in range(0, n, 1 << 14):  # a slice of windows at once
+        some = np.lib.stride_tricks.sliding_window_view(rank[a : a + (1 << 14) + width - gram], width - gram + 1)[: n - a][: 1 << 14]
+        place[a : a + len(some)] = some.argmin(axis=1) + np.arange(a, a + len(some))
+    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    size = np.diff(np.concatenate([first, [n]]))
+    h, g = own.of(first, first + size - 1 + width)
+    return rank[place[first]].view(np.int64), h ^ (place[first] - first), g, first, size
 
 
 def window_hashes(docs: DataFrame, width: int, stride: int = 1) -> DataFrame:
@@ -51,13 +84,45 @@ def window_hashes(docs: DataFrame, width: int, stride: int = 1) -> DataFrame:
     return docs.select("ord", "text").mapInArrow(run, "ord long, pos long, h long, g long")
 
 
+def first_windows(docs: DataFrame, width: int = 100) -> DataFrame:
+    """(ord, start, size): runs of windows, at every character, that occur for the first time.
+
+    Runs that are equal as a whole are settled by their hashes, a row for some dozens of
+    characters. Only where one anchor has different runs, the first of each kind are taken
+    apart into windows, which the texts, read again, give."""
+
+    def run(batches):
+        for b in batches:
+            for ord_, text in zip(b.column(0), b.column(1).to_pylist()):
+                cols = _runs(text or "", width)
+                own = pa.array(np.full(len(cols[0]), ord_.as_py()))
+                yield pa.RecordBatch.from_arrays([own, *map(pa.array, cols)], names=["ord", "anchor", "h", "g", "start", "size"])
+
+    runs = docs.select("ord", "text").mapInArrow(run, "ord long, anchor long, h long, g long, start long, size long")
+    first = checkpointed(runs.groupBy("anchor", "h", "g").agg(F.min(F.struct("ord", "start", "size")).alias("at")))
+    kinds = first.groupBy("anchor").agg((F.count("*") > 1).alias("mixed"))
+    told = checkpointed(first.join(kinds, "anchor").select("at.ord", "at.start", "at.size", "mixed"))
+    apart = told.filter("mixed").groupBy("ord").agg(F.collect_list(F.struct("start", "size")).alias("runs"))
+
+    def windows(batches):
+        for b in batches:
+            for ord_, text, own in zip(b.column(0), b.column(1).to_pylist(), b.column(2)):
+                hashes = _Hashes(text or "")
+                at, size = (own.values.field(i).to_numpy() for i in (0, 1))
+                at = np.repeat(at, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                h, g = hashes.of(at, np.minimum(at + width, hashes.n))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), ord_.as_py())), pa.array(at), pa.array(h), pa.array(g)], names=["ord", "start", "h", "g"])
+
+    each = docs.select("ord", "text").join(apart, "ord").mapInArrow(windows, "ord long, start long, h long, g long")
+    least = each.groupBy("h", "g").agg(F.min(F.struct("ord", "start")).alias("at"))
+    return told.filter("NOT mixed").select("ord", "start", "size").union(least.select("at.ord", "at.start", F.lit(1).cast("long")))
+
+
 def precise(docs: DataFrame, width: int = 100) -> DataFrame:
     """(ord, text): of each text the windows that occur for the first time in the
     corpus, overlaps merged and gaps dropped, and a tail of over width/10 characters;
     the first ``width`` characters if nothing is left (K1)."""
-    wins = window_hashes(docs, width)
-    first = wins.groupBy("h", "g").agg(F.min(F.struct("ord", "pos")).alias("at"))
-    w = first.select("at.ord", "at.pos").groupBy("ord").agg(F.sort_array(F.collect_list("pos")).alias("kept"))
+    w = first_windows(docs, width).groupBy("ord").agg(F.sort_array(F.collect_list(F.struct("start", "size"))).alias("kept"))
     joined = docs.select("ord", "text").join(w, "ord", "left")
 
     def run(batches):
@@ -69,9 +134,9 @@ def precise(docs: DataFrame, width: int = 100) -> DataFrame:
                     out.append(text[:width])
                     continue
                 parts, end = [], 0
-                for p in kept.values.to_numpy().tolist():
-                    parts.append(text[max(p, end) : p + width])
-                    end = max(end, p + width)
+                for p, n in zip(*(kept.values.field(i).to_pylist() for i in (0, 1))):
+                    parts.append(text[max(p, end) : p + n - 1 + width])
+                    end = max(end, p + n - 1 + width)
                 if len(text) - end > width // 10:
                     parts.append(text[end:])
                 out.append("".join(parts))
@@ -119,8 +184,9 @@ def statistics(docs: DataFrame, mode: str = "efficient", width: int = 100, thres
     """(seen, kept, removed, pct_removed) of a mode (K3): windows of "precise" (K1),
     entries of "efficient" (K2)."""
     if mode == "precise":
-        wins = window_hashes(docs.filter("text IS NOT NULL"), width).groupBy("h", "g").agg(F.count("*").alias("n"))
-        got = wins.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("seen"), F.count("*").alias("kept"))
+        some = docs.filter("text IS NOT NULL")
+        seen = some.agg(F.coalesce(F.sum(F.greatest(F.length("text") - (width - 1), F.lit(1))), F.lit(0)).cast("long").alias("seen"))
+        got = seen.crossJoin(F.broadcast(first_windows(some, width).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("kept"))))
     else:
         got = greedy(docs, width, threshold).agg(F.count("*").alias("seen"), F.count_if("kept").alias("kept"))
     removed = F.col("seen") - F.col("kept")

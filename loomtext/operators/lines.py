@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,12 +29,32 @@ def starts_with_label(line: Column) -> Column:
     return (at > 0) & (at <= 30) & (F.regexp_count(head, F.lit(r"\S+")) <= 3) & head.rlike(r"^\p{Lu}")
 
 
+def stripped(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\r\x0b\x0c"))
+
+
+def least_size(line: Column) -> Column:
+    """How long the lines joined so far must be to go on after this one, by its end: any
+    length after a lower-case letter, comma or semicolon, 31 after a parenthesis, 36 after
+    what closes nothing; null if they may not (D4)."""
+    s = stripped(line)
+    return F.when(s.rlike(r"[\p{Ll},;]$"), 0).when(s.endswith(")"), 31).when(_open(s), 36)
+
+
+def _open(s: Column) -> Column:
+    return ~s.rlike("[" + "".join("\\" + c for c in CLOSED) + "]$")
+
+
+def stands_alone(line: Column) -> Column:
+    """Whether a line never goes on another, whatever that is."""
+    s = stripped(line)
+    return s.startswith("@") | is_section_header(s) | F.contains(s, F.lit(":"))
+
+
 def should_join(line: Column, following: Column) -> Column:
     """Does a wrapped line go on in the next (D4)?"""
-    a, b = F.trim(line), F.trim(following)
-    never = ((a == "") & (b == "")) | b.startswith("@") | is_section_header(following) | a.endswith(":") | F.contains(b, F.lit(":")) | starts_with_label(following)
-    open_ = ~a.rlike("[" + "".join("\\" + c for c in CLOSED) + "]$")
-    return ~never & (a.rlike(r"\p{Ll}$") | a.rlike("[;,]$") | ((F.length(a) > 35) & open_) | (a.endswith(")") & (F.length(a) > 30)))
+    both = (stripped(line) == "") & (stripped(following) == "")
+    return ~both & ~stands_alone(following) & F.coalesce(F.length(stripped(line)) >= least_size(line), F.lit(False))
 
 
 def is_poetry(line: Column, following: Column, before: Column, all_indented: Column) -> Column:
@@ -46,64 +68,45 @@ def is_poetry(line: Column, following: Column, before: Column, all_indented: Col
     return F.when(all_indented, starts & (off(before) | off(following))).otherwise(starts | ((size(line) < 60) & some(following) & (F.coalesce(size(following), F.lit(99)) < 60)))
 
 
-def _header(s: str) -> bool:
-    if s.endswith((",", ";")) or s.count(",") >= 3 or len(s) >= 80:
-        return False
-    if s.isupper():
-        return "," not in s
-    return bool(s) and s[0].isupper() and len(s) < 20 and not s.endswith((".", "!", "?"))
-
-
-def _joins(size: int, last: str, following: str, mode: str) -> bool:
-    """D4 on what it reads of the lines joined so far: length and last character."""
-    if mode == ENCYCLOPEDIA and size > 90 and last not in CLOSED:
-        return True
-    if following.startswith("@") or _header(following) or last == ":" or ":" in following:
-        return False
-    return last.islower() or last in ";," or (size > 35 and last not in CLOSED) or (last == ")" and size > 30)
-
-
-def _poem(line: str, following: str | None, before: str | None, indented: bool, mode: str) -> bool:
-    if mode in (ENCYCLOPEDIA, FACTBOOK):
-        return False
-    indent = lambda x: len(x) - len(x.lstrip())
-    starts = line[:1] in (" ", "\t")
-    if indented:
-        return starts and any(x and abs(indent(line) - indent(x)) > 2 for x in (before, following))
-    return starts or (bool(following) and len(line.strip()) < 60 and len(following.strip()) < 60)
-
-
-def join_wrapped(text: str, mode: str = "") -> str:
-    """A text with its wrapped lines joined (D5): one pass from the first line on."""
-    lines = text.split("\n")
-    full = [x for x in lines if x.strip()]
-    indented = bool(full) and all(x[0] in " \t" for x in full)
-    out, i = [], 0
-    while i < len(lines):
-        line = lines[i]
-        i += 1
-        if not line.strip() or _poem(line, lines[i] if i < len(lines) else None, lines[i - 2] if i > 1 else None, indented, mode):
-            out.append(line)
-            continue
-        parts, size, last = [line.rstrip()], len(line.strip()), line.strip()[-1]
-        tail = line
-        while i < len(lines) and lines[i].strip() and _joins(size, last, lines[i].strip(), mode):
-            own = lines[i].strip()
-            tail = lines[i].lstrip()
-            parts.append(own)
-            size, last = size + 1 + len(own), own[-1]
-            i += 1
-        parts[-1] = tail if len(parts) > 1 else line
-        out.append(" ".join(parts))
-    return "\n".join(out)
-
-
 def joined(docs: DataFrame, mode: str = "") -> DataFrame:
-    """(doc_id, text) with wrapped lines joined."""
+    """(doc_id, text) with wrapped lines joined (D5). Each line is first told by the rules
+    above, all in one projection: its size, the sizes after which another may follow, whether
+    it stands alone and whether it stays as it is. What is left is one pass over these
+    numbers, as only the size depends on all lines joined before."""
+    docs = docs.select("doc_id", F.split("text", "\n", -1).alias("lines"))
+    full = F.filter("lines", lambda x: stripped(x) != "")
+    docs = docs.withColumn("flat", (F.size(full) > 0) & F.forall(full, lambda x: x.rlike("^[ \t]")))
+    near = lambda i: F.get("lines", i)
+    verse = F.lit(False) if mode in (ENCYCLOPEDIA, FACTBOOK) else None
+    never = F.lit(1 << 30)
+    told = {
+        "size": F.transform("lines", lambda x: F.length(stripped(x))),
+        "least": F.transform("lines", lambda x: F.coalesce(least_size(x), never)),
+        "always": F.transform("lines", lambda x: F.when(_open(stripped(x)), 91).otherwise(never) if mode == ENCYCLOPEDIA else never),
+        "alone": F.transform("lines", stands_alone),
+        "kept": F.transform("lines", lambda x, i: verse if verse is not None else is_poetry(x, near(i + 1), F.when(i > 0, near(i - 1)), F.col("flat"))),
+    }
 
     def run(batches):
         for b in batches:
-            out = pa.array([None if t is None else join_wrapped(t, mode) for t in b.column(1).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), out], names=["doc_id", "text"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string")
+            out = []
+            for row in zip(*(c.to_pylist() for c in b.columns[1:])):
+                out.append(None if row[0] is None else "\n".join(_texts(*row)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
+
+    return docs.select("doc_id", "lines", *[c.alias(n) for n, c in told.items()]).mapInArrow(run, "doc_id long, text string")
+
+
+def _texts(lines: list[str], size: list[int], least: list[int], always: list[int], alone: list[bool], kept: list[bool]) -> Iterator[str]:
+    """The lines, those that belong together as one."""
+    first = 0
+    while first < len(lines):
+        end, total = first + 1, size[first]
+        if size[first] and not kept[first]:
+            while end < len(lines) and size[end] and total >= (always[end - 1] if alone[end] else min(always[end - 1], least[end - 1])):
+                total, end = total + 1 + size[end], end + 1
+        own = lines[first:end]
+        if len(own) > 1:
+            own = [own[0].rstrip(), *(x.strip() for x in own[1:-1]), own[-1].lstrip()]
+        yield " ".join(own)
+        first = end

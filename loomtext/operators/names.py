@@ -20,7 +20,12 @@ def pairs(rows: DataFrame) -> DataFrame:
 
 
 def fold(rows: DataFrame, least: int = 2500, misc: str = "<folder-Misc>") -> DataFrame:
-    """(category, class, n): categories of under ``least`` lines share one class."""
+    """(category, class, n, held_out): categories of under ``least`` lines share one class. A
+    category's first line empties what its class holds out, so that of those that share
+    one only the last category's examples are held out (K14)."""
     n = rows.groupBy("category").agg(F.count("*").alias("n"))
-    name = F.when(F.col("n") < least, F.lit(misc)).otherwise(F.concat(F.lit("<"), "category", F.lit(">")))
-    return n.select("category", name.alias("class"), "n")
+    small = F.col("n") < least
+    last = n.agg(F.max(F.when(small, F.col("category"))).alias("last"))
+    name = F.when(small, F.lit(misc)).otherwise(F.concat(F.lit("<"), "category", F.lit(">")))
+    kept = ~small | F.col("category").eqNullSafe(F.col("last"))
+    return n.crossJoin(F.broadcast(last)).select("category", name.alias("class"), "n", kept.alias("held_out"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loomtext.functions import repair
 from loomtext.functions import text as T
 from loomtext.operators import lines, numbering, recurrences
+from loomtext.plans.corpus import joined_sql
 from loomtext.plans.registry import query
 from loomtext.plans.strings import policy_sql
 from loomtext.sources import corpus
@@ -22,13 +23,21 @@ def fix_text(spark, sf_dir):
 _PASSAGE = r"'\n*.{55,}\n\n.{40,}\n'"
 
 
-@query("C13_unwrap", f"SELECT doc_id, array_to_string(list_transform(range(1, len(g) + 1), lambda i: g[i] || CASE WHEN i <= len(h) THEN {policy_sql(T.NEWLINE_POLICIES['C6'], 'h[i]')} ELSE '' END), '') AS text FROM (SELECT doc_id, string_split_regex(t, {_PASSAGE}) AS g, regexp_extract_all(t, {_PASSAGE}) AS h FROM (SELECT doc_id, replace(text, chr(10), repeat(chr(10), 2)) AS t FROM documents))")
+def _unwrapped(texts: str) -> str:
+    lengths = policy_sql(T.NEWLINE_POLICIES["C6"], "h[i]")
+    return f"SELECT doc_id, array_to_string(list_transform(range(1, len(g) + 1), lambda i: g[i] || CASE WHEN i <= len(h) THEN {lengths} ELSE '' END), '') AS text FROM (SELECT doc_id, string_split_regex(t, {_PASSAGE}) AS g, regexp_extract_all(t, {_PASSAGE}) AS h FROM ({texts}))"
+
+
+@query("C13_unwrap", _unwrapped("SELECT doc_id, replace(text, chr(10), repeat(chr(10), 2)) AS t FROM documents"))
 def unwrap(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
     return repair.mapped(docs, repair.unwrap)
 
 
-@query("D6_clean")
+_TIDY = "replace(replace(regexp_replace(text, ' +', ' ', 'g'), chr(9) || ' ', chr(9)), ' ' || chr(9), chr(9))"
+
+
+@query("D6_clean", joined_sql(f"SELECT doc_id, {_TIDY} AS text FROM ({_unwrapped('SELECT doc_id, text AS t FROM documents')})"))
 def clean(spark, sf_dir):
     docs = repair.mapped(table(spark, sf_dir, "documents"), repair.unwrap)
     return lines.joined(docs.select("doc_id", T.tidy_tabs(T.collapse_spaces(F.col("text"))).alias("text")))

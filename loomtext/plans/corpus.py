@@ -31,9 +31,12 @@ def field_label(spark, sf_dir):
     return rows.select("doc_id", "pos", lines.starts_with_label(F.col("w")).alias("label"))
 
 
+_VERSE = "CASE WHEN flat THEN regexp_matches(w, '^[ \t]') AND (coalesce(b <> '' AND abs((length(w) - length(ltrim(w))) - (length(b) - length(ltrim(b)))) > 2, false) OR coalesce(n <> '' AND abs((length(w) - length(ltrim(w))) - (length(n) - length(ltrim(n)))) > 2, false)) ELSE regexp_matches(w, '^[ \t]') OR (length(trim(w)) < 60 AND coalesce(n <> '' AND length(trim(n)) < 60, false)) END"
+
+
 @query(
     "D3_poetry",
-    f"SELECT doc_id, pos, CASE WHEN flat THEN regexp_matches(w, '^[ \t]') AND (coalesce(b <> '' AND abs((length(w) - length(ltrim(w))) - (length(b) - length(ltrim(b)))) > 2, false) OR coalesce(n <> '' AND abs((length(w) - length(ltrim(w))) - (length(n) - length(ltrim(n)))) > 2, false)) ELSE regexp_matches(w, '^[ \t]') OR (length(trim(w)) < 60 AND coalesce(n <> '' AND length(trim(n)) < 60, false)) END AS poetry FROM (SELECT doc_id, pos, w, lag(w) OVER d AS b, lead(w) OVER d AS n, coalesce(bool_and(CASE WHEN trim(w) <> '' THEN regexp_matches(w, '^[ \t]') END) OVER (PARTITION BY doc_id), false) AS flat FROM (SELECT doc_id, pos, repeat(' ', CAST(pos * (doc_id % 4) % 5 AS INT)) || w AS w FROM {_LINES_SQL}) WINDOW d AS (PARTITION BY doc_id ORDER BY pos))",
+    f"SELECT doc_id, pos, {_VERSE} AS poetry FROM (SELECT doc_id, pos, w, lag(w) OVER d AS b, lead(w) OVER d AS n, coalesce(bool_and(CASE WHEN trim(w) <> '' THEN regexp_matches(w, '^[ \t]') END) OVER (PARTITION BY doc_id), false) AS flat FROM (SELECT doc_id, pos, repeat(' ', CAST(pos * (doc_id % 4) % 5 AS INT)) || w AS w FROM {_LINES_SQL}) WINDOW d AS (PARTITION BY doc_id ORDER BY pos))",
 )
 def poetry(spark, sf_dir):
     from pyspark.sql import Window
@@ -56,7 +59,24 @@ def should_join(spark, sf_dir):
     return rows.select("doc_id", "pos", lines.should_join(F.col("w"), F.col("n")).alias("joins"))
 
 
-@query("D5_join_wrapped_lines")
+def joined_sql(texts: str) -> str:
+    """The fold of D5 over (doc_id, text): lines in order, each with the size of what it ends."""
+    open_ = "NOT regexp_matches(s, '[.!?:\"''>}\\])]$')"
+    return f"""WITH RECURSIVE t AS MATERIALIZED ({texts}),
+    l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS w FROM t),
+    n AS (SELECT doc_id, pos, w, trim(w) AS s, lead(w) OVER d AS n, lag(w) OVER d AS b, coalesce(bool_and(CASE WHEN trim(w) <> '' THEN regexp_matches(w, '^[ \t]') END) OVER (PARTITION BY doc_id), false) AS flat FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+    k AS MATERIALIZED (SELECT doc_id, pos, w, length(s) AS size, starts_with(s, '@') OR {_HEADER.replace('{x}', 'w')} OR contains(s, ':') AS alone,
+      CASE WHEN regexp_matches(s, '[\\p{{Ll}},;]$') THEN 0 WHEN ends_with(s, ')') THEN 31 WHEN {open_} THEN 36 ELSE 1000000000 END AS least,
+      s = '' OR {_VERSE} AS kept FROM n),
+    f AS (SELECT doc_id, pos, CAST(size AS BIGINT) AS total, kept, least, CAST(0 AS BIGINT) AS first FROM k WHERE pos = 0
+      UNION ALL SELECT k.doc_id, k.pos, CASE WHEN j THEN f.total + 1 + k.size ELSE k.size END, CASE WHEN j THEN f.kept ELSE k.kept END, k.least, CASE WHEN j THEN f.first ELSE k.pos END
+      FROM f JOIN k ON k.doc_id = f.doc_id AND k.pos = f.pos + 1, LATERAL (SELECT NOT f.kept AND k.size > 0 AND NOT k.alone AND f.total >= f.least AS j)),
+    g AS (SELECT f.doc_id, f.first, CASE WHEN count(*) = 1 THEN any_value(k.w) ELSE string_agg(CASE WHEN f.pos = f.first THEN rtrim(k.w) WHEN f.pos = m.last THEN ltrim(k.w) ELSE trim(k.w) END, ' ' ORDER BY f.pos) END AS w
+      FROM f JOIN k ON k.doc_id = f.doc_id AND k.pos = f.pos JOIN (SELECT doc_id, first, max(pos) AS last FROM f GROUP BY ALL) m ON m.doc_id = f.doc_id AND m.first = f.first GROUP BY f.doc_id, f.first)
+    SELECT doc_id, string_agg(w, chr(10) ORDER BY first) AS text FROM g GROUP BY doc_id"""
+
+
+@query("D5_join_wrapped_lines", joined_sql("SELECT doc_id, text FROM documents"))
 def join_wrapped(spark, sf_dir):
     return lines.joined(table(spark, sf_dir, "documents"))
 
@@ -169,7 +189,7 @@ def name_pairs(spark, sf_dir):
     return names.pairs(rows)
 
 
-@query("K14_class_fold", "SELECT c_mktsegment AS category, CASE WHEN count(*) < 300 THEN '<folder-Misc>' ELSE '<' || c_mktsegment || '>' END AS class, count(*) AS n FROM customer GROUP BY c_mktsegment")
+@query("K14_class_fold", "SELECT category, CASE WHEN n < 300 THEN '<folder-Misc>' ELSE '<' || category || '>' END AS class, n, n >= 300 OR category = max(CASE WHEN n < 300 THEN category END) OVER () AS held_out FROM (SELECT c_mktsegment AS category, count(*) AS n FROM customer GROUP BY c_mktsegment)")
 def class_fold(spark, sf_dir):
     from loomtext.operators import names
 

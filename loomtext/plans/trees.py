@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from loomtext.functions import text as T
 from loomtext.operators import dedup, recurrences
 from loomtext.plans.registry import query
+from loomtext.plans.relational import DIALECT, MARK
 from loomtext.sources import corpus, index, stores, tree_writer
 from loomtext.sources.shared import scratch
 from loomtext.sources.tables import table
 
 
-#: Documents as files of a tree: most by source, every twentieth two folders deep, every fiftieth
+#: Documents as files of a tree: most by source, every twentieth in a folder of events, every fiftieth
 #: at the root; some that aren't texts by name, and some whose bytes aren't UTF-8.
 _CATEGORY = "CASE WHEN doc_id % 50 = 0 THEN NULL WHEN doc_id % 20 = 7 THEN {0} ELSE source END"
 _PLANTED: dict[tuple[str, str], str] = {}
@@ -27,13 +28,13 @@ def _plant(spark, sf_dir):
         name = F.concat(F.lit("Work by "), "lang", F.lit(" ("), "doc_id", F.lit(")"), F.when(F.col("doc_id") % 9 == 0, ".IGNORE").otherwise(".txt"))
         content = F.when(F.col("doc_id") % 7 == 0, F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("FF0D0A")))).otherwise(F.encode("text", "UTF-8"))
         docs = table(spark, sf_dir, "documents").filter("text <> ''")
-        tree_writer.save(docs.select(F.expr(_CATEGORY.format("concat(source, '/old')")).alias("category"), name.alias("file_name"), content.alias("content")), root)
+        tree_writer.save(docs.select(F.expr(_CATEGORY.format("concat(source, '/events')")).alias("category"), name.alias("file_name"), content.alias("content")), root)
         _PLANTED[key] = root
     return _PLANTED[key]
 
 
 _FILES = f"""SELECT doc_id, text, category, file_name, coalesce(category || '/', '') || file_name AS relative FROM (
-    SELECT doc_id, text, {_CATEGORY.format("source || '/old'")} AS category, 'Work by ' || lang || ' (' || doc_id || ')' || CASE WHEN doc_id % 9 = 0 THEN '.IGNORE' ELSE '.txt' END AS file_name FROM documents WHERE text <> '')"""
+    SELECT doc_id, text, {_CATEGORY.format("source || '/events'")} AS category, 'Work by ' || lang || ' (' || doc_id || ')' || CASE WHEN doc_id % 9 = 0 THEN '.IGNORE' ELSE '.txt' END AS file_name FROM documents WHERE text <> '')"""
 _FIRST = "(SELECT min(source) FROM documents)"
 
 
@@ -86,12 +87,18 @@ def decode(spark, sf_dir):
     return corpus.decode_bytes(raw).select(F.sha2("text", 256).alias("digest"))
 
 
-@query("A12_dataset_buckets", "SELECT CASE WHEN n < 200 THEN 0 WHEN n < 1000 THEN 200 WHEN n < 2000 THEN 1000 WHEN n < 5000 THEN 2000 ELSE 5000 END AS marker, doc_id AS idx, n FROM (SELECT doc_id, len(string_split(text, ' ')) AS n FROM documents)")
+@query("A10_event_scripts", f"SELECT split_part(category, '/', 1) AS container, file_name, lower(text) AS content FROM ({_FILES}) WHERE category LIKE '%/events' AND doc_id % 7 <> 0")
+def event_scripts(spark, sf_dir):
+    return corpus.scripts(spark, _plant(spark, sf_dir), "events")
+
+
+@query("A12_dataset_buckets", f"SELECT {MARK} AS marker, doc_id AS idx, text, n FROM (SELECT doc_id, text, {DIALECT['SPLIT_WORDS'][1]} AS n FROM documents)")
 def dataset_buckets(spark, sf_dir):
-    """A stored dataset with the bucket of each text's length in words."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), F.size(F.split("text", " ", -1)).alias("n"))
-    marker = F.when(F.col("n") < 200, 0).when(F.col("n") < 1000, 200).when(F.col("n") < 2000, 1000).when(F.col("n") < 5000, 2000).otherwise(5000)
-    return docs.select(marker.alias("marker"), "idx", F.col("n").cast("long").alias("n"))
+    """A dataset stored by the bucket of its texts' lengths in words, and loaded again."""
+    folder = scratch(spark, "dataset")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), "text", T.word_count(F.col("text")).cast("long").alias("n"))
+    stores.save_dataset(docs.withColumn("marker", F.expr(MARK)), folder)
+    return stores.load_dataset(spark, folder)
 
 
 @query("A20_token_cache", "SELECT doc_id, len(ids) AS length, CAST(list_sum(ids) AS BIGINT) AS total FROM (SELECT doc_id, list_transform(string_split(text, ' '), lambda w: length(w) + 1) AS ids FROM documents)")
@@ -149,11 +156,12 @@ def split_documents(spark, sf_dir):
     return docs.filter("piece <> ''").select("doc_id", F.col("pos").cast("long").alias("pos"), "piece")
 
 
-@query("K3_dedup_stats", "SELECT 'precise' AS mode, CAST(sum(greatest(length(text) - 99, 1)) AS BIGINT) AS seen FROM documents UNION ALL SELECT 'efficient' AS mode, count(*) AS seen FROM documents")
+@query("K3_dedup_stats", "SELECT 'precise' AS mode, seen, kept, seen - kept AS removed FROM (SELECT count(*) AS seen, count(DISTINCT w) AS kept FROM (SELECT hash(substring(text, CAST(p + 1 AS INT), 100)) AS w FROM (SELECT text, unnest(range(greatest(length(text) - 99, 1))) AS p FROM documents))) UNION ALL SELECT 'efficient' AS mode, count(*) AS seen, NULL AS kept, NULL AS removed FROM documents")
 def dedup_stats(spark, sf_dir):
-    """What each mode reads; K1 and K2 hold what each keeps."""
+    """What each mode reads, and what the first keeps of it; K2 holds what the other keeps."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), "text")
-    both = [dedup.statistics(docs, mode).select(F.lit(mode).alias("mode"), "seen") for mode in ("precise", "efficient")]
+    told = lambda c: F.when(F.col("mode") == "precise", F.col(c)).alias(c)
+    both = [dedup.statistics(docs, mode).withColumn("mode", F.lit(mode)).select("mode", "seen", told("kept"), told("removed")) for mode in ("precise", "efficient")]
     return both[0].union(both[1])
 
 

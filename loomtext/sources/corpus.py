@@ -61,6 +61,14 @@ def scan(spark: SparkSession, root: str, pattern: str = "*.txt") -> DataFrame:
     return df.select(_plain(F.element_at(F.split(path, "/"), -2)).alias("category"), _name(path).alias("file_name"), F.col("value").alias("text"))
 
 
+def scripts(spark: SparkSession, root: str, folder: str, pattern: str = "*") -> DataFrame:
+    """(container, file_name, content) of <root>/<container>/<folder>/<file>, in lower case;
+    files that aren't UTF-8 are left out (A10)."""
+    df = spark.read.text(f"{root}/*/{folder}/{pattern}", wholetext=True).filter(F.is_valid_utf8("value"))
+    path = F.col("_metadata.file_path")
+    return df.select(_plain(F.element_at(F.split(path, "/"), -3)).alias("container"), _name(path).alias("file_name"), F.lower("value").alias("content"))
+
+
 def _escaped(path: str) -> str:
     """A path that globs match literally."""
     return "".join("\\" + c if c in "*?[]{}\\" else c for c in path)

@@ -1,4 +1,4 @@
-"""Caches and metrics as Parquet and JSON."""
+"""Datasets, caches and metrics as Parquet and JSON."""
 
 from __future__ import annotations
 
@@ -6,6 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def save_dataset(rows: DataFrame, folder: str) -> None:
+    """Texts (idx, text, n, marker) with a folder for each marker, replacing what was there
+    (A12): whoever wants one bucket reads that folder only."""
+    rows.select("idx", "text", "n", "marker").write.mode("overwrite").partitionBy("marker").parquet(folder)
+
+
+def load_dataset(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema("idx long, text string, n long, marker int").parquet(folder)
+
+
 def save_tokens(docs: DataFrame, folder: str) -> None:
     """Token ids of (doc_id, ids) and their number, replacing what was there."""
     docs.select("doc_id", F.col("ids").cast("array<int>").alias("ids"), F.size("ids").alias("length")).write.mode("overwrite").parquet(folder)

@@ -53,11 +53,20 @@ def test_greedy(docs, threshold):
     assert {r["ord"]: r["kept"] for r in dedup.greedy(docs[1], 100, threshold).collect()} == want
 
 
-def test_join_wrapped():
+def test_join_wrapped(spark):
+    def joined(*texts, mode=""):
+        rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        return [r["text"] for r in lines.joined(rows, mode).orderBy("doc_id").collect()]
+
     text = "This line of prose is long enough to be taken as a wrapped line of a paragraph\nand it goes on here without an end, for long enough that nobody takes it for verse,\nto the end of it.\n\nHEADING\n    some verse\nBudget: 5 dollars and something more that makes this line longer than sixty characters"
-    out = lines.join_wrapped(text).split("\n")
+    out, empty, blank, none, verse = joined(text, "", "a\n\nb", None, "    roses\n    violets\n  \n        sugar and")
+    out = out.split("\n")
     assert out[0].startswith("This line") and out[0].endswith("end of it.") and out[1:3] == ["", "HEADING"] and len(out) == 5
-    assert lines.join_wrapped("") == "" and lines.join_wrapped("a\n\nb") == "a\n\nb"
+    assert (empty, blank, none) == ("", "a\n\nb", None)
+    assert verse == "    roses violets\n  \n        sugar and"  # all indented: verse is what differs from a neighbour
+    long = "An open line that is longer than ninety characters, which nothing in it closes but its end – ABC\nHEADING"
+    assert joined(long) == [long] and joined(long, mode=lines.ENCYCLOPEDIA) == [long.replace("\n", " ")]
+    assert joined("(in brackets and over thirty of them)\n  next line here  ", mode=lines.FACTBOOK) == ["(in brackets and over thirty of them) next line here  "]
 
 
 def test_newline_policies(spark):
@@ -179,18 +188,6 @@ def test_cubic_fit(spark):
     assert np.allclose([r["coefficient"] for r in got], np.polyfit(*zip(*points), 3)[::-1], atol=1e-6)
 
 
-def test_clean(spark, sf):
-    """D6 is its steps one after another."""
-    import re
-
-    from loomtext.plans import registry
-
-    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
-    tidy = lambda t: re.sub(" +", " ", repair.unwrap(t)).replace("\t ", "\t").replace(" \t", "\t")
-    want = {r["doc_id"]: lines.join_wrapped(tidy(r["text"])) for r in rows}
-    assert {r["doc_id"]: r["text"] for r in registry.QUERIES["D6_clean"](spark, sf).collect()} == want
-
-
 def test_private_use_characters(spark):
     df = spark.createDataFrame([("a\ue000b\n\nc",)], "t string")
     for lengths in T.NEWLINE_POLICIES.values():
