@@ -1,4 +1,4 @@
-"""Text repair (C12, C13): what the standard library can do of it."""
+"""Text repair (C12): what the standard library can do of it."""
 
 from __future__ import annotations
 
@@ -12,13 +12,8 @@ from pyspark.sql import DataFrame
 
 #: Quotes straightened and ligatures spelt out.
 PLAIN = {"‘": "'", "’": "'", "‚": "'", "“": '"', "”": '"', "„": '"', "ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl"}
-#: Fixed value: what a wrapped passage looks like.
-_WRAPPED = re.compile(r"\n*.{55,}\n\n.{40,}\n")
-#: Newlines for runs of 1, 2, ... in a wrapped passage.
-_LENGTHS = (0, 1, 1, 2, 2, 3)
 _CONTROL = re.compile("[\x00-\x08\x0b\x0e-\x1f\x7f\ufeff]")
 _TERMINAL = re.compile(r"\x1b\[[0-9;]*[A-Za-z]")
-_RUN = re.compile(r"\n+")
 #: Full-width forms of ASCII, and the wide space.
 _NARROW = {0xFF01 + i: 0x21 + i for i in range(94)} | {0x3000: 0x20}
 #: Control characters that code page 1252 has printable ones for.
@@ -111,12 +106,6 @@ def fix(text: str) -> str:
     return unicodedata.normalize("NFC", _CONTROL.sub("", text))
 
 
-def unwrap(text: str) -> str:
-    """Newline runs inside passages that look wrapped, by their length."""
-    shorter = lambda m: "\n" * _LENGTHS[min(len(m.group()), 6) - 1] or " "
-    return _WRAPPED.sub(lambda m: _RUN.sub(shorter, m.group()), text)
-
-
 def mapped(docs: DataFrame, f) -> DataFrame:
     """(doc_id, text) with ``f`` on each text; null stays null."""
 

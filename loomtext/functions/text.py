@@ -57,6 +57,17 @@ def newline_policy(text: Column, lengths: tuple[int, ...]) -> Column:
     return F.regexp_replace(text, f"(?<!\n)(?:{either})(?!\n)", "".join(f"${i + 1}" for i in range(len(kept))))
 
 
+#: Fixed value: what a wrapped passage looks like; only a newline ends a line.
+WRAPPED = "(?d)\n*.{55,}\n\n.{40,}\n"
+
+
+def unwrap(text: Column) -> Column:
+    """Newline runs inside passages that look wrapped, by their length."""
+    passages = F.regexp_extract_all(text, F.lit(WRAPPED), F.lit(0))
+    shorter = lambda p: newline_policy(p, NEWLINE_POLICIES["C6"])
+    return F.array_join(F.zip_with(F.split(text, WRAPPED, -1), passages, lambda between, p: F.concat(between, F.coalesce(shorter(p), F.lit("")))), "")
+
+
 def newline_single_pass(text: Column, lengths: tuple[int, ...]) -> Column:
     """The policy without the last character, which the single pass loses (C11)."""
     return newline_policy(F.substring(text, F.lit(1), F.length(text) - 1), lengths)

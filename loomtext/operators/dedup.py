@@ -49,10 +49,10 @@ def _hashes(text: str, width: int, stride: int) -> list[np.ndarray]:
 
 
 def _runs(text: str, width: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows that have their anchor in common: the place of the least hash of a
-    quarter's width of characters in a window. (anchor's hash, two hashes of all that the run
+    """Runs of windows that have their anchor in common: the place of the least hash of
+    half a window's characters in a window. (anchor's hash, two hashes of all that the run
     covers, first window, windows). Equal windows have equal anchors, wherever they stand."""
-    own, gram = _Hashes(text), max(1, width // 4)
+    own, gram = _Hashes(text), max(1, width // 2)
     n = own.n - width + 1
     if n <= 0:  # shorter than a window
         h, g = own.of(np.zeros(1, np.int64), np.full(1, own.n))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.operators.dedup import window_hashes
+from loomtext.sources.shared import checkpointed
 
 #: Words of an automaton; more are searched in further passes.
 PASS_WORDS = 200_000
@@ -19,13 +20,16 @@ HOT = 1000
 
 def substring_counts(texts: DataFrame, words: DataFrame, text_col: str = "text", pass_words: int = PASS_WORDS) -> DataFrame:
     """(word, matches): non-overlapping matches of each distinct word in all texts, by an
-    Aho-Corasick automaton that reads a text once; sums are formed before they move."""
+    Aho-Corasick automaton that reads a text once; sums are formed before they move. Words
+    beyond ``pass_words`` take further passes, each written down before the next is
+    planned, so that one pass's words are held at a time."""
     words = words.select("word").filter("word <> ''").distinct()
     passes = max(1, math.ceil(words.count() / pass_words))
     found = None
     for p in range(passes):
         own = [r["word"] for r in words.filter(F.pmod(F.xxhash64("word"), F.lit(passes)) == p).collect()]
-        part = _counts(texts.select(F.col(text_col).alias("text")), own)
+        part = _counts(texts.select(F.col(text_col).alias("text")), own).groupBy("word").agg(F.sum("matches").alias("matches"))
+        part = checkpointed(part) if passes > 1 else part
         found = part if found is None else found.union(part)
     sums = found.groupBy("word").agg(F.sum("matches").alias("matches"))
     return words.join(sums, "word", "left").select("word", F.coalesce("matches", F.lit(0).cast("long")).alias("matches"))

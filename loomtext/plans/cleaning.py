@@ -31,7 +31,7 @@ def _unwrapped(texts: str) -> str:
 @query("C13_unwrap", _unwrapped("SELECT doc_id, replace(text, chr(10), repeat(chr(10), 2)) AS t FROM documents"))
 def unwrap(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
-    return repair.mapped(docs, repair.unwrap)
+    return docs.select("doc_id", T.unwrap(F.col("text")).alias("text"))
 
 
 _TIDY = "replace(replace(regexp_replace(text, ' +', ' ', 'g'), chr(9) || ' ', chr(9)), ' ' || chr(9), chr(9))"
@@ -39,8 +39,8 @@ _TIDY = "replace(replace(regexp_replace(text, ' +', ' ', 'g'), chr(9) || ' ', ch
 
 @query("D6_clean", joined_sql(f"SELECT doc_id, {_TIDY} AS text FROM ({_unwrapped('SELECT doc_id, text AS t FROM documents')})"))
 def clean(spark, sf_dir):
-    docs = repair.mapped(table(spark, sf_dir, "documents"), repair.unwrap)
-    return lines.joined(docs.select("doc_id", T.tidy_tabs(T.collapse_spaces(F.col("text"))).alias("text")))
+    docs = table(spark, sf_dir, "documents")
+    return lines.joined(docs.select("doc_id", T.tidy_tabs(T.collapse_spaces(T.unwrap(F.col("text")))).alias("text")))
 
 
 @query("B2_rename", r"SELECT doc_id, regexp_replace(source || '_' || doc_id || '.x.txt', '^(.*)_([^_.]*)\..*?([^.]*)$', '\1 (\2).\3') AS name FROM documents")

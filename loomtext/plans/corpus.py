@@ -196,21 +196,38 @@ def class_fold(spark, sf_dir):
     return names.fold(table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("category")), 300)
 
 
-_PICKS = "p_partkey AS id, p_size AS op, p_partkey AS size, p_size + p_partkey AS template, p_partkey * 7919 + p_size * 104729 AS x, p_partkey * 31337 + p_size * 17 AS y"
-
-
-@query(
-    "K15_arithmetic_pairs",
-    f"""WITH c AS (SELECT {_PICKS} FROM part),
-    n AS (SELECT id, {list(synthesis.OPS)}[op % 4 + 1] AS op, {list(synthesis.MAGNITUDES)}[size % 5 + 1] AS top, {list(synthesis.TEMPLATES)}[template % 4 + 1] AS form, x, y FROM c),
-    m AS (SELECT id, op, form, x % top + 1 AS x, y % top + 1 AS b FROM n),
-    q AS (SELECT id, op, form, CAST(CASE WHEN op = 'DIVIDE' THEN x * b ELSE x END AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM m),
-    r AS (SELECT *, CASE op WHEN 'ADD' THEN a + b WHEN 'SUBTRACT' THEN a - b WHEN 'MULTIPLY' THEN a * b ELSE a // b END AS result, CASE op WHEN 'ADD' THEN '+' WHEN 'SUBTRACT' THEN '-' WHEN 'MULTIPLY' THEN '*' ELSE '/' END AS sign FROM q)
-    SELECT id, op, a, b, result, replace(form, '{{q}}', a || ' ' || sign || ' ' || b) AS question, result || '.' AS answer FROM r""",
-)
+_PICKS = {
+    "op": "p_size", "size": "p_partkey", "form": "p_partkey * 3 + p_size", "kind": "p_partkey + 2 * p_size", "opener": "p_partkey * 5 + p_size", "phrase": "p_partkey * 7 + p_size",
+    "swap": "p_partkey * 11 + p_size * 3", "answer": "p_partkey * 13 + p_size", "sign": "p_partkey * 17 + p_size * 5", "x": "p_partkey * 7919 + p_size * 104729", "y": "p_partkey * 31337 + p_size * 17",
+}
+
+
+def _arithmetic_sql() -> str:
+    """The grammar's tables as values, expanded by joins on the same numbers."""
+    quoted = lambda v: "'" + v.replace("'", "''") + "'"
+    listed = lambda vs: "[" + ", ".join(map(quoted, vs)) + "]"
+    forms = ", ".join(f"({i}, {quoted(f.text)}, {listed(f.kinds)}, {quoted(f.ends)})" for i, f in enumerate(synthesis.FORMS))
+    groups: dict[tuple, list] = {}
+    for q in synthesis.PHRASES:
+        groups.setdefault((q.op, q.kind), []).append(q)
+    phrases = ", ".join(f"({quoted(q.op)}, {quoted(q.kind)}, {i}, {len(g)}, {quoted(q.text)}, {q.ordered})" for g in groups.values() for i, q in enumerate(g))
+    signs = ", ".join(f"({quoted(op)}, {listed(v)})" for op, v in synthesis.SIGNS.items())
+    pick = lambda values, at: f"{listed(values)}[{at} % {len(values)} + 1]"
+    return f"""WITH forms(fi, ftext, kinds, ends) AS (VALUES {forms}), phrases(o, own, pi, n, ptext, ordered) AS (VALUES {phrases}), signs(o, marks) AS (VALUES {signs}),
+    c AS (SELECT p_partkey AS id, {', '.join(f'CAST({v} AS BIGINT) AS {k}' for k, v in _PICKS.items())} FROM part),
+    k AS (SELECT *, {pick(synthesis.OPS, 'op')} AS o, {list(synthesis.MAGNITUDES)}[size % {len(synthesis.MAGNITUDES)} + 1] AS top, kinds[kind % len(kinds) + 1] AS own FROM c JOIN forms ON fi = form % {len(synthesis.FORMS)}),
+    z AS (SELECT *, x % (2 * top + 1) - top AS a0, CASE WHEN o = 'DIVIDE' AND y % (2 * top + 1) - top = 0 THEN 1 ELSE y % (2 * top + 1) - top END AS b0 FROM k),
+    q AS (SELECT z.*, ptext, marks, swap % 2 = 1 AND z.own <> '{synthesis.TASK}' AND NOT ordered AS turned, CASE WHEN z.o = 'DIVIDE' THEN a0 * b0 ELSE a0 END AS a1 FROM z JOIN phrases p ON p.o = z.o AND p.own = z.own AND p.pi = phrase % n JOIN signs g ON g.o = z.o),
+    t AS (SELECT *, CASE WHEN turned THEN b0 ELSE a1 END AS a, CASE WHEN turned THEN a1 ELSE b0 END AS b FROM q),
+    r AS (SELECT *, CASE o WHEN 'ADD' THEN a + b WHEN 'SUBTRACT' THEN a - b WHEN 'MULTIPLY' THEN a * b ELSE CASE WHEN b <> 0 THEN a // b - CASE WHEN a % b <> 0 AND (a < 0) <> (b < 0) THEN 1 ELSE 0 END END END AS result,
+      replace(replace(replace(replace(ftext, '{{o}}', {pick(synthesis.OPENERS, 'opener')}), '{{p}}', ptext), '{{a}}', CAST(a AS VARCHAR)), '{{b}}', CAST(b AS VARCHAR)) AS question FROM t)
+    SELECT id, o AS op, a, b, result, question || CASE WHEN right(question, 1) IN ('.', '?', '!') THEN '' ELSE ends END AS question,
+      replace(replace(replace(replace({pick(synthesis.ANSWERS, 'answer')}, '{{s}}', marks[sign % len(marks) + 1]), '{{r}}', coalesce(CAST(result AS VARCHAR), 'undefined')), '{{a}}', CAST(a AS VARCHAR)), '{{b}}', CAST(b AS VARCHAR)) AS answer FROM r"""
+
+
+@query("K15_arithmetic_pairs", _arithmetic_sql())
 def arithmetic(spark, sf_dir):
-    picks = table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "p_size AS op", "p_partkey AS size", "p_size + p_partkey AS template", "p_partkey * 7919 + p_size * 104729 AS x", "p_partkey * 31337 + p_size * 17 AS y")
-    return synthesis.arithmetic(picks)
+    return synthesis.arithmetic(table(spark, sf_dir, "part").selectExpr("p_partkey AS id", *[f"CAST({v} AS BIGINT) AS {k}" for k, v in _PICKS.items()]))
 
 
 _RUN = "SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, value FROM events"

@@ -195,10 +195,22 @@ def test_private_use_characters(spark):
 
 
 def test_arithmetic(spark):
-    rows = synthesis.arithmetic(synthesis.choices(spark, 300, 1)).collect()
-    assert rows == synthesis.arithmetic(synthesis.choices(spark, 300, 1)).collect() and {r["op"] for r in rows} == set(synthesis.OPS)
+    """Every operation, form and kind occurs; results are those of Python's operators."""
+    made = lambda: sorted(synthesis.arithmetic(synthesis.choices(spark, 3000, 1)).collect(), key=lambda r: r["id"])
+    rows = made()
+    assert rows == made() and len(rows) == 3000 and {r["op"] for r in rows} == set(synthesis.OPS)
+    ops = {"ADD": lambda a, b: a + b, "SUBTRACT": lambda a, b: a - b, "MULTIPLY": lambda a, b: a * b, "DIVIDE": lambda a, b: a // b if b else None}
     for r in rows:
-        assert eval(f"{r['a']} {synthesis.SIGNS[r['op']]} {r['b']}") == r["result"] and str(r["a"]) in r["question"]
+        assert r["result"] == ops[r["op"]](r["a"], r["b"])
+        assert str(r["a"]) in r["question"] and str(r["b"]) in r["question"] and r["question"][-1] in ".?!"
+        assert ("undefined" if r["result"] is None else str(r["result"])) in r["answer"] and "{" not in r["question"] + r["answer"]
+        if r["op"] != "DIVIDE":
+            assert max(abs(r["a"]), abs(r["b"])) <= 99999
+    for f in synthesis.FORMS:
+        head = f.text.split("{")[0]
+        assert any(r["question"].startswith(head) for r in rows)
+    assert any(r["op"] == "DIVIDE" and r["b"] and r["a"] % r["b"] for r in rows) and any(r["a"] < 0 for r in rows)
+    assert max(len(str(abs(r["b"]))) for r in rows if r["op"] == "ADD") == 5
 
 
 def test_repair():
@@ -206,7 +218,12 @@ def test_repair():
     assert repair.fix("cafÃ©") == "café" == repair.fix("cafÃƒÂ©") and repair.fix("itâ€™s") == "it's"
     assert repair.fix("żółw cafÃ©") == "żółw café" and repair.fix("ＡＢ１　x\x1b[31mred") == "AB1 xred"
     assert repair.fix("Ünïcödé déjà") == "Ünïcödé déjà"
-    assert repair.unwrap("x" * 60 + "\n\n" + "y" * 45 + "\nz") == "x" * 60 + "\n" + "y" * 45 + " z"
+
+
+def test_unwrap(spark):
+    cases = {"x" * 60 + "\n\n" + "y" * 45 + "\nz": "x" * 60 + "\n" + "y" * 45 + " z", "a\n\nb\n": "a\n\nb\n", "": "", "\n\n" + "x" * 55 + "\n\n" + "y" * 40 + "\n": "\n" + "x" * 55 + "\n" + "y" * 40 + " "}
+    df = spark.createDataFrame(list(cases.items()), "text string, want string")
+    assert [r for r in df.select(T.unwrap(F.col("text")).alias("got"), "want").collect() if r["got"] != r["want"]] == []
 
 
 def test_tree(spark, tmp_path):
