@@ -57,8 +57,9 @@ def newline_policy(text: Column, lengths: tuple[int, ...]) -> Column:
     return F.regexp_replace(text, f"(?<!\n)(?:{either})(?!\n)", "".join(f"${i + 1}" for i in range(len(kept))))
 
 
-#: Fixed value: what a wrapped passage looks like; only a newline ends a line.
-WRAPPED = "(?d)\n*.{55,}\n\n.{40,}\n"
+#: Fixed value: what a wrapped passage looks like, as ``\n*.{55,}\n\n.{40,}\n`` finds it. It can only
+#: start with newlines or where a line starts, and no line is tried at every later place.
+WRAPPED = "(?:\n+|(?<![^\n]))[^\n]{55,}+\n\n[^\n]{40,}+\n"
 
 
 def unwrap(text: Column) -> Column:
