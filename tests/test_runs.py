@@ -65,6 +65,22 @@ def test_rounds_are_fewer_than_merges(spark, sf, monkeypatch):
     assert len(got) > 200 and len(rounds) < len(got) / 3
 
 
+@pytest.mark.parametrize("top, pieces, size", [(4096, 100_000, 45), (12, 40, 24)])
+def test_rounds_foresee_merges(spark, monkeypatch, top, pieces, size):
+    """Rounds take merges that build on one another, and the driver's, however few pairs and pieces they see."""
+    rounds, best = [], bpe._Cluster.best
+    monkeypatch.setattr(bpe._Cluster, "best", lambda self: rounds.append(best(self)) or rounds[-1])
+    monkeypatch.setattr(bpe, "_TOP", top)
+    monkeypatch.setattr(bpe, "_PIECES", pieces)
+    monkeypatch.setattr(bpe, "_WAITING", 20)
+    rng = random.Random(5)
+    words = ["".join(rng.choices("aaabcd", k=rng.randrange(1, 12))) for _ in range(150)]
+    docs = spark.createDataFrame([(None if i == 3 else i % 20, " ".join(rng.choices(words, k=40))) for i in range(25)], "doc_id long, text string")
+    got = [tuple(r) for r in bpe.train(docs, size, max_words=0).orderBy("rank").collect()]
+    assert got == [tuple(r) for r in bpe.train(docs, size, max_words=10**9).orderBy("rank").collect()]
+    assert len(got) > size - 10 and (top < 4096 or len(rounds) < 5)
+
+
 def test_independent():
     top = [(("a", "b"), 9), (("c", "d"), 8), (("b", "c"), 7), (("e", "f"), 7)]
     assert bpe.independent(top, True) == top[:2]
