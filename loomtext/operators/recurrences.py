@@ -176,5 +176,7 @@ def polynomial_fit(points: DataFrame, x: str, y: str, degree: int) -> DataFrame:
     sums = points.agg(*powers, *[F.sum(F.pow(x, F.lit(i)) * F.col(y)) for i in range(degree + 1)]).first()
     left = np.array([[sums[i + j] or 0.0 for j in range(degree + 1)] for i in range(degree + 1)])
     right = np.array([sums[2 * degree + 1 + i] or 0.0 for i in range(degree + 1)])
-    found = np.linalg.lstsq(left, right, rcond=None)[0]
+    scale = np.sqrt(np.diag(left))  # powers of large x differ by many digits
+    scale[scale == 0] = 1
+    found = np.linalg.lstsq(left / np.outer(scale, scale), right / scale, rcond=None)[0] / scale
     return points.sparkSession.createDataFrame([(i, float(c)) for i, c in enumerate(found)], "power int, coefficient double")

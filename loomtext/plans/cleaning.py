@@ -82,4 +82,5 @@ def _fit_sql(degree: int) -> str:
 @query("H14_cubic_fit", _fit_sql(3))
 def cubic_fit(spark, sf_dir):
     ev = table(spark, sf_dir, "events").select((F.col("event_id") / 10000).alias("x"), F.col("value").alias("y"))
-    return recurrences.polynomial_fit(ev, "x", "y", 3).withColumn("coefficient", F.round("coefficient", 4))
+    rounded = F.signum("coefficient") * F.round(F.abs("coefficient"), 4)  # a zero keeps its sign, as in SQL
+    return recurrences.polynomial_fit(ev, "x", "y", 3).withColumn("coefficient", rounded)

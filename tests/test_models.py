@@ -188,6 +188,13 @@ def test_cubic_fit(spark):
     assert np.allclose([r["coefficient"] for r in got], np.polyfit(*zip(*points), 3)[::-1], atol=1e-6)
 
 
+def test_cubic_fit_of_large_x(spark):
+    """The coefficients aren't cut where powers of x differ by many digits."""
+    points = spark.range(6000).selectExpr("id / 10D AS x", "50 - 0.25D * (id / 10D) + 0.002D * pow(id / 10D, 2) - 0.00001D * pow(id / 10D, 3) + id % 2 AS y")
+    got = [r["coefficient"] for r in recurrences.polynomial_fit(points, "x", "y", 3).orderBy("power").collect()]
+    assert got == pytest.approx([50.5, -0.25, 0.002, -0.00001], abs=1e-3)
+
+
 def test_private_use_characters(spark):
     df = spark.createDataFrame([("a\ue000b\n\nc",)], "t string")
     for lengths in T.NEWLINE_POLICIES.values():
