@@ -67,3 +67,24 @@ def test_files_and_order(spark, tmp_path):
 def test_names_that_lead_elsewhere(category, name):
     with pytest.raises(ValueError):
         tree_writer.checked(category, name)
+
+
+def test_no_file_of_a_tree_goes_through_the_driver(spark, tmp_path):
+    """Neither an index of the files nor a task for each few of them; a folder's name may hold the root's."""
+    root = f"{tmp_path}/in"
+    rows = [(f"c{i % 3}/in", f"f{i} {{a}}.{'txt' if i % 2 else 'md'}", f"t{i}") for i in range(120)] + [("Berlin", "x_y=%41.txt", "b"), ("Berlin", "_hidden.txt", "no"), ("_old", "o.txt", "o")]
+    tree_writer.save(frame(spark, rows), root)
+    want = {(c, n, t) for c, n, t in rows if n[0] != "_" and n.endswith("txt")}
+    some = corpus.scan(spark, root)
+    assert {tuple(r) for r in some.collect()} == {x for x in want if "/" not in x[0]}
+    tree = corpus.files(spark, root, recursive=True)
+    deep = corpus.opened(tree.select(F.col("path").substr(len(root) + 2, 999).alias("relative"), "length"), root)
+    for df in (some, tree, deep):
+        assert not any("/in/" in f for f in df.inputFiles()) and df.rdd.getNumPartitions() < 60
+    shown = {f"{c}/{n}": t.encode() for c, n, t in rows if n[0] != "_" and c[0] != "_"}
+    assert {r["relative"]: bytes(r["content"]) for r in deep.collect()} == shown
+    assert {r["relative"] for r in corpus.ordered(tree, root).collect()} == set(shown)
+    assert {r["file_name"] for r in corpus.scan(spark, root, "{x*,q}.[st]xt").collect()} == {"x_y=%41.txt"}
+    assert {tuple(r) for r in corpus.scripts(spark, root, "in", "*.txt").collect()} == {(c[:2], n, t) for c, n, t in want if "/" in c}
+    with pytest.raises(FileNotFoundError):
+        corpus.files(spark, f"{tmp_path}/none")
