@@ -46,3 +46,10 @@ def test_rows(spark, sf, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["G11_length_histogram", "H2_quota_sample"])
+def test_words_are_counted_once(spark, sf, name):
+    """Not once for each branch of the markers; a filter may need them once more."""
+    plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("regexp_extract_all") <= 3
