@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.sources.shared import small
+
 #: Ends after which a long line isn't taken to go on.
 CLOSED = (".", "!", "?", ":", '"', "'", ">", "}", "]", ")")
 ENCYCLOPEDIA, FACTBOOK = "encyclopedia", "factbook"
@@ -88,7 +90,7 @@ def joined(docs: DataFrame, mode: str = "") -> DataFrame:
     }
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             out = []
             for row in zip(*(c.to_pylist() for c in b.columns[1:])):
                 out.append(None if row[0] is None else "\n".join(_texts(*row)))

@@ -45,3 +45,14 @@ def test_stretches():
 @pytest.mark.parametrize("text", ["RENÉ® 10 °C", "Рёв моторов", "ÀÉÎÕÜ àéîõü", "3 × 4 ÷ 2 ± 1", "«voilà»", "ŁÓDŹ łódź", "Ångström’s", "“é”", "日本語テキスト", ""])
 def test_good_texts_stay(text):
     assert repair._unmangled(text) == text
+
+
+def test_a_worker_makes_few_texts_at_once():
+    """Batches are cut before texts become Python objects, and keep every row in order."""
+    import pyarrow as pa
+
+    from loomtext.sources.shared import small
+
+    given = [pa.RecordBatch.from_arrays([pa.array(range(n))], names=["i"]) for n in (0, 1, 1000)]
+    got = list(small(given))
+    assert max(b.num_rows for b in got) <= 256 and [x for b in got for x in b.column(0).to_pylist()] == [0, *range(1000)]
