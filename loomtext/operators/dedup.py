@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.sources.shared import checkpointed
+from loomtext.sources.shared import checkpointed, small
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -70,18 +70,23 @@ def _runs(text: str, width: int) -> tuple[np.ndarray, ...]:
     return rank[place[first]].view(np.int64), h ^ (place[first] - first), g, first, size
 
 
-def window_hashes(docs: DataFrame, width: int, stride: int = 1) -> DataFrame:
-    """(ord, pos, h, g): hash pairs of the windows at every ``stride`` characters."""
+def counted_windows(docs: DataFrame, width: int, stride: int = 1) -> DataFrame:
+    """(ord, h, g, n): hash pairs of each text's different windows, one every ``stride``
+    characters, and how many windows of the text each stands for."""
 
     def run(batches):
-        for b in batches:
-            for ord_, text in zip(b.column(0), b.column(1).to_pylist()):
-                h, g = _hashes(text or "", width, stride)
-                n = len(h)
-                cols = [pa.array(np.full(n, ord_.as_py())), pa.array(np.arange(n) * stride), pa.array(h), pa.array(g)]
-                yield pa.RecordBatch.from_arrays(cols, names=["ord", "pos", "h", "g"])
+        for b in small(batches):
+            rows = []
+            for text in b.column(1).to_pylist():
+                both = np.rec.fromarrays(_hashes(text or "", width, stride), names="h,g")
+                by = np.lexsort((both.g, both.h))
+                both = both[by]
+                first = np.flatnonzero(np.concatenate([[True], (both.h[1:] != both.h[:-1]) | (both.g[1:] != both.g[:-1])]))
+                rows.append((both.h[first], both.g[first], np.diff(np.concatenate([first, [len(by)]]))))
+            own = b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), [len(r[0]) for r in rows])))
+            yield pa.RecordBatch.from_arrays([own, *(pa.array(np.concatenate(c)) for c in zip(*rows))], names=["ord", "h", "g", "n"])
 
-    return docs.select("ord", "text").mapInArrow(run, "ord long, pos long, h long, g long")
+    return docs.select(F.col("ord").cast("long"), "text").mapInArrow(run, "ord long, h long, g long, n long")
 
 
 def first_windows(docs: DataFrame, width: int = 100) -> DataFrame:
@@ -155,7 +160,7 @@ def greedy(docs: DataFrame, width: int = 100, threshold: float = 0.8) -> DataFra
     """
     if threshold <= 0:
         return docs.select("ord", F.lit(False).alias("kept"))
-    hashes = window_hashes(docs, width, max(1, width // 4)).groupBy("ord", "h", "g").agg(F.count("*").alias("n"))
+    hashes = checkpointed(counted_windows(docs, width, max(1, width // 4)))
     shared = hashes.groupBy("h", "g").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).filter("first < last")
     size = hashes.groupBy("ord").agg(F.sum("n").alias("size"))
     linked = hashes.join(shared.select("h", "g"), ["h", "g"]).join(size, "ord")

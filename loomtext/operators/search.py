@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.operators.dedup import window_hashes
+from loomtext.operators.dedup import counted_windows
 from loomtext.sources.shared import checkpointed
 
 #: Words of an automaton; more are searched in further passes.
@@ -64,7 +64,7 @@ def window_holders(docs: DataFrame, width: int = 100, stride: int = 25) -> DataF
     """(ord, holder, windows): how many different windows (one every ``stride``
     characters) each text has that ``holder`` is the first to have. Pairs of texts that
     share windows meet in their holder; only hashes move."""
-    own = window_hashes(docs.filter("text IS NOT NULL"), width, stride).select("ord", "h", "g").distinct()
+    own = counted_windows(docs.filter("text IS NOT NULL"), width, stride).select("ord", "h", "g").distinct()
     first = own.groupBy("h", "g").agg(F.min("ord").alias("holder"), F.count("*").alias("n")).filter("n > 1")
     hot = first.filter(F.col("n") > HOT).orderBy(F.col("n").desc(), "h", "g").limit(HOT).select("h", "g", F.col("holder").alias("hot"))
     rows = own.join(F.broadcast(hot), ["h", "g"], "left")

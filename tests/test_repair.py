@@ -56,3 +56,15 @@ def test_a_worker_makes_few_texts_at_once():
     given = [pa.RecordBatch.from_arrays([pa.array(range(n))], names=["i"]) for n in (0, 1, 1000)]
     got = list(small(given))
     assert max(b.num_rows for b in got) <= 256 and [x for b in got for x in b.column(0).to_pylist()] == [0, *range(1000)]
+
+
+def test_windows_are_read_once_and_counted_by_text(spark):
+    """A text's equal windows are one row; greedy reads the texts for their windows once."""
+    from loomtext.operators import dedup
+
+    docs = spark.createDataFrame([(1, "ab" * 20), (2, None), (3, "ab" * 20 + "c"), (4, "x")], "ord long, text string")
+    rows = dedup.counted_windows(docs, 4, 1).collect()
+    assert sorted((r["ord"], r["n"]) for r in rows) == [(1, 18), (1, 19), (2, 1), (3, 1), (3, 18), (3, 19), (4, 1)]
+    assert len({(r["h"], r["g"]) for r in rows}) == 5
+    plan = dedup.greedy(docs, 4)._jdf.queryExecution().analyzed().toString()
+    assert "MapInArrow" not in plan and {r["ord"]: r["kept"] for r in dedup.greedy(docs, 4).collect()} == {1: True, 2: True, 3: False, 4: True}
