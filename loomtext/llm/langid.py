@@ -38,6 +38,9 @@ SLOTS = 1 << 20
 HASHES = 2
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
+#: Rows of a batch that are worked on at once.
+_ROWS = 256
+
 #: Bytes as the n-grams see them: letters in lower case, other ASCII a space.
 _FOLD = np.array([c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256)], np.uint8)
 
@@ -65,6 +68,11 @@ def _grams(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[:m][inside], gram[inside]
 
 
+def _small(batches):
+    """Batches of few rows: a worker holds several copies of one, and n-grams of its texts."""
+    return (b.slice(at, _ROWS) for b in batches for at in range(0, b.num_rows, _ROWS))
+
+
 def _slots(gram: np.ndarray, slots: int) -> list[np.ndarray]:
     shift = np.uint64(65 - slots.bit_length())
     return [(gram * np.uint64(k)) >> shift for k in _ODD[:HASHES]]
@@ -114,7 +122,7 @@ def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Filters:
     picked = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < odds[F.col("lang")] * (1 << 20)
 
     def run(batches):
-        for b in batches:
+        for b in _small(batches):
             for first, off, data in text_chunks(b.column(0)):
                 row, gram = _grams(off, data)
                 lang = np.array([of[x] for x in b.column(1).slice(first, len(off) - 1).to_pylist()], np.uint64)
@@ -141,7 +149,7 @@ def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col:
 
     def run(batches):
         f = model.value
-        for b in batches:
+        for b in _small(batches):
             letter = pc.fill_null(pc.match_substring_regex(b.column(1).cast(pa.large_string()), r"\p{L}"), False).to_numpy(zero_copy_only=False)
             lang, score, known = [], [], []
             for first, off, data in text_chunks(b.column(1)):
@@ -176,7 +184,7 @@ def keep_known(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         f = model.value
-        for b in batches:
+        for b in _small(batches):
             col = b.column(text)
             letter = pc.fill_null(pc.match_substring_regex(col.cast(pa.large_string()), r"\p{L}"), False).to_numpy(zero_copy_only=False)
             told = [f.counts(off, data)[0].max(axis=1, initial=0) > 0 for _, off, data in text_chunks(col)]
