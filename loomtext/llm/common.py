@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 HOT_KEYS = 1000
 #: Bytes of text that one step of a vectorised loop holds.
 CHUNK_BYTES = 1 << 21
+#: The same where a step makes several numbers of 8 bytes for each byte: its arrays are what
+#: a worker, which Spark uses again, goes on holding.
+STEP_BYTES = 1 << 18
 
 #: ASCII upper case to lower case, every other byte unchanged.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))

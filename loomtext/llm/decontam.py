@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import LOWER, text_chunks
+from loomtext.llm.common import LOWER, STEP_BYTES, text_chunks
 
 WINDOW = 10
 KGRAM = 4
@@ -99,7 +99,7 @@ class Items:
         texts = pa.array([t for _, t in rows], pa.large_string())
         self.ids = ["" if i is None else str(i) for i, _ in rows]
         hashes, sizes = [], []
-        for _, off, data in text_chunks(texts):
+        for _, off, data in text_chunks(texts, STEP_BYTES):
             h, first = words_of(off, data)
             hashes.append(h)
             sizes.append(np.diff(first))
@@ -200,7 +200,7 @@ def _pass(rows: DataFrame, block: list[tuple], last: bool) -> DataFrame:
         for b in batches:
             bits, names, words, hits = [], [], [], []
             before, listed = b.column(2), b.column(3)
-            for start, off, data in text_chunks(b.column(1)):
+            for start, off, data in text_chunks(b.column(1), STEP_BYTES):
                 h, first = words_of(off, data)
                 n = len(off) - 1
                 lo, hi, item = items.spans(h, first[:-1])
@@ -249,7 +249,7 @@ def _clean_pass(docs: DataFrame, block: list[tuple], text: int) -> DataFrame:
         items = held.get("items") or held.setdefault("items", Items(model.value))
         for b in batches:
             clean = np.ones(b.num_rows, bool)
-            for start, off, data in text_chunks(b.column(text)):
+            for start, off, data in text_chunks(b.column(text), STEP_BYTES):
                 h, first = words_of(off, data)
                 lo = items.spans(h, first[:-1])[0]
                 clean[start + np.searchsorted(first[1:], lo, side="right")] = False

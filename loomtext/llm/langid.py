@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import crc_mod, text_chunks
+from loomtext.llm.common import STEP_BYTES, crc_mod, text_chunks
 
 NGRAM = 4
 #: Labelled texts to learn from, about, for each language.
@@ -152,7 +152,7 @@ def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col:
         for b in _small(batches):
             letter = pc.fill_null(pc.match_substring_regex(b.column(1).cast(pa.large_string()), r"\p{L}"), False).to_numpy(zero_copy_only=False)
             lang, score, known = [], [], []
-            for first, off, data in text_chunks(b.column(1)):
+            for first, off, data in text_chunks(b.column(1), STEP_BYTES):
                 n = len(off) - 1
                 if not f.langs:
                     lang += ["und"] * n
@@ -187,7 +187,7 @@ def keep_known(docs: DataFrame) -> DataFrame:
         for b in _small(batches):
             col = b.column(text)
             letter = pc.fill_null(pc.match_substring_regex(col.cast(pa.large_string()), r"\p{L}"), False).to_numpy(zero_copy_only=False)
-            told = [f.counts(off, data)[0].max(axis=1, initial=0) > 0 for _, off, data in text_chunks(col)]
+            told = [f.counts(off, data)[0].max(axis=1, initial=0) > 0 for _, off, data in text_chunks(col, STEP_BYTES)]
             yield b.filter(pa.array(np.concatenate(told) & letter if told else letter))
 
     return docs.mapInArrow(run, docs.schema)
