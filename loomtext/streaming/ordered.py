@@ -3,11 +3,13 @@
 Rows wait in a key's state until the watermark has passed them, so a fold sees them
 in order however late they came (within the watermark's delay; later ones are
 dropped). An event-time timer wakes a key when its earliest waiting row is due, and
-again when its state has been idle for so long that it may go.
+again when its state has been idle for so long that it may go. A batch's rows of a
+key wait as one entry, so that calls to the state store follow keys, not rows.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -26,10 +28,9 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 class Fold:
     """``step(state, row)`` gives the next state and the row to put out, or None. State is a
     tuple of ``state`` fields, None at first and once ``idle_ms`` have passed without a row;
-    rows are tuples of the ``value`` fields, the first the time in microseconds."""
+    rows are tuples, the first the time in microseconds."""
 
     step: Callable[[tuple | None, tuple], tuple[tuple, tuple | None]]
-    value: str
     state: str
     out: str
     idle_ms: int
@@ -41,25 +42,21 @@ class _Processor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.fold.value)
+        self.waiting = handle.getListState("waiting", "rows binary")
         self.state = handle.getValueState("state", f"last long, {self.fold.state}")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for batch in rows:
-            batch = batch[self.names]
-            got = list(batch.itertuples(index=False, name=None))
-            self.waiting.appendList(got)
-            first = min([first, *(r[0] for r in got)] if first is not None else [r[0] for r in got])
-        if first is not None:
-            self.handle.registerTimer(_due(first))
+        got = [r for batch in rows for r in zip(*(batch[c].tolist() for c in self.names))]
+        if got:
+            self.waiting.appendValue((pickle.dumps(got),))
+            self.handle.registerTimer(_due(min(r[0] for r in got)))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
+        rows = sorted(r for held in self.waiting.get() for r in pickle.loads(bytes(held[0])))
         ready = [r for r in rows if r[0] <= now]
-        state, found = self.state.get() if self.state.exists() else None, []
+        state, found = self.state.get(), []
         for row in ready:
             if state is not None and row[0] - state[0] > self.fold.idle_ms * 1000:
                 state = None
@@ -70,7 +67,7 @@ class _Processor(StatefulProcessor):
         if ready:
             rest = rows[len(ready) :]
             if rest:
-                self.waiting.put(rest)
+                self.waiting.put([(pickle.dumps(rest),)])
                 self.handle.registerTimer(_due(rest[0][0]))
             else:
                 self.waiting.clear()
@@ -107,7 +104,7 @@ def first_seen(stream: DataFrame, key: str, time: str, id_col: str, idle_ms: int
     """(key, at, id) of each key's first row, and of its first after it was silent for more
     than ``idle_ms``; nothing is kept of keys that are silent."""
     step = lambda state, row: ((1,), row if state is None else None)
-    return folded(stream, key, time, [id_col], Fold(step, f"at long, {id_col} long", "seen int", f"at long, {id_col} long", idle_ms), delay)
+    return folded(stream, key, time, [id_col], Fold(step, "seen int", f"at long, {id_col} long", idle_ms), delay)
 
 
 def early_stop(stream: DataFrame, key: str, time: str, id_col: str, value: str, delay: str, worse: float = 1.03, patience: int = 5, bad: int = 8, idle_ms: int = 10**12) -> DataFrame:
@@ -127,7 +124,7 @@ def early_stop(stream: DataFrame, key: str, time: str, id_col: str, value: str,
             return (n, best, streak, poor, 1), (n,)
         return (n, best, streak, poor, 0), None
 
-    return folded(stream, key, time, [id_col, value], Fold(step, f"at long, {id_col} long, {value} double", "n long, best double, streak long, poor long, over long", "stop_step long", idle_ms), delay)
+    return folded(stream, key, time, [id_col, value], Fold(step, "n long, best double, streak long, poor long, over long", "stop_step long", idle_ms), delay)
 
 
 def run_to_end(out: DataFrame, path: str, checkpoint: str) -> DataFrame:
